@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a lookup side up to which it is sent to every executor.
 BROADCAST_ROWS = 50_000
@@ -77,3 +79,45 @@ def with_columns(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
     """The batch with columns appended."""
     names = [*batch.schema.names, *more]
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=names)
+
+
+def _running(columns: list[str]):
+    """Appends to sorted rows the running sum of each column within the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = dict.fromkeys(columns, 0)
+        for batch in batches:
+            more = {}
+            for c in columns:
+                sums = np.cumsum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)) + carry[c]
+                carry[c] = int(sums[-1]) if len(sums) else carry[c]
+                more[f"_upto_{c}"] = pa.array(sums, pa.int64())
+            yield with_columns(batch, **more)
+
+    return run
+
+
+def numbered(space: Workspace, df: DataFrame, keys: list[str], name: str, into: str = "row", sums: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with a gapless number from 0 in the order of ``keys``, which should be unique.
+
+    ``sums`` names non-null integer columns and the columns that get their inclusive running sums. Rows
+    are dealt by ranges of the keys and written in order; only one count and sum per range goes to the
+    driver, so no range has to wait for another and no single task sees all rows.
+    """
+    spark, sums = space.spark, sums or {}
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    if sums:
+        rows = rows.mapInArrow(_running(list(sums)), T.StructType([*rows.schema.fields, *(T.StructField(f"_upto_{c}", T.LongType()) for c in sums)]))
+    rows = rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth"))
+    rows = space.keep(rows, name)
+    held = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), *(F.max(f"_upto_{c}").alias(c) for c in sums)).collect()
+    starts, at = [], [0] * (1 + len(sums))
+    for r in sorted(held, key=lambda r: r["_part"]):
+        starts.append((r["_part"], *at))
+        at = [a + b for a, b in zip(at, [r["n"], *(r[c] for c in sums)], strict=True)]
+    table = spark.createDataFrame(starts, "_part int, _start long" + "".join(f", _start_{c} long" for c in sums))  # a row for each range
+    out = rows.join(F.broadcast(table), "_part").withColumn(into, F.col("_start") + F.col("_nth"))
+    for c, to in sums.items():
+        out = out.withColumn(to, F.col(f"_start_{c}") + F.col(f"_upto_{c}"))
+    return out.drop("_part", "_nth", "_start", *(f"_start_{c}" for c in sums), *(f"_upto_{c}" for c in sums))
