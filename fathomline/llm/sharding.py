@@ -97,14 +97,14 @@ def _cuts_by_lookup(groups: DataFrame, total: int, shards: int, low: int, high:
     return cuts(low)
 
 
-def shards(spark: SparkSession, docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
+def shards(spark: SparkSession, docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None, with_place: bool = False) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row.
 
     Size: UTF-8 bytes of the text plus 1. Rows with equal texts are one atomic group, placed where its
     first row stands in the order (``order``, by default the id; it need not be unique). Null and empty
     texts are one group of rows of size 1. Within a shard rows are numbered from 0. A group larger than
     an even share fills a shard of its own; then later shards can stay empty. Repeated rows keep a row
-    each. Other columns are ignored, whatever their names.
+    each. Other columns are ignored, whatever their names. ``with_place`` also returns the order as ``place``.
     """
     space = Workspace(spark, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -120,4 +120,4 @@ def shards(spark: SparkSession, docs: DataFrame, n_shards: int = 8, id_col: str
     begins = {r["shard"]: r["row"] for r in rows.groupBy("shard").agg(F.min("row").alias("row")).collect()}
     begin = F.coalesce(*(F.when(F.col("shard") == k, F.lit(v)) for k, v in begins.items()), F.lit(0))
     space.drop("base", "copies", "groups")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["place"] if with_place else []))

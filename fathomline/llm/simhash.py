@@ -246,21 +246,26 @@ def _link_shingles(similarity: float):
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str, views: int = 0) -> DataFrame:
-    """``id, fp, same, views`` of every row; ``same`` is a digest of the words. Map-only."""
+    """``id, fp`` of every row; with ``views`` also ``same`` (digest of the set of shingles) and ``views``. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for batch in batches:
-            fps, seen = [], []
+            fps, same, seen = [], [], []
             for _, texts in text_slices(batch, "text"):
                 for text in texts:
                     hashes = shingle_hashes(text, shingle)
                     fps.append(_signed(majority(hashes)))
-                    seen.append([_signed(x) for x in view_fingerprints(hashes, views, VIEW_SHINGLES)] if views else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["id", "fp", "views"])
+                    if views:
+                        same.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
+                        seen.append([_signed(x) for x in view_fingerprints(hashes, views, VIEW_SHINGLES)])
+            columns = {"id": batch.column("id"), "fp": pa.array(fps, pa.int64())}
+            if views:
+                columns |= {"same": pa.array(same, pa.binary()), "views": pa.array(seen, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, views array<long>")
+    return rows.mapInArrow(run, "id long, fp long" + ", same binary, views array<long>" * bool(views))
 
 
 def _cell_rows(rows: DataFrame, distance: int) -> DataFrame:
@@ -292,7 +297,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3, shingle:
     the id's place; each row is returned. Rows of a null id have a null component unless their fingerprint links them to an id.
     """
     space = Workspace(spark, "simhash")
-    prints = space.keep(fingerprints(docs, shingle, id_col, text_col).select("id", "fp"), "prints")
+    prints = space.keep(fingerprints(docs, shingle, id_col, text_col), "prints")
     distinct = space.keep(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
     edges = fingerprint_links(space, distinct.where("node is not null"), distance, "whole")
     # An id repeated with other texts ties its fingerprints together.
@@ -303,3 +308,73 @@ def duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3, shingle:
     space.drop("whole-rows", "whole-often", "distinct")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return lookup(prints, groups, ["fp"]).select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+
+
+def _link_candidates(distance: int, reach: int):
+    """Links of a cell to be verified: within ``distance`` in a grid cell, within ``reach`` in a view's."""
+
+    def link(table: pa.Table) -> list[tuple[int, int]]:
+        fps, nodes = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
+        limits = np.where(table.column("viewed").to_numpy(zero_copy_only=False), reach, distance)
+        edges: list[tuple[int, int]] = []
+        for a, b in zip(*(x.tolist() for x in _runs(table)), strict=True):
+            if b - a > 1:
+                limit = int(limits[a])
+                edges += [(int(nodes[a + i]), int(nodes[a + j])) for i, j in forest(b - a, lambda i, js, a=a, limit=limit: np.bitwise_count(fps[a + js] ^ fps[a + i]) <= limit)]
+        return edges
+
+    return link
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch, "text", 1_000_000):
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+                kept = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("cluster"), kept.column("n"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "cluster", "n", "shingles"])
+
+    return run
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 3, views: int = VIEWS, reach: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of the ids that have a near duplicate, themselves included.
+
+    Ids link at a similarity (Jaccard, sets of word shingles) of at least ``similarity``; the component is
+    the smallest id reachable. Candidates are within ``distance`` bits in the whole-text fingerprint, or
+    agree in one of the ``views`` and are within ``reach`` bits; their groups are verified on the full
+    shingle sets. At similarity 0.8 a view of 3 shingles brings a pair together with probability 0.51,
+    ten views with over 0.999. Null and blank texts are one group. Null ids take no part.
+    """
+    space = Workspace(spark, "near")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    prints = space.keep(fingerprints(docs, shingle, "id", "text", views), "prints")
+    # Texts with the same set of shingles need no verification; one stands for all.
+    classes = space.keep(prints.groupBy("same").agg(F.min(F.struct("id", "fp", "views")).alias("x"), F.count(F.lit(1)).alias("n")), "classes")
+    copies = space.keep(classes.where("n > 1").select("same", F.col("x.id").alias("node")), "copies")
+    members = space.keep(lookup(prints.select("same", "id"), copies, ["same"]).select("id", "node").distinct(), "members")
+    nodes = classes.select("x.id", "x.fp", "x.views").withColumnRenamed("id", "node")
+    whole = _cell_rows(nodes, distance).withColumn("viewed", F.lit(False))
+    viewed = nodes.select("node", "fp", F.posexplode("views").alias("v", "x")).select(F.xxhash64(F.lit("view"), "v", "x").alias("key"), "node", "fp", F.lit(True).alias("viewed"))
+    dealt = cells(space, whole.unionByName(viewed), "seek").repartition(parts, "cell").sortWithinPartitions("cell", "node")
+    sought = dealt.select("cell", "node", "fp", "viewed").mapInArrow(_by_cell(_link_candidates(distance, reach)), "a long, b long")
+    clusters = space.keep(connected(space, sought), "clusters")
+    sizes = space.keep(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sized = space.keep(lookup(clusters, sizes, ["component"]).select("node", F.col("component").alias("cluster"), "n"), "sized")
+    texts = lookup(docs.withColumnRenamed("id", "node"), sized, ["node"]).select("node", "cluster", "n", "text")
+    sets = texts.mapInArrow(_shingle_sets(shingle), "node long, cluster long, n long, shingles array<long>")
+    edges = space.keep(_verified(sets, similarity, parts), "verified")
+    groups = space.keep(connected(space, edges), "groups")
+    firsts = members.where("id <> node").join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", F.coalesce("component", "node").alias("component"))
+    alone = copies.select("node").distinct().join(groups, "node", "left_anti").select(F.col("node").alias("id"), F.col("node").alias("component"))
+    return groups.select(F.col("node").alias(id_col), F.col("component").alias("component_id")).unionByName(firsts.unionByName(alone).toDF(id_col, "component_id")).distinct()
+
+
+def _verified(sets: DataFrame, similarity: float, parts: int, most: int = 160) -> DataFrame:
+    """Edges of a spanning forest of the links in each cluster; clusters over ``most`` rows meet in pieces."""
+    rows = sets.withColumn("pieces", F.when(F.col("n") > most, F.ceil(F.col("n") * 2 / most)).otherwise(1).cast("int"))
+    rows = rows.withColumn("piece", F.expr("cast(pmod(xxhash64(node), pieces) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = rows.withColumn("cell", F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other")))
+    return rows.select("cell", "node", "shingles").repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(_by_cell(_link_shingles(similarity)), "a long, b long")
