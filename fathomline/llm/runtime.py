@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def worker_memory() -> dict:
+    """A dictionary that lives as long as the Python worker, across its tasks."""
+    return sys.__dict__.setdefault("_fathomline_worker", {})
+
+
+def settle_gc() -> None:
+    """Free what earlier tasks left, then stop scanning: large caches without cycles make scans costly."""
+    gc.collect()
+    gc.disable()
+
+
 class Workspace:
     """Tables written under the shared folder, so that a lost executor loses none of them."""
 

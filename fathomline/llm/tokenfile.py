@@ -9,8 +9,9 @@ its frame alone.
 
 from __future__ import annotations
 
-import gc
+import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,42 +24,86 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.runtime import Workspace, text_slices
+from fathomline.llm.runtime import Workspace, settle_gc, text_slices, worker_memory
 
 # Fixed values of the seekable format.
 TABLE_MAGIC, FOOTER_MAGIC, IDS_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
 #: Chunks of text whose ids a worker remembers; the memory is emptied when full.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
+_SIGNS = ".,;:!?"
 
 
 def _checksum(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
 
 
+def _is_word(chunk: str) -> bool:
+    """Letters only, and still so after the vocabulary's normalisation."""
+    return chunk.isalpha() and (chunk.isascii() or (chunk.lower().isalpha() and unicodedata.is_normalized("NFC", chunk)))
+
+
 class Encoder:
-    """Ids of texts as bytes. Chunks between single spaces or line ends are encoded by the library once."""
+    """Ids of texts as bytes. Chunks between single spaces or line ends are encoded by the library once.
+
+    The vocabulary drops white space and starts a new piece wherever a run of letters ends, so chunks, and
+    a word and the sign behind it, can be encoded apart.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, unseen: list[str]) -> None:
-        if len(self.known) + len(unseen) > CACHE_CHUNKS:
-            self.known.clear()
-        for i in range(0, len(unseen), 20_000):
-            part = unseen[i : i + 20_000]
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The worker's encoder, kept from task to task."""
+        held = worker_memory()
+        if ("encoder", path) not in held:
+            held["encoder", path] = cls(path)
+        return held["encoder", path]
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters only: one piece each, whose last token is marked as a word's end."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                self._others(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(part, stops, strict=True):
+                self.known[word] = data[4 * at : 4 * stop]
+                at = stop
+
+    def _others(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 2000):
+            part = chunks[i : i + 2000]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[chunk] = np.array(e.ids, "<u4").tobytes()
 
+    def _learn(self, unseen: set[str]) -> None:
+        if len(self.known) + len(unseen) > CACHE_CHUNKS:
+            self.known.clear()
+        plain = set(filter(_is_word, unseen))
+        signed = [c for c in unseen - plain if c[-1:] in _SIGNS and _is_word(c[:-1])]
+        plain.update(c[:-1] for c in signed)
+        self._words([c for c in plain if c not in self.known])
+        self._others([*unseen.difference(plain, signed), *_SIGNS])
+        get = self.known.__getitem__
+        self.known.update([(c, get(c[:-1]) + get(c[-1])) for c in signed])
+
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[bytes]:
-        """The vocabulary drops white space and never merges across it, so chunks can be encoded apart."""
         end = struct.pack("<I", end_id)
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         needed = {c for chunks in cut for c in chunks}
         for _ in range(2):  # the memory may be emptied in between
-            if unseen := list(needed - self.known.keys()):
+            if unseen := needed - self.known.keys():
                 self._learn(unseen)
         get = self.known.__getitem__
         for chunks in cut:
@@ -149,15 +194,15 @@ def write_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, folder:
         out, encoder, first, n_ids, name = None, None, None, 0, ""
         for batch in batches:
             if out is None:
-                gc.disable()  # the memory of chunks holds no cycles
-                encoder = Encoder(vocabulary)
+                settle_gc()
+                encoder = Encoder.of_worker(vocabulary)
                 name = f"{folder}/tokens-{uuid.uuid4().hex}.zst"
                 fs, path = pyarrow.fs.FileSystem.from_uri(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = fs.open_output_stream(path, compression=None)
                 out = Writer(stream)
             ids = batch.column("id").to_pylist()
-            for start, texts in text_slices(batch, "text"):
+            for start, texts in text_slices(batch, "text", 1_000_000):
                 for i, data in zip(ids[start : start + len(texts)], encoder.encode(texts, end_id), strict=True):
                     out.add(i, data)
                     n_ids += len(data) // 4
