@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import decontaminate, mixing, sharding, simhash, tokencount, tokenfile, topk, toxicity
+from fathomline.llm import decontaminate, licenses, linedup, mixing, sharding, simhash, tokencount, tokenfile, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.digest(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(spark, _table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_topk": op5_topk,
     "op6_decontamination": op6_decontamination,
