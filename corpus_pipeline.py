@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "stage-mix")
     places = space.keep(mixing.mix(spark, docs).groupBy("doc_id").agg(F.min("position").alias("_position")), "places")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = lookup(docs, places, ["doc_id"], "left")
+    rows = docs.join(places.hint("merge"), "doc_id", "left")
     return rows.repartitionByRange(parts, "_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*docs.columns)
 
 
@@ -70,7 +70,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows = placed(space.keep(docs, "docs"))
     found = space.keep(sharding.shards(spark, rows, 8, order=F.col("_place"), with_place=True).select(F.col("place").alias("_place"), "size", "shard", "slot"), "found")
     taken = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    return lookup(rows.select(*taken, "_place"), found, ["_place"]).select(*taken, "size", "shard", "slot")
+    return rows.select(*taken, "_place").join(found.hint("merge"), "_place").select(*taken, "size", "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
