@@ -458,7 +458,7 @@ def w30_gate(spark, d):
 
 @query
 def x08_continuous_backtest(spark, d):
-    return shown(positions.backtest(gated(spark, d)).select("code", "date", "held", "turnover", "strategy_return", "equity"), equity=4)
+    return shown(positions.backtest(gated(spark, d)).select("code", "date", "held", "turnover", "strategy_return", F.log("equity").alias("log_equity")))
 
 
 @query

@@ -139,8 +139,8 @@ PAIRS = [(a, b) for i, a in enumerate(sorted(FACTORS6)) for b in sorted(FACTORS6
 CORR = f"""wide AS (SELECT z.code, f.fold_id, {', '.join(f'z.{f}_z AS {f}' for f in FACTORS6)} FROM zed z JOIN folds f ON f.code = z.code AND f.segment = 'train' AND z.pos - 1 >= f.start_pos AND z.pos - 1 < f.end_pos),
 pairs AS ({' UNION ALL '.join(f"SELECT code, fold_id, '{a}' AS a, '{b}' AS b, covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) AS corr FROM wide GROUP BY code, fold_id" for a, b in PAIRS)}),
 mc AS (SELECT code, a, b, avg(corr) AS mean_corr FROM pairs GROUP BY ALL)"""
-LOSERS = """duel AS (SELECT mc.*, x.train_icir AS at, y.train_icir AS bt2, x.valid_icir AS av, y.valid_icir AS bv, x.valid_ic_mean AS ai, y.valid_ic_mean AS bi FROM mc JOIN cand x ON x.code = mc.code AND x.candidate_label = a JOIN cand y ON y.code = mc.code AND y.candidate_label = b WHERE abs(mean_corr) >= 0.7),
-losers AS (SELECT code, CASE WHEN at < bt2 THEN a WHEN bt2 < at THEN b WHEN av < bv THEN a WHEN bv < av THEN b WHEN ai < bi THEN a WHEN bi < ai THEN b ELSE greatest(a, b) END AS candidate_label, count(*) AS losses, max(abs(mean_corr)) AS max_abs_corr FROM duel GROUP BY ALL)"""
+LOSERS = """duel AS (SELECT mc.*, x.train_icir AS t1, y.train_icir AS t2, x.valid_icir AS av, y.valid_icir AS bv, x.valid_ic_mean AS ai, y.valid_ic_mean AS bi FROM mc JOIN cand x ON x.code = mc.code AND x.candidate_label = a JOIN cand y ON y.code = mc.code AND y.candidate_label = b WHERE abs(mean_corr) >= 0.7),
+losers AS (SELECT code, CASE WHEN t1 < t2 THEN a WHEN t2 < t1 THEN b WHEN av < bv THEN a WHEN bv < av THEN b WHEN ai < bi THEN a WHEN bi < ai THEN b ELSE greatest(a, b) END AS candidate_label, count(*) AS losses, max(abs(mean_corr)) AS max_abs_corr FROM duel GROUP BY ALL)"""
 TRIALS = """trials AS (SELECT code, CAST(n AS INTEGER) AS trial_number, CASE WHEN n % 17 = 3 THEN NULL ELSE (n * 7919 % 101) / 101.0::DOUBLE + n % 7 * 0.01 - abs(least(0.0, (n * 31 % 23 - 11) / 23.0)) * 0.2 END AS value FROM (SELECT DISTINCT code FROM nav), range(0, 60) t(n))"""
 SCORES = f"""{ZED}, raw AS (SELECT code, date, nav, 1 / (1 + exp(-2.0 * (score - 0.1))) AS raw FROM scored)"""
 # Recursions as folds over each series' ordered list.
@@ -201,7 +201,7 @@ ORACLE: dict[str, str] = {
     "a16_trade_count": f"WITH {NAV}, {MA}, {bt()} SELECT code, CAST(count_if(traded = 1) AS BIGINT) AS trade_count, CAST(count_if(entries) AS BIGINT) AS entry_signals FROM bt GROUP BY code",
     "a12_return_metrics": f"WITH {NAV}, {MA}, {bt()}, {stats('bt', 'code')} SELECT code, {STATS} FROM st",
     "a12_metrics_with_rf": f"WITH {NAV}, rf AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders), c AS (SELECT d, 0.01::DOUBLE + 0.0001::DOUBLE * month(d) AS r FROM rf), {MA}, {bt()}, j AS (SELECT b.*, pow(1 + coalesce(c.r, (SELECT arg_min(r, d) FROM c)), 1 / 252.0::DOUBLE) - 1 AS rf FROM bt b ASOF LEFT JOIN c ON b.date >= c.d), {stats('j', 'code', 'rf')} SELECT code, {STATS} FROM st",
-    "a15_mean_daily_return": f"WITH {NAV}, {MA}, {bt()}, r AS (SELECT code, equity / lag(equity) OVER ({W}) - 1 AS r FROM bt) SELECT code, round(coalesce(avg(r), 0), 9) AS mean_daily_return FROM r GROUP BY code",
+    "a15_mean_daily_return": f"WITH {NAV}, {MA}, {bt()}, dr AS (SELECT code, equity / lag(equity) OVER ({W}) - 1 AS x FROM bt) SELECT code, round(coalesce(avg(x), 0), 9) AS mean_daily_return FROM dr GROUP BY code",
     "j07_benchmark_curve": f"WITH {NAV}, {MA}, {bt()} SELECT code, {DAY}, {num(f'equity / first_value(equity) OVER ({W})')} AS strategy, {num(f'nav / first_value(nav) OVER ({W})')} AS fund FROM bt",
     "w33_segment_metrics": f"WITH {NAV}, {SPLIT}, {MA}, {bt()}, {SEGMENTED} SELECT code, segment, {STATS} FROM st",
     "t09_strategy_summary": f"WITH {ZED}, a AS (SELECT * FROM (WITH {HOLD} SELECT 'buy_and_hold' AS strategy, * FROM sig) UNION ALL SELECT * FROM (WITH {MA} SELECT 'ma_cross', * FROM sig) UNION ALL SELECT * FROM (WITH {MOM} SELECT 'momentum', * FROM sig) UNION ALL SELECT * FROM (WITH {MULTI} SELECT 'multi_factor_score', * FROM sig)), {bt('a', 'bt', 'code, strategy')}, {stats('bt', 'code, strategy')} SELECT code, strategy, {STATS}, row_number() OVER (PARTITION BY code ORDER BY round(sharpe, 6) DESC, round(annual_return, 6) DESC, strategy) AS place FROM st",
@@ -232,7 +232,7 @@ ORACLE: dict[str, str] = {
     "x09_piecewise": f"WITH {ZED} SELECT code, {DAY}, {num('greatest(0.0, least(1.0, (score + 0.2) / 0.7))')} AS position FROM scored",
     "w29_ema": f"WITH {SCORES}, {GATE} SELECT code, {DAY}, {num('smoothed')} AS smoothed FROM target",
     "w30_gate": f"WITH {SCORES}, {GATE} SELECT code, {DAY}, {num('target')} AS target FROM target",
-    "x08_continuous_backtest": f"WITH {SCORES}, {GATE}, {CONT} SELECT code, {DAY}, {num('held')} AS held, {num('turnover')} AS turnover, {num('strategy_return')} AS strategy_return, {num('equity', 4)} AS equity FROM cb",
+    "x08_continuous_backtest": f"WITH {SCORES}, {GATE}, {CONT} SELECT code, {DAY}, {num('held')} AS held, {num('turnover')} AS turnover, {num('strategy_return')} AS strategy_return, {num('ln(equity)')} AS log_equity FROM cb",
     "a13_fold_aggregate": f"WITH {SCORES}, {FOLDS}, {GATE}, {CONT}, cp AS (SELECT c.code, c.date, c.equity, c.turnover, b.pos FROM cb c JOIN base b USING (code, date)), cf AS (SELECT c.*, f.fold_id, f.segment FROM cp c JOIN folds f ON f.code = c.code AND c.pos - 1 >= f.start_pos AND c.pos - 1 < f.end_pos), {stats('cf', 'code, fold_id, segment')}, tc AS (SELECT code, fold_id, segment, count_if(turnover > 1e-12) AS trade_count FROM cf GROUP BY ALL) SELECT code, segment, {', '.join(f'{num(f"avg({c})")} AS {c}' for c in ('cumulative_return', 'annual_return', 'annual_volatility', 'sharpe', 'max_drawdown'))}, CAST(sum(trade_count) AS BIGINT) AS trade_count FROM st JOIN tc USING (code, fold_id, segment) GROUP BY code, segment",
     "t10_topk_trials": f"WITH {NAV}, {TRIALS}, r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY value DESC NULLS LAST, trial_number) AS place FROM trials) SELECT code, trial_number, {num('value')} AS value, place FROM r WHERE place <= 12",
     "t11_running_best": f"WITH {NAV}, {TRIALS}, r AS (SELECT *, max(value) OVER (PARTITION BY code ORDER BY trial_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM trials) SELECT code, trial_number, {num('value')} AS value FROM r WHERE value IS NOT NULL AND (b IS NULL OR value > b)",
