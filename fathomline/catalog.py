@@ -359,7 +359,7 @@ def t01_factor_selection(spark, d):
 
 @query
 def t02_stability_rank(spark, d):
-    return shown(ic.stability(ics(spark, d), KEYS, ["code"]))
+    return shown(ic.stability(ics(spark, d), KEYS, ["code"]).withColumn("stability_rank", F.col("stability_rank").cast("long")))
 
 
 @query

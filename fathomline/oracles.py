@@ -218,6 +218,14 @@ ORACLE: dict[str, str] = {
     "a07_flip_count": f"WITH {ICS}, k AS (SELECT *, sign(spearman_ic) AS s FROM ics WHERE abs(spearman_ic) > 1e-12), f AS (SELECT *, CAST(s <> lag(s) OVER (PARTITION BY code, candidate_label, segment ORDER BY fold_id) AS BIGINT) AS f FROM k) SELECT code, candidate_label, segment, CAST(coalesce(sum(f), 0) AS BIGINT) AS flips FROM f GROUP BY code, candidate_label, segment",
     "a08_tail_reject": f"WITH {RAW}, t AS (SELECT code, date, round(momentum, 9) AS momentum, round(volatility, 9) AS volatility FROM raws), k AS (SELECT *, CAST(floor(count(momentum) OVER p * 0.05::DOUBLE) AS BIGINT) AS k1, CAST(floor(count(volatility) OVER p * 0.05::DOUBLE) AS BIGINT) AS k2, row_number() OVER (PARTITION BY code ORDER BY momentum DESC NULLS LAST) AS r1, row_number() OVER (PARTITION BY code ORDER BY volatility DESC NULLS LAST) AS r2 FROM t WINDOW p AS (PARTITION BY code)), h AS (SELECT *, max(CASE WHEN r1 = k1 THEN momentum END) OVER (PARTITION BY code) AS t1, max(CASE WHEN r2 = k2 THEN volatility END) OVER (PARTITION BY code) AS t2 FROM k) SELECT code, {DAY}, coalesce(momentum >= t1, false) OR coalesce(volatility >= t2, false) AS tail_rejected FROM h",
     "t01_factor_selection": f"WITH {ICS}, {SUMM}, p AS (SELECT *, coalesce(train_ic_mean >= 0 AND train_icir >= 0 AND train_positive_ratio > 0.5, false) AS train_passed, coalesce(valid_ic_mean > 0 AND valid_icir > 0 AND valid_positive_ratio > 0.5, false) AS valid_passed FROM cand), q AS (SELECT *, train_passed AND valid_passed AS selected FROM p) SELECT code, candidate_label, {CAND}, train_passed, valid_passed, selected, CAST(CASE WHEN selected THEN row_number() OVER (PARTITION BY code, selected ORDER BY train_passed DESC, valid_passed DESC, valid_icir DESC NULLS LAST, valid_ic_mean DESC NULLS LAST, train_icir DESC NULLS LAST, candidate_label) END AS BIGINT) AS final_rank FROM q",
+    "t02_stability_rank": f"""WITH {ICS}, {SUMM},
+      tk AS (SELECT *, count(*) OVER (PARTITION BY code, candidate_label, segment) AS c, row_number() OVER (PARTITION BY code, candidate_label, segment ORDER BY spearman_ic) AS r FROM ics WHERE spearman_ic IS NOT NULL),
+      tm AS (SELECT code, candidate_label, segment, avg(spearman_ic) AS t FROM (SELECT *, CAST(floor(c * 0.1::DOUBLE) AS BIGINT) AS q FROM tk) x WHERE c <= 2 * q OR (r > q AND r <= c - q) GROUP BY ALL),
+      fl AS (SELECT code, candidate_label, CAST(coalesce(sum(f), 0) AS BIGINT) AS f FROM (SELECT code, candidate_label, CAST(sign(spearman_ic) <> lag(sign(spearman_ic)) OVER (PARTITION BY code, candidate_label ORDER BY fold_id) AS BIGINT) AS f FROM ics WHERE segment = 'valid' AND abs(spearman_ic) > 1e-12) y GROUP BY ALL),
+      g AS (SELECT cand.*, a.t AS train_trimmed, b.t AS valid_trimmed, coalesce(fl.f, 0) AS valid_ic_flip_count, abs(train_ic_mean - valid_ic_mean) AS train_valid_ic_mean_gap, abs(valid_ic_mean - b.t) AS valid_trimmed_ic_gap
+        FROM cand JOIN tm a ON a.code = cand.code AND a.candidate_label = cand.candidate_label AND a.segment = 'train' JOIN tm b ON b.code = cand.code AND b.candidate_label = cand.candidate_label AND b.segment = 'valid' LEFT JOIN fl ON fl.code = cand.code AND fl.candidate_label = cand.candidate_label)
+      SELECT code, candidate_label, {CAND}, {num('train_trimmed')} AS train_trimmed, {num('valid_trimmed')} AS valid_trimmed, valid_ic_flip_count, {num('train_valid_ic_mean_gap')} AS train_valid_ic_mean_gap, {num('valid_trimmed_ic_gap')} AS valid_trimmed_ic_gap, false AS tail_rejected,
+        CAST(row_number() OVER (PARTITION BY code ORDER BY valid_ic_mean DESC, valid_icir DESC, train_valid_ic_mean_gap, valid_ic_flip_count, valid_trimmed_ic_gap, candidate_label) AS BIGINT) AS stability_rank FROM g""",
     "a22_quality_filter": f"WITH {ZED}, l AS (SELECT code, '{FACTORS6[0]}' AS candidate_label, {FACTORS6[0]} AS raw, {FACTORS6[0]}_z AS value FROM zed {' '.join(f'''UNION ALL SELECT code, '{f}', {f}, {f}_z FROM zed''' for f in [*FACTORS6[1:], 'donchian_breakout'])}) SELECT code, candidate_label, {num('avg(CAST(raw IS NULL AS DOUBLE))')} AS raw_null_ratio, {num('avg(CAST(value = 0 AS DOUBLE))')} AS zero_ratio, avg(CAST(raw IS NULL AS DOUBLE)) > 0.2 OR avg(CAST(value = 0 AS DOUBLE)) > 0.8 AS dropped FROM l GROUP BY code, candidate_label",
     "a23_flip_detection": f"WITH {ICS} SELECT code, candidate_label, {num('avg(spearman_ic)')} AS ic_mean, CAST(count_if(spearman_ic < 0) AS BIGINT) AS negative, CAST(count_if(spearman_ic > 0) AS BIGINT) AS positive, avg(spearman_ic) < 0 AND count_if(spearman_ic < 0) > count_if(spearman_ic > 0) AS flipped FROM ics WHERE segment = 'train' GROUP BY code, candidate_label",
     "a09_mean_fold_corr": f"WITH {ZED}, {FOLDS}, {CORR} SELECT code, a, b, {num('mean_corr')} AS mean_corr FROM mc",
