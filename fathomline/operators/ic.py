@@ -72,15 +72,15 @@ def tail_reject(df: DataFrame, metrics: list[str], ratio: float = 0.05, by: list
     return out.withColumn("tail_rejected", bad).drop("_k", "_r", *(f"_t_{m}" for m in metrics))
 
 
-def candidate_summary(ics: DataFrame, keys: list[str]) -> DataFrame:
-    """Train and valid figures of each candidate in one row."""
-    out = None
+def candidate_summary(ics: DataFrame, keys: list[str], ic: str = "spearman_ic") -> DataFrame:
+    """Train and valid figures of each candidate in one row, from one pass over the folds."""
+    aggs, both = [], F.lit(True)
     for s in ("train", "valid"):
-        part = ics.where(F.col("segment") == s)
-        one = summary(part, keys).join(positive_ratio(part, keys), keys)
-        one = one.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in ("ic_mean", "icir", "positive_ratio")))
-        out = one if out is None else out.join(one, keys)
-    return out
+        x = F.when(F.col("segment") == s, F.col(ic))
+        mean, share = F.avg(x), F.avg(F.when(x.isNotNull(), (x > 0).cast("double")))
+        aggs += [mean.alias(f"{s}_ic_mean"), F.coalesce(icir(mean, F.stddev_pop(x)), F.lit(0.0)).alias(f"{s}_icir"), F.coalesce(share, F.lit(0.0)).alias(f"{s}_positive_ratio"), F.count_if(F.col("segment") == s).alias(f"_{s}")]
+        both = both & (F.col(f"_{s}") > 0)
+    return ics.groupBy(*keys).agg(*aggs).where(both).drop("_train", "_valid")
 
 
 def select_factors(summaries: DataFrame, min_ic: float = 0.0, min_icir: float = 0.0, by: list[str] | None = None) -> DataFrame:
@@ -96,10 +96,10 @@ def select_factors(summaries: DataFrame, min_ic: float = 0.0, min_icir: float =
 
 def stability(ics: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Gaps and flips of each candidate, the tail rejected, ranked."""
-    train, valid = (ics.where(F.col("segment") == s) for s in ("train", "valid"))
-    out = candidate_summary(ics, keys)
-    out = out.join(trimmed_mean(train, keys).withColumnRenamed("trimmed_mean", "train_trimmed"), keys).join(trimmed_mean(valid, keys).withColumnRenamed("trimmed_mean", "valid_trimmed"), keys)
-    out = out.join(flip_count(valid, keys).withColumnRenamed("flips", "valid_ic_flip_count"), keys, "left").fillna(0, ["valid_ic_flip_count"])
+    trimmed = trimmed_mean(ics, [*keys, "segment"])
+    trimmed = trimmed.groupBy(*keys).agg(*(F.max(F.when(F.col("segment") == s, F.col("trimmed_mean"))).alias(f"{s}_trimmed") for s in ("train", "valid")))
+    out = candidate_summary(ics, keys).join(trimmed, keys)
+    out = out.join(flip_count(ics.where("segment = 'valid'"), keys).withColumnRenamed("flips", "valid_ic_flip_count"), keys, "left").fillna(0, ["valid_ic_flip_count"])
     out = out.withColumn("train_valid_ic_mean_gap", F.abs(F.col("train_ic_mean") - F.col("valid_ic_mean"))).withColumn("valid_trimmed_ic_gap", F.abs(F.col("valid_ic_mean") - F.col("valid_trimmed")))
     out = tail_reject(out, ["train_valid_ic_mean_gap", "valid_ic_flip_count", "valid_trimmed_ic_gap"], by=by)
     order = [F.col("tail_rejected").asc(), F.desc("valid_ic_mean"), F.desc("valid_icir"), F.asc("train_valid_ic_mean_gap"), F.asc("valid_ic_flip_count"), F.asc("valid_trimmed_ic_gap"), F.asc("candidate_label")]
