@@ -54,7 +54,8 @@ def _templates(notices: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
 def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, license, dice, pieces``: best coefficient and number of matching pieces of each license found.
 
-    Pieces are the lines, the paragraphs (between empty lines) and the whole text, each distinct one once.
+    Pieces are the lines, the paragraphs (between empty lines) and the whole text, each distinct one once;
+    pieces of more words than any template can match, repeats counted, are left out.
     A document without notice, a null or an empty text has no row. Repeated rows with an id count together.
     """
     templates = _templates(notices or NOTICES)
@@ -66,7 +67,8 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
     text = F.col(text_col)
     pieces = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
     rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(pieces).alias("piece"))
-    rows = rows.select("doc_id", F.split(normal(F.col("piece")), " ").alias("words")).where(F.col("words")[0] != "")
+    most = max((n for n, _, _ in fits), default=0) + 1
+    rows = rows.select("doc_id", F.split(normal(F.col("piece")), " ").alias("words")).where((F.col("words")[0] != "") & (F.size("words") <= most))
     rows = rows.select("doc_id", bigrams(F.col("words")).alias("all"))
     rows = rows.select("doc_id", F.array_distinct(F.filter("all", lambda b: b.isin(known))).alias("shared"), F.size(F.array_distinct("all")).alias("n")).where(F.size("shared") > 0)
     hits = rows.join(F.broadcast(table), "n")
