@@ -3,7 +3,7 @@
 A seed is a fixed mask over a run of tokens; hashes cover the selected positions only, so a substituted
 token at an ignored position does not hide a match. Hashes of all benchmark windows are joined with
 those of all document windows; around every hit the two token sequences are compared along the diagonal
-and the best-scoring stretch is kept if it is long and similar enough.
+and of all stretches that are long and similar enough the one with most equal tokens is kept.
 """
 
 from __future__ import annotations
@@ -30,6 +30,24 @@ def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
+def best_stretch(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
+    """Start, stop and equal tokens of the stretch with most equal tokens among all that hold the share ``similarity`` of them.
+
+    Of several the shortest, then the first; it begins and ends with an equal token.
+    """
+    upto = np.concatenate([[0], np.cumsum(same)])
+    over = upto - similarity * np.arange(len(upto))  # a stretch holds the share if this doesn't fall over it
+    stops = np.flatnonzero(same) + 1
+    if not len(stops):
+        return 0, 0, 0
+    # The earliest start for each stop: where the running minimum first comes down to the stop's value.
+    starts = np.searchsorted(-np.minimum.accumulate(over), -(over[stops] + 1e-9))
+    starts = stops[upto[starts]] - 1  # the first equal token from there
+    equal = upto[stops] - upto[starts]
+    k = int(np.lexsort((stops - starts, -equal))[0])
+    return int(starts[k]), int(stops[k]), int(equal[k])
+
+
 class SeedIndex:
     """Windows of benchmark items by seed hash."""
 
@@ -94,21 +112,18 @@ class SeedIndex:
 
     def overlaps(self, tokens: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
         """(item, document start, item start, length, equal tokens) of the best stretch with each item."""
-        best: dict[int, tuple[int, int, int, int, int]] = {}
+        best: dict[int, tuple[int, int, int, int]] = {}
         for item, diagonal in self.diagonals(tokens).tolist():
             words = self.tokens[self.begin[item] : self.begin[item + 1]]
             a, b = max(0, -diagonal), min(len(words), len(tokens) - diagonal)
             same = tokens[a + diagonal : b + diagonal] == words[a:b]
-            # The stretch with the largest sum of +1 for an equal token and -1.5 for another.
-            sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -1.5))])
-            rise = sums - np.minimum.accumulate(sums)
-            stop = int(rise.argmax())
-            start = int(sums[: stop + 1].argmin())
-            equal, length = int(same[start:stop].sum()), stop - start
-            enough = equal >= min(least, max(5, int(np.ceil(similarity * len(words)))))
-            if enough and equal >= similarity * length and equal > best.get(item, (0,) * 5)[4]:
-                best[item] = (int(self.item[item]), diagonal + a + start, a + start, length, equal)
-        return list(best.values())
+            needed = min(least, max(5, int(np.ceil(similarity * len(words)))))
+            if same.sum() < needed:
+                continue
+            start, stop, equal = best_stretch(same, similarity)
+            if equal >= needed and (equal, start - stop) > best.get(item, (0, 0))[:2]:
+                best[item] = (equal, start - stop, diagonal + a + start, a + start)
+        return [(int(self.item[item]), doc, at, -length, equal) for item, (equal, length, doc, at) in best.items()]
 
 
 def _chunks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, list[str]]]]:
