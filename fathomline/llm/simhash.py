@@ -33,6 +33,9 @@ GROUPS = 5
 CELL_ROWS = 256
 #: Sampled-shingle fingerprints of a document, and shingles under each.
 VIEWS, VIEW_SHINGLES = 10, 3
+#: Bits in which fingerprints of sets of shingles of similarity 0.8 may differ: in 18,000 drawn pairs of 4 to 200
+#: shingles 3 differed in more than 22, none in more than 26.
+REACH = 26
 
 _WORDS = regex.compile("[^\x20\x09-\x0d]+")
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -246,7 +249,7 @@ def _link_shingles(similarity: float):
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str, views: int = 0) -> DataFrame:
-    """``id, fp`` of every row; with ``views`` also ``same`` (digest of the set of shingles) and ``views``. Map-only."""
+    """``id, fp`` of every row; with ``views`` of the set of shingles, without repeats, and also ``same`` (digest of the set) and ``views``. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -255,7 +258,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str, view
             for _, texts in text_slices(batch, "text"):
                 for text in texts:
                     hashes = shingle_hashes(text, shingle)
-                    fps.append(_signed(majority(hashes)))
+                    fps.append(_signed(majority(np.unique(hashes) if views else hashes)))
                     if views:
                         same.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
                         seen.append([_signed(x) for x in view_fingerprints(hashes, views, VIEW_SHINGLES)])
@@ -337,13 +340,13 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 3, views: int = VIEWS, reach: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 3, views: int = VIEWS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of the ids that have a near duplicate, themselves included.
 
     Ids link at a similarity (Jaccard, sets of word shingles) of at least ``similarity``; the component is
-    the smallest id reachable. Candidates are within ``distance`` bits in the whole-text fingerprint, or
-    agree in one of the ``views`` and are within ``reach`` bits; their groups are verified on the full
-    shingle sets. At similarity 0.8 a view of 3 shingles brings a pair together with probability 0.51,
+    the smallest id reachable. Candidates are within ``distance`` bits in the fingerprint of the set of
+    shingles, or agree in one of the ``views`` and are within ``reach`` bits; their groups are verified on
+    the full shingle sets. The fingerprint leaves out repeats, as the similarity does. At similarity 0.8 a view of 3 shingles brings a pair together with probability 0.51,
     ten views with over 0.999. Null and blank texts are one group. Null ids take no part.
     """
     space = Workspace(spark, "near")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from fathomline.llm import decontaminate
+from fathomline.llm import decontaminate, simhash
 
 
 def test_decontamination_finds_every_stretch_of_a_diagonal(spark):
@@ -21,3 +21,18 @@ def test_decontamination_finds_every_stretch_of_a_diagonal(spark):
     out = decontaminate.overlaps(spark, spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id) for r in out} == {(k, k) for k, _ in items}
     assert all(r.equal_tokens >= 12 and r.equal_tokens >= 0.8 * r.length for r in out)
+
+
+def test_near_copies_that_differ_in_how_often_a_line_repeats(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(60):
+        words, line = [f"w{x}" for x in rng.integers(0, 10**6, 150)], " ".join(f"l{x}" for x in rng.integers(0, 10**6, 8))
+        other = list(words)
+        other[int(rng.integers(5, 145))] = "changed"
+        rows += [(2 * g, " ".join(words) + "\n" + "\n".join([line] * 20)), (2 * g + 1, " ".join(other) + "\n" + line)]
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        x, y = ({int(h) for h in simhash.shingle_hashes(t, 5)} for _, t in (a, b))
+        assert len(x & y) >= 0.8 * len(x | y)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
