@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+from fractions import Fraction
+
 import numpy as np
 
-from fathomline.llm import decontaminate, simhash
+from fathomline.llm import decontaminate, mixing, simhash
 
 
 def test_decontamination_finds_every_stretch_of_a_diagonal(spark):
@@ -23,6 +25,44 @@ def test_decontamination_finds_every_stretch_of_a_diagonal(spark):
     assert all(r.equal_tokens >= 12 and r.equal_tokens >= 0.8 * r.length for r in out)
 
 
+def test_mix_keeps_to_weights_that_no_period_holds(spark):
+    names = [f"s{k:02}" for k in range(20)]
+    weights = {s: 0.333 if k == 0 else (1.0 + k) ** 0.7 * 0.01 for k, s in enumerate(names)} | {"s19": 0.0001}
+    total = sum(map(Fraction, weights.values()))
+    blocks = {s: int(60_000 * Fraction(w) / total) + 2 for s, w in weights.items()}
+    slots = {}
+    rows = mixing.schedule(blocks, weights)
+    for s in names:
+        own = [r for r in rows if r[0] == s]
+        for k, (_, first, slot, per, period, places) in enumerate(own):
+            for b in range(first, own[k + 1][1] if k + 1 < len(own) else blocks[s]):
+                slots[slot + (b - first) // per * period + places[(b - first) % per]] = (s, b)
+    assert sorted(slots) == list(range(sum(blocks.values())))
+    share = [(s, float(Fraction(w) / total)) for s, w in weights.items()]
+    seen = dict.fromkeys(names, 0)
+    for t in range(60_000):  # while all last
+        s, block = slots[t]
+        assert block == seen[s]
+        seen[s] += 1
+        if t % 17 == 0:
+            assert all(abs(seen[s] - w * (t + 1)) < 1 for s, w in share)
+
+
+def test_mix_places_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_SLOTS", 50)
+    counts = {"a": 333, "b": 701, None: 95, "None": 58}
+    names = [s for s, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id long, source string")
+    for most in (10, 50_000):  # joined by shuffle, then broadcast
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        monkeypatch.setattr("fathomline.llm.runtime.BROADCAST_ROWS", most)
+        out = sorted(mixing.mix(spark, docs, block_docs=4).collect(), key=lambda r: r.position)
+        assert [r.position for r in out] == list(range(len(names))) and {r.doc_id for r in out} == set(range(len(names)))
+        assert all((a.slot, a.source) == (b.slot, b.source) or a.slot < b.slot for a, b in zip(out, out[1:], strict=False))
+        rows = mixing.schedule({s: -(-n // 4) for s, n in sorted(counts.items(), key=lambda x: (x[0] is not None, x[0]))}, mixing.tempered(dict(sorted(counts.items(), key=lambda x: (x[0] is not None, x[0]))), 0.7))
+        assert {(r.source, r.block, r.slot) for r in out} == {(s, first + n, slot + p) for s, first, slot, _, _, places in rows for n, p in enumerate(places)}
+
+
 def test_near_copies_that_differ_in_how_often_a_line_repeats(spark):
     rng = np.random.default_rng(5)
     rows = []
