@@ -28,8 +28,16 @@ NOTICES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
 }
 
+# The notice that the GNU licenses ask for, and the license names that files are tagged with.
+_GNU = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+for _name, _kind, _version in (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")):
+    NOTICES[_name] += [_GNU.format(work, _kind, _version) for work in ("program", "library")]
+for _name in NOTICES:
+    NOTICES[_name] += [f"SPDX-License-Identifier: {_name}{end}" for end in (("", "-only", "-or-later") if "GPL" in _name else ("",))]
+
 
 def normal(text: Column) -> Column:
     """Lower-cased runs of letters and digits, joined by single spaces."""
@@ -55,7 +63,7 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
     """``doc_id, license, dice, pieces``: best coefficient and number of matching pieces of each license found.
 
     Pieces are the lines, the paragraphs (between empty lines) and the whole text, each distinct one once;
-    pieces of more words than any template can match, repeats counted, are left out.
+    pieces of more distinct words, and so of more distinct bigrams, than any template can match are left out.
     A document without notice, a null or an empty text has no row. Repeated rows with an id count together.
     """
     templates = _templates(notices or NOTICES)
@@ -68,7 +76,7 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
     pieces = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
     rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(pieces).alias("piece"))
     most = max((n for n, _, _ in fits), default=0) + 1
-    rows = rows.select("doc_id", F.split(normal(F.col("piece")), " ").alias("words")).where((F.col("words")[0] != "") & (F.size("words") <= most))
+    rows = rows.select("doc_id", F.split(normal(F.col("piece")), " ").alias("words")).where((F.col("words")[0] != "") & ((F.size("words") <= most) | (F.size(F.array_distinct("words")) <= most)))
     rows = rows.select("doc_id", bigrams(F.col("words")).alias("all"))
     rows = rows.select("doc_id", F.array_distinct(F.filter("all", lambda b: b.isin(known))).alias("shared"), F.size(F.array_distinct("all")).alias("n")).where(F.size("shared") > 0)
     hits = rows.join(F.broadcast(table), "n")

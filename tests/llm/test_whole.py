@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from fathomline.llm import decontaminate, mixing, simhash
+from fathomline.llm import decontaminate, licenses, mixing, simhash
 
 
 def test_decontamination_finds_every_stretch_of_a_diagonal(spark):
@@ -76,3 +76,15 @@ def test_near_copies_that_differ_in_how_often_a_line_repeats(spark):
         assert len(x & y) >= 0.8 * len(x | y)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_licenses_in_a_line_that_repeats_its_notice(spark):
+    docs = spark.createDataFrame([(1, " ".join(["Released under the MIT License."] * 30)), (2, " ".join(f"w{k}" for k in range(300)))], "doc_id long, text string")
+    assert [(r.doc_id, r.license, round(r.dice, 3)) for r in licenses.scan(spark, docs).collect()] == [(1, "MIT", 0.889)]
+
+
+def test_licenses_named_by_their_own_header_or_tag(spark):
+    head = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    rows = {"GPL-2.0": head.format("General", "2"), "GPL-3.0": head.format("General", "3"), "LGPL-2.1": head.format("Lesser General", "2.1"), "LGPL-3.0": head.format("Lesser General", "3"), "AGPL-3.0": head.format("Affero General", "3"), "MIT": "# SPDX-License-Identifier: MIT"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(spark, docs).collect()} == {name: name for name in rows}
