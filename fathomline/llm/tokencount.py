@@ -22,7 +22,7 @@ from fathomline.llm.runtime import text_slices
 
 #: The split pattern of byte-level BPE vocabularies (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks and pre-tokens kept per worker; the cache is emptied when full, so memory is bounded.
+#: Chunks and pre-tokens kept from one slice of texts to the next; beyond, the cache starts anew.
 CACHE_CHUNKS = 1_000_000
 #: Symbols merged in one ragged array (a single longer pre-token is merged alone).
 BATCH_SYMBOLS = 1_000_000
@@ -132,8 +132,6 @@ class TokenCounter:
         # A chunk of letters only, with or without its space, is one pre-token; so both share the cache.
         whole = [c for c in unseen if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) or len(c) == 1]
         found = {chunk: self.pattern.findall(chunk) for chunk in unseen.difference(whole)}
-        if len(self.known) + len(unseen) > CACHE_CHUNKS:
-            self.known.clear()
         fresh = list({w for words in found.values() for w in words}.union(whole) - self.known.keys())
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         start = size = 0
@@ -155,9 +153,9 @@ class TokenCounter:
                 extra = len(parts) - 1
             cut.append((extra, [c for p in parts if p for c in self._split(p)]))
         needed = {c for _, chunks in cut for c in chunks}
+        if len(self.known) > CACHE_CHUNKS:  # emptied between slices only, so all that a slice needs is there
+            self.known.clear()
         self._learn(needed - self.known.keys())
-        if needed - self.known.keys():  # the cache was emptied meanwhile
-            self._learn(needed - self.known.keys())
         get = self.known.__getitem__
         return [extra + sum(map(get, chunks)) for extra, chunks in cut]
 

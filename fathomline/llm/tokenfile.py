@@ -1,8 +1,8 @@
 """Token ids in seekable zstandard files.
 
 A file is a run of independent zstandard frames, one for each document (its ids as little-endian
-unsigned 32-bit integers), a skippable frame with the document ids, and a trailing skippable frame with
-the seek table: compressed size, plain size and checksum (low half of XXH64) of every frame before it,
+unsigned 32-bit integers), a skippable frame with the document ids (first how many of them are null; those
+come first), and a trailing skippable frame with the seek table: compressed size, plain size and checksum (low half of XXH64) of every frame before it,
 then their number, a descriptor and a magic number. Readers find a document in the table and decompress
 its frame alone.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.fs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from fathomline.llm.runtime import Workspace, settle_gc, text_slices, worker_mem
 
 # Fixed values of the seekable format.
 TABLE_MAGIC, FOOTER_MAGIC, IDS_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
-#: Chunks of text whose ids a worker remembers; the memory is emptied when full.
+#: Chunks of text whose ids a worker remembers from one slice of texts to the next; beyond, it starts anew.
 CACHE_CHUNKS = 400_000
 _SIGNS = ".,;:!?"
 
@@ -88,8 +89,6 @@ class Encoder:
                 self.known[chunk] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, unseen: set[str]) -> None:
-        if len(self.known) + len(unseen) > CACHE_CHUNKS:
-            self.known.clear()
         plain = set(filter(_is_word, unseen))
         signed = [c for c in unseen - plain if c[-1:] in _SIGNS and _is_word(c[:-1])]
         plain.update(c[:-1] for c in signed)
@@ -102,9 +101,10 @@ class Encoder:
         end = struct.pack("<I", end_id)
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         needed = {c for chunks in cut for c in chunks}
-        for _ in range(2):  # the memory may be emptied in between
-            if unseen := needed - self.known.keys():
-                self._learn(unseen)
+        if len(self.known) > CACHE_CHUNKS:  # emptied between slices only, so all that a slice needs is there
+            self.known.clear()
+        if unseen := needed - self.known.keys():
+            self._learn(unseen)
         get = self.known.__getitem__
         for chunks in cut:
             yield b"".join(map(get, chunks)) + end
@@ -117,14 +117,15 @@ class Writer:
         self.stream, self.entries, self.ids = stream, [], []
         self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
 
-    def add(self, doc_id: int, data: bytes) -> None:
+    def add(self, doc_id: int | None, data: bytes) -> None:
         frame = self.compressor.compress(data)
         self.stream.write(frame)
         self.entries.append(struct.pack("<III", len(frame), len(data), _checksum(data)))
         self.ids.append(doc_id)
 
     def close(self) -> None:
-        ids = np.array(self.ids, "<i8").tobytes()
+        nulls = self.ids.count(None)
+        ids = np.array([nulls, *(0 for _ in range(nulls)), *self.ids[nulls:]], "<i8").tobytes()
         self.stream.write(struct.pack("<II", IDS_MAGIC, len(ids)) + ids)
         self.entries.append(struct.pack("<III", 8 + len(ids), 0, _checksum(b"")))
         table = b"".join(self.entries) + struct.pack("<IBI", len(self.entries), WITH_CHECKSUMS, FOOTER_MAGIC)
@@ -148,7 +149,8 @@ class Reader:
         table = np.frombuffer(self.file.read_at(12 * count, begin), "<u4").reshape(-1, 3).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(table[:, 0])])
         self.table, self.starts = table[:-1], starts
-        self.ids = np.frombuffer(self.file.read_at(int(table[-1, 0]) - 8, int(starts[-2]) + 8), "<i8")
+        ids = np.frombuffer(self.file.read_at(int(table[-1, 0]) - 8, int(starts[-2]) + 8), "<i8")
+        self.nulls, self.ids = int(ids[0]), ids[1:]
         self.plain = zstandard.ZstdDecompressor()
 
     def __len__(self) -> int:
@@ -164,9 +166,10 @@ class Reader:
 
     def find(self, doc_id: int) -> list[int]:
         """Places of a document (ids ascend)."""
-        return list(range(int(np.searchsorted(self.ids, doc_id, "left")), int(np.searchsorted(self.ids, doc_id, "right"))))
+        known = self.ids[self.nulls :]
+        return list(range(self.nulls + int(np.searchsorted(known, doc_id, "left")), self.nulls + int(np.searchsorted(known, doc_id, "right"))))
 
-    def scan(self, most: int = 8_000_000) -> Iterator[tuple[int, bytes]]:
+    def scan(self, most: int = 8_000_000) -> Iterator[tuple[int | None, bytes]]:
         """All documents in order, read in runs of about ``most`` bytes."""
         k = 0
         while k < len(self):
@@ -175,7 +178,7 @@ class Reader:
             run = self.file.read_at(int(self.starts[stop] - self.starts[k]), int(self.starts[k]))
             for i in range(k, stop):
                 low = int(self.starts[i] - self.starts[k])
-                yield int(self.ids[i]), self.at(i, run[low : low + int(self.table[i, 0])])
+                yield None if i < self.nulls else int(self.ids[i]), self.at(i, run[low : low + int(self.table[i, 0])])
             k = stop
 
     def close(self) -> None:
@@ -185,13 +188,15 @@ class Reader:
 def write_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
     """Write files of ascending id ranges; returns (file, documents, ids) of each, in order.
 
-    Null and empty texts hold the end id alone. Rows with a null id come first, as id -1. A task that is
-    run again writes a file of another name, and only the files named in the result count.
+    Null and empty texts hold the end id alone. Rows with a null id come first, rows that share an id in the
+    order of the table; each row is written. A task that is run again writes a file of another name, and
+    only the files named in the result count. An empty table gives no file. Other columns are ignored,
+    whatever their names.
     """
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, encoder, first, n_ids, name = None, None, None, 0, ""
+        out, encoder, n_ids, name = None, None, 0, ""
         for batch in batches:
             if out is None:
                 settle_gc()
@@ -206,17 +211,18 @@ def write_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, folder:
                 for i, data in zip(ids[start : start + len(texts)], encoder.encode(texts, end_id), strict=True):
                     out.add(i, data)
                     n_ids += len(data) // 4
-            first = ids[0] if first is None and ids else first
         if out is not None:
             out.close()
             stream.close()
             if out.ids:
-                yield pa.RecordBatch.from_pydict({"first": [first], "file": [name], "docs": [len(out.ids)], "n_ids": [n_ids]}, pa.schema([("first", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("n_ids", pa.int64())]))
-
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
-    files = rows.mapInArrow(run, "first long, file string, docs long, n_ids long")
-    return [(r["file"], r["docs"], r["n_ids"]) for r in sorted(files.collect(), key=lambda r: r["first"])]  # a row for each file
+                part = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(out.ids)], "n_ids": [n_ids]}, pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("n_ids", pa.int64())]))
+
+    # Ranges over the id and the row's number, so that an id that many rows share is cut, too.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("nth"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(parts, "id", "nth").sortWithinPartitions("id", "nth")
+    files = rows.select("id", "text").mapInArrow(run, "part int, file string, docs long, n_ids long")
+    return [(r["file"], r["docs"], r["n_ids"]) for r in sorted(files.collect(), key=lambda r: r["part"])]  # a row for each file
 
 
 def read_tokens(spark: SparkSession, files: Iterable[tuple[str, int, int]]) -> DataFrame:

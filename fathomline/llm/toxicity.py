@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,29 +33,75 @@ DEFAULT_TERMS = {"idiot": 4.0, "moron": 4.0, "stupid": 3.0, "loser": 3.0, "scum"
 DEFAULT_EXCEPTIONS = ("trash can", "trash bin", "clown fish", "scum of salt", "pond scum", "stupid question")
 
 _SPACE = " "
-_JOINED = "'’-_*.​‌‍­"  # signs put inside a word are dropped when letters stand on both sides
+_JOINED = "'’-_*."  # signs that can stand between the letters of one word
+_UNSEEN = "\u200b\u200c\u200d\u00ad\ufeff"
+_KEPT = {ord(c): c for c in {*SIGNS, *_JOINED, *"0123456789"}}
+_JOINTS = re.compile(f"[{re.escape(_JOINED)}]+")
+_RUN = re.compile(f"[0-9{re.escape(''.join(SIGNS))}]+")
+_STOPS = "".join(set(SIGNS) - set("@$") - set("0123456789"))  # at a word's end these are punctuation
 
 
 class _Fold(dict):
-    """Character table for str.translate: letters stay, look-alikes become Latin, all else a space."""
+    """Character table for str.translate: letters lose accents and case, look-alikes become Latin.
+
+    Digits and signs that can stand for letters or between them stay for ``_token``; all else becomes a space.
+    """
 
     def __missing__(self, code: int) -> str:
         char = chr(code)
         if 0xFF01 <= code <= 0xFF5E:  # full-width forms
             char = chr(code - 0xFEE0)
-        low = char.lower()
-        out = "".join(HOMOGLYPHS.get(c, SIGNS.get(c, c if c.isalpha() else _SPACE)) for c in low)
+            if ord(char) in _KEPT:
+                self[code] = char
+                return char
+        out = ""
+        for c in char.lower():
+            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) if c not in HOMOGLYPHS else c
+            for x in base:
+                out += HOMOGLYPHS.get(x, x if x.isalpha() else _SPACE)
         self[code] = out
         return out
 
 
 def _folder() -> _Fold:
-    return _Fold({ord(c): "" for c in "​‌‍­﻿"})
+    return _Fold({ord(c): "" for c in _UNSEEN} | _KEPT)
+
+
+def _letters(piece: str) -> str:
+    """A piece of a word with signs and digits read as the letters they stand for: between letters always, at an end up to two of them."""
+    piece = piece.strip(_STOPS)
+    n = sum(map(str.isalpha, piece))
+    if not n:
+        return "".join(filter(str.isdigit, piece))
+
+    def read(m: re.Match) -> str:
+        run = m.group()
+        if 0 < m.start() and m.end() < len(piece) or len(run) <= 2 <= n:
+            return "".join(SIGNS.get(c, c) for c in run)
+        return f" {run} " if run.isdigit() else _SPACE
+
+    return _RUN.sub(read, piece)
+
+
+def _token(token: str) -> str:
+    """Words of a run without white space; single letters with signs between them are one word."""
+    if token.isalpha():
+        return token
+    pieces = [p for p in _JOINTS.split(token) if p]
+    if len(pieces) > 2 and max(map(len, pieces)) == 1:
+        pieces = ["".join(pieces)]
+    return _SPACE.join(map(_letters, pieces))
 
 
 def fold(text: str, table: dict | None = None) -> str:
-    """Folded text, words separated by single spaces, with a space at both ends."""
-    return f" {_SPACE.join(text.translate(table if table is not None else _folder()).split())} "
+    """Folded text, words separated by single spaces, with a space at both ends.
+
+    Case and accents go, look-alike letters become Latin, digits and signs inside a word are read as
+    letters ("1d!ot"), signs between single letters are dropped ("i-d-i-o-t"). Numbers stay numbers and
+    punctuation around a word goes.
+    """
+    words = text.translate(table if table is not None else _folder()).split()
+    return f" {_SPACE.join(_SPACE.join(w if w.isalpha() else _token(w) for w in words).split())} "
 
 
 @dataclass
@@ -91,8 +139,8 @@ def intensity(folded: str, automaton: ahocorasick.Automaton, reach: int) -> floa
         elif weight > best.get(start, 0.0):
             best[start] = weight
     for low, high in spared:
-        for start in [s for s in best if low <= s < high]:
-            del best[start]
+        for start in range(low, high):
+            best.pop(start, None)
     words = max(folded.count(_SPACE) - 1, reach)
     return sum(best.values()) / math.cbrt(words / reach)
 
@@ -125,10 +173,11 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The smallest hash of a text's five-word shingles: the same for most pairs of near copies."""
     for batch in batches:
         keys = []
-        for text in batch.column("text").to_pylist():
-            words = text.lower().split()
-            shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-            keys.append(min(int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=7).digest()) for x in shingles))
+        for _, texts in text_slices(batch, "text"):
+            for text in texts:
+                words = text.lower().split()
+                shingles = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+                keys.append(min(int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=7).digest()) for x in shingles))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("text"), pa.array(keys, pa.int64())], names=["id", "y", "text", "copies_key"])
 
 
@@ -149,12 +198,16 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5) -> tuple[flo
     return float(theta[0] / scale), float(theta[1])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_terms: int = 500, min_share: float = 0.01, min_log_odds: float = 3.5, exceptions: tuple[str, ...] = DEFAULT_EXCEPTIONS, shortest: int = 4, longest: int = 10) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_terms: int = 500, min_share: float = 0.01, min_log_odds: float = 3.5, exceptions: tuple[str, ...] = DEFAULT_EXCEPTIONS, shortest: int = 4, longest: int = 10, max_phrases: int = 200) -> Model:
     """Learn lexicon, weights, exception phrases and curve.
 
     A bounded sample of labelled rows is used: at most ``max_rows`` (a third of them label 1), picked by
-    a hash of their id; of near copies among them (same smallest shingle hash) one is kept. Rows without a 0/1 label or text are left out; an id labelled twice counts with
-    its larger label. Without a labelled row of both kinds the default lexicon is returned.
+    a hash of their id; of near copies among them (same smallest shingle hash) one is kept. Rows without a
+    0/1 label, id or text are left out; an id labelled twice counts with its larger label. Without a labelled
+    row of both kinds the default lexicon is returned. The size of the model is a parameter, too: patterns
+    are words and beginnings of words of ``shortest`` to ``longest`` letters, of which the ``max_terms``
+    strongest make the lexicon (chosen among 20 times as many); at most ``max_phrases`` exception phrases
+    are learned. Documents are scored by it whole, whatever their number.
     """
     label = F.col(label_col).cast("int")
     wanted = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).alias("y"))
@@ -199,7 +252,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         p, w = r["pattern"], float(r["w"])
         if len(chosen) < max_terms and not any(p[:n] in chosen for n in range(shortest + 1, len(p))):
             chosen[p] = w
-    spared = _learned_exceptions(sample, chosen)
+    spared = _learned_exceptions(sample, chosen, most=max_phrases)
     model = Model(chosen or {f" {t}": w for t, w in DEFAULT_TERMS.items()}, [*exceptions, *spared])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +269,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     return model
 
 
-def _learned_exceptions(sample: DataFrame, weights: dict[str, float], least: int = 3, most: int = 200) -> list[str]:
+def _learned_exceptions(sample: DataFrame, weights: dict[str, float], most: int, least: int = 3) -> list[str]:
     """Two-word phrases with a lexicon word that stand in label-0 texts, and in none of label 1."""
     lexicon = Model(weights)
 
@@ -246,7 +299,11 @@ def _learned_exceptions(sample: DataFrame, weights: dict[str, float], least: int
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 appended; map-only. Null and empty texts get the score of no hit."""
+    """``docs`` with a score from 0 to 1 appended; map-only. Null and empty texts get the score of no hit.
+
+    Every row is scored by itself, repeated or not, whatever its id. A column named as ``into`` is replaced;
+    other columns pass through. An empty table gives an empty one.
+    """
     if into in docs.columns:
         docs = docs.drop(into)
     column = docs.columns.index(text_col)
@@ -264,12 +321,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
 
 
 def held_out(id_col: str = "doc_id"):
-    """True for the third of ids that training never sees."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """True for the third of ids that training never sees; false for a null id, which no label can name."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row; learned from rows that are not held out."""
+    """``doc_id, held_out, score, predicted`` of every row; learned from rows that are not held out.
+
+    Null and empty texts get the score of a text without hits, repeated rows a row each, a null id stays
+    null. Columns of ``docs`` beyond ``doc_id`` and ``text`` are ignored, whatever their names. An empty
+    table gives an empty one.
+    """
     model = fit(spark, docs, labels.where(~held_out()))
     rows = score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import uuid
+
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -46,6 +49,20 @@ def test_toxicity(spark, docs, empty, labels):
     assert scored[5] > scored[1] == scored[2] and "key" in toxicity.score(docs, model).columns
 
 
+def test_fold():
+    same = {"you clown!": "you clown", "a clown fish!": "a clown fish", "i-d-i-o-t, 1d10t": "idiot idiot", "2015 was": "2015 was", "sh!t for $100": "shit for 100", "trash-can": "trash can", "na\u00efve \uff29\uff24\uff29\uff2f\uff34": "naive idiot", "\u0456d\u0456\u043et id\u200biot": "idiot idiot", "...": "", "": ""}
+    assert {t: toxicity.fold(t).strip() for t in same} == same
+    found = toxicity.scorer(toxicity.Model({" clown ": 3.0, " idiot": 4.0}, ["clown fish"]))
+    assert found(["you clown!", "you clown", "a clown fish!", "clown fish clown", None]).tolist() == [3.0, 3.0, 0.0, 3.0, 0.0]
+
+
+def test_toxicity_of_odd_rows(spark, labels):
+    rows = [(None, "an idiot"), (None, None), (9, "x" * 3_000_000), (9, "idiot " * 400_000), (9, "idiot " * 400_000)]
+    out = toxicity.toxicity(spark, spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double"), labels).collect()
+    assert len(out) == 5 and all(r.held_out in (True, False) and 0 <= r.score <= 1 for r in out)
+    assert sorted(r.predicted for r in out)[-2:] == [1, 1]
+
+
 def test_licenses(spark, docs, empty):
     assert [(r.doc_id, r.license, r.dice) for r in licenses.scan(spark, docs).collect()] == [(7, "CC-BY-NC-4.0", 1.0)]
     assert licenses.scan(spark, empty).count() == 0
@@ -96,6 +113,37 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(spark, empty).count() == 0
 
 
+def test_token_caches_smaller_than_a_text(spark, monkeypatch):
+    """Texts of more distinct words than the caches hold give what the library gives."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokencount, "CACHE_CHUNKS", 100)
+    monkeypatch.setattr(tokenfile, "CACHE_CHUNKS", 100)
+    texts = [" ".join(f"word{k}x{k * k} and{k}" for k in range(10_000)), None, "a few more words", " ".join(f"word{k}" for k in range(0, 20_000, 3))]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    counter = tokencount.TokenCounter(path)
+    assert counter.count(texts) == want and [counter.count([t])[0] for t in texts] == want
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    encoder = tokenfile.Encoder(path)
+    assert list(encoder.encode(texts, 1)) == want and [b for t in texts for b in encoder.encode([t], 1)] == want
+
+
+def test_token_files_of_null_and_shared_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate([None, -1, None, *[7] * 40, -5, 1 << 60])], "doc_id long, text string")
+    out = sorted(tokenfile.token_files(spark, docs, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [None, None, -5, -1, *[7] * 40, 1 << 60]
+    assert [r.start for r in out] == [sum(x.n_tokens for x in out[:i]) for i in range(len(out))]
+    files = tokenfile.write_tokens(spark, docs, path, "file:///tmp/" + uuid.uuid4().hex)
+    assert len(files) > 2  # the id that most rows share stands in several files
+    first = tokenfile.Reader(files[0][0])
+    assert first.nulls == 2 and first.find(-5) and not first.find(0)
+
+
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = sorted(tokenfile.token_files(spark, docs, path).collect(), key=lambda r: r.start)
