@@ -33,9 +33,6 @@ GROUPS = 5
 CELL_ROWS = 256
 #: Sampled-shingle fingerprints of a document, and shingles under each.
 VIEWS, VIEW_SHINGLES = 10, 3
-#: Bits in which fingerprints of sets of shingles of similarity 0.8 may differ: in 18,000 drawn pairs of 4 to 200
-#: shingles 3 differed in more than 22, none in more than 26.
-REACH = 26
 
 _WORDS = regex.compile("[^\x20\x09-\x0d]+")
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -297,33 +294,39 @@ def duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3, shingle:
 
     Fingerprints link at ``distance`` or fewer differing bits; the component is the smallest id reachable.
     Null, empty and blank texts have fingerprint zero and link like any other. Rows of the same id share
-    the id's place; each row is returned. Rows of a null id have a null component unless their fingerprint links them to an id.
+    the id's place; each row is returned. Rows of a null id link like any other; a component without an id is
+    null. An empty table gives an empty one. Other columns are ignored, whatever their names.
     """
     space = Workspace(spark, "simhash")
     prints = space.keep(fingerprints(docs, shingle, id_col, text_col), "prints")
-    distinct = space.keep(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-    edges = fingerprint_links(space, distinct.where("node is not null"), distance, "whole")
+    distinct = space.keep(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    edges = fingerprint_links(space, distinct.select(F.col("fp").alias("node"), "fp"), distance, "whole")
     # An id repeated with other texts ties its fingerprints together.
-    again = prints.groupBy("id").agg(F.min("fp").alias("f"), F.max("fp").alias("l")).where("f <> l and id is not null").select("id")
-    tied = prints.join(again, "id").join(distinct, "fp").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    reached = connected(space, edges.unionByName(tied))
-    groups = space.keep(distinct.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "groups")
-    space.drop("whole-rows", "whole-often", "distinct")
+    again = space.keep(prints.groupBy("id").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last and id is not null").select("id", "first"), "again")
+    tied = lookup(prints, again, ["id"]).select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    reached = space.keep(connected(space, edges.unionByName(tied)).select(F.col("node").alias("fp"), "component"), "reached")
+    of_fp = space.keep(lookup(distinct, reached, ["fp"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "of_fp")
+    many = space.keep(of_fp.join(reached.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    groups = space.keep(lookup(of_fp, many, ["component"], "left").select("fp", F.coalesce("smallest", "least").alias("component_id")), "groups")
+    space.drop("whole-rows", "whole-often", "distinct", "again", "reached", "of_fp", "smallest")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return lookup(prints, groups, ["fp"]).select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
-def _link_candidates(distance: int, reach: int):
-    """Links of a cell to be verified: within ``distance`` in a grid cell, within ``reach`` in a view's."""
+def _link_candidates(distance: int):
+    """Links of a cell to be verified: within ``distance`` in a grid cell; all in a view's, each to the first."""
 
     def link(table: pa.Table) -> list[tuple[int, int]]:
         fps, nodes = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
-        limits = np.where(table.column("viewed").to_numpy(zero_copy_only=False), reach, distance)
+        viewed = table.column("viewed").to_numpy(zero_copy_only=False)
         edges: list[tuple[int, int]] = []
         for a, b in zip(*(x.tolist() for x in _runs(table)), strict=True):
-            if b - a > 1:
-                limit = int(limits[a])
-                edges += [(int(nodes[a + i]), int(nodes[a + j])) for i, j in forest(b - a, lambda i, js, a=a, limit=limit: np.bitwise_count(fps[a + js] ^ fps[a + i]) <= limit)]
+            if b - a < 2:
+                continue
+            if viewed[a]:
+                edges += [(int(nodes[a]), int(n)) for n in nodes[a + 1 : b]]
+            else:
+                edges += [(int(nodes[a + i]), int(nodes[a + j])) for i, j in forest(b - a, lambda i, js, a=a: np.bitwise_count(fps[a + js] ^ fps[a + i]) <= distance)]
         return edges
 
     return link
@@ -340,14 +343,16 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 3, views: int = VIEWS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 3, views: int = VIEWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of the ids that have a near duplicate, themselves included.
 
     Ids link at a similarity (Jaccard, sets of word shingles) of at least ``similarity``; the component is
     the smallest id reachable. Candidates are within ``distance`` bits in the fingerprint of the set of
-    shingles, or agree in one of the ``views`` and are within ``reach`` bits; their groups are verified on
-    the full shingle sets. The fingerprint leaves out repeats, as the similarity does. At similarity 0.8 a view of 3 shingles brings a pair together with probability 0.51,
-    ten views with over 0.999. Null and blank texts are one group. Null ids take no part.
+    shingles, or agree in one of the ``views``; their groups are verified on the full shingle sets. The
+    fingerprint leaves out repeats, as the similarity does. At similarity 0.8 a view of 3 shingles brings a
+    pair together with probability 0.51, ten views with over 0.999. Null and blank texts are one group.
+    Null ids take no part; rows that share an id are taken as one. An empty table gives an empty one. Other
+    columns are ignored, whatever their names.
     """
     space = Workspace(spark, "near")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -361,7 +366,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.
     whole = _cell_rows(nodes, distance).withColumn("viewed", F.lit(False))
     viewed = nodes.select("node", "fp", F.posexplode("views").alias("v", "x")).select(F.xxhash64(F.lit("view"), "v", "x").alias("key"), "node", "fp", F.lit(True).alias("viewed"))
     dealt = cells(space, whole.unionByName(viewed), "seek").repartition(parts, "cell").sortWithinPartitions("cell", "node")
-    sought = dealt.select("cell", "node", "fp", "viewed").mapInArrow(_by_cell(_link_candidates(distance, reach)), "a long, b long")
+    sought = dealt.select("cell", "node", "fp", "viewed").mapInArrow(_by_cell(_link_candidates(distance)), "a long, b long")
     clusters = space.keep(connected(space, sought), "clusters")
     sizes = space.keep(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sized = space.keep(lookup(clusters, sizes, ["component"]).select("node", F.col("component").alias("cluster"), "n"), "sized")

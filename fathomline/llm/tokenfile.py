@@ -10,6 +10,7 @@ its frame alone.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import unicodedata
 import uuid
@@ -30,8 +31,9 @@ from fathomline.llm.runtime import Workspace, settle_gc, text_slices, worker_mem
 # Fixed values of the seekable format.
 TABLE_MAGIC, FOOTER_MAGIC, IDS_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
 #: Chunks of text whose ids a worker remembers from one slice of texts to the next; beyond, it starts anew.
-CACHE_CHUNKS = 400_000
-_SIGNS = ".,;:!?"
+CACHE_CHUNKS = 800_000
+#: Signs that make one piece before or behind a word (an apostrophe can open a piece with the letters behind it).
+_SIGNS = string.punctuation.replace("'", "")
 
 
 def _checksum(data: bytes) -> int:
@@ -46,8 +48,8 @@ def _is_word(chunk: str) -> bool:
 class Encoder:
     """Ids of texts as bytes. Chunks between single spaces or line ends are encoded by the library once.
 
-    The vocabulary drops white space and starts a new piece wherever a run of letters ends, so chunks, and
-    a word and the sign behind it, can be encoded apart.
+    The vocabulary lower-cases, drops white space and starts a new piece wherever a run of letters or of signs
+    ends, so chunks, and a word and the signs around it, can be encoded apart.
     """
 
     def __init__(self, path: str):
@@ -58,6 +60,7 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -88,14 +91,27 @@ class Encoder:
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[chunk] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, unseen: set[str]) -> None:
-        plain = set(filter(_is_word, unseen))
-        signed = [c for c in unseen - plain if c[-1:] in _SIGNS and _is_word(c[:-1])]
-        plain.update(c[:-1] for c in signed)
-        self._words([c for c in plain if c not in self.known])
-        self._others([*unseen.difference(plain, signed), *_SIGNS])
+    def _learn(self, unseen: list[str]) -> None:
+        words, others, made = set(), set(), []
+        for chunk in unseen:
+            front = chunk.rstrip(_SIGNS)
+            word = front.lstrip(_SIGNS)
+            if not _is_word(word):
+                others.add(chunk)
+                continue
+            head, tail = chunk[: len(front) - len(word)], chunk[len(front) :]
+            if head and any(s in chunk for s in self.special):
+                others.add(chunk)
+                continue
+            word = word.lower() if word.isascii() else word
+            words.add(word)
+            if word != chunk:
+                others.update((head, tail))
+                made.append((chunk, head, word, tail))
+        self._words([w for w in words if w not in self.known])
+        self._others([c for c in others if c not in self.known])
         get = self.known.__getitem__
-        self.known.update([(c, get(c[:-1]) + get(c[-1])) for c in signed])
+        self.known.update([(chunk, get(head) + get(word) + get(tail)) for chunk, head, word, tail in made])
 
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[bytes]:
         end = struct.pack("<I", end_id)
@@ -103,7 +119,8 @@ class Encoder:
         needed = {c for chunks in cut for c in chunks}
         if len(self.known) > CACHE_CHUNKS:  # emptied between slices only, so all that a slice needs is there
             self.known.clear()
-        if unseen := needed - self.known.keys():
+        known = self.known
+        if unseen := [c for c in needed if c not in known]:
             self._learn(unseen)
         get = self.known.__getitem__
         for chunks in cut:

@@ -11,7 +11,6 @@ import gc
 import hashlib
 import math
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,7 +41,7 @@ _STOPS = "".join(set(SIGNS) - set("@$") - set("0123456789"))  # at a word's end
 
 
 class _Fold(dict):
-    """Character table for str.translate: letters lose accents and case, look-alikes become Latin.
+    """Character table for str.translate: letters lose case, look-alikes become Latin.
 
     Digits and signs that can stand for letters or between them stay for ``_token``; all else becomes a space.
     """
@@ -54,11 +53,7 @@ class _Fold(dict):
             if ord(char) in _KEPT:
                 self[code] = char
                 return char
-        out = ""
-        for c in char.lower():
-            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) if c not in HOMOGLYPHS else c
-            for x in base:
-                out += HOMOGLYPHS.get(x, x if x.isalpha() else _SPACE)
+        out = "".join(HOMOGLYPHS.get(c, c if c.isalpha() else _SPACE) for c in char.lower())
         self[code] = out
         return out
 
@@ -96,7 +91,7 @@ def _token(token: str) -> str:
 def fold(text: str, table: dict | None = None) -> str:
     """Folded text, words separated by single spaces, with a space at both ends.
 
-    Case and accents go, look-alike letters become Latin, digits and signs inside a word are read as
+    Case goes (accents stay: they tell words apart), look-alike letters become Latin, digits and signs inside a word are read as
     letters ("1d!ot"), signs between single letters are dropped ("i-d-i-o-t"). Numbers stay numbers and
     punctuation around a word goes.
     """

@@ -50,7 +50,7 @@ def test_toxicity(spark, docs, empty, labels):
 
 
 def test_fold():
-    same = {"you clown!": "you clown", "a clown fish!": "a clown fish", "i-d-i-o-t, 1d10t": "idiot idiot", "2015 was": "2015 was", "sh!t for $100": "shit for 100", "trash-can": "trash can", "na\u00efve \uff29\uff24\uff29\uff2f\uff34": "naive idiot", "\u0456d\u0456\u043et id\u200biot": "idiot idiot", "...": "", "": ""}
+    same = {"you clown!": "you clown", "a clown fish!": "a clown fish", "i-d-i-o-t, 1d10t": "idiot idiot", "2015 was": "2015 was", "sh!t for $100": "shit for 100", "trash-can": "trash can", "na\u00efve \uff29\uff24\uff29\uff2f\uff34": "na\u00efve idiot", "\u0456d\u0456\u043et id\u200biot": "idiot idiot", "...": "", "": ""}
     assert {t: toxicity.fold(t).strip() for t in same} == same
     found = toxicity.scorer(toxicity.Model({" clown ": 3.0, " idiot": 4.0}, ["clown fish"]))
     assert found(["you clown!", "you clown", "a clown fish!", "clown fish clown", None]).tolist() == [3.0, 3.0, 0.0, 3.0, 0.0]
@@ -69,9 +69,11 @@ def test_licenses(spark, docs, empty):
 
 
 def test_lines(spark, docs, empty):
-    out = {r.doc_id: r for r in linedup.deduplicate_lines(spark, docs).collect()}
+    rows = linedup.deduplicate_lines(spark, docs).collect()
+    out = {r.doc_id: r for r in rows}
     assert out[7].text == "Licensed under CC BY-NC 4.0.\nsecond line of this short text" and out[7].lines_dropped == 1
-    assert out[1].text is None and out[2].text == "" and out[6].text == "" and out[5].text == ROWS[4][1]
+    assert out[1].text is None and out[2].text == "" and out[6].text == ""
+    assert sorted(r.text for r in rows if r.doc_id == 5) == ["", ROWS[4][1]] and out[None].text == ROWS[7][1]
     assert linedup.deduplicate_lines(spark, empty).count() == 0
 
 
@@ -96,7 +98,7 @@ def test_topk(spark):
 
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, "you are a pathetic loser and an idiot"), (2, None), (3, ""), (None, "x"), (4, "single")], "item_id long, text string")
-    assert sorted((r.doc_id, r.item_id, r.equal_tokens) for r in decontaminate.overlaps(spark, docs, bench).collect()) == [(5, 1, 8), (5, 1, 8), (6, 1, 8)]
+    assert sorted((r.doc_id, r.item_id, r.equal_tokens) for r in decontaminate.overlaps(spark, docs, bench).collect()) == [(5, 1, 8), (5, 1, 8), (6, 1, 8), (8, 4, 1)]  # an item of few tokens is found where it is the whole text
     assert decontaminate.overlaps(spark, empty, bench).count() == 0 and decontaminate.overlaps(spark, docs, bench.limit(0)).count() == 0
 
 
@@ -147,7 +149,7 @@ def test_token_files_of_null_and_shared_ids(spark):
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = sorted(tokenfile.token_files(spark, docs, path).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in out] == [-1, 1, 2, 3, 4, 5, 5, 6, 7, 8]
+    assert [r.doc_id for r in out] == [None, 1, 2, 3, 4, 5, 5, 6, 7, 8]
     assert [r.start for r in out] == [sum(x.n_tokens for x in out[:i]) for i in range(len(out))] and out[1].n_tokens == 1
     assert tokenfile.token_files(spark, empty, path).count() == 0
 

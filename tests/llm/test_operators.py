@@ -152,7 +152,7 @@ def test_decontamination(spark):
             want.add((i, k))
         rows.append((i, " ".join(body)))
     bench = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in items], "item_id long, text string")
-    out = decontaminate.overlaps(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench, chunk_tokens=200)
+    out = decontaminate.overlaps(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert {(r.doc_id, r.item_id) for r in out.collect()} == want
 
 

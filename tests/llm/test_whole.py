@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import itertools
 from fractions import Fraction
 
 import numpy as np
+from conftest import DATA
 
 from fathomline.llm import decontaminate, licenses, mixing, simhash
 
@@ -25,6 +27,47 @@ def test_decontamination_finds_every_stretch_of_a_diagonal(spark):
     assert all(r.equal_tokens >= 12 and r.equal_tokens >= 0.8 * r.length for r in out)
 
 
+def test_masks_hit_all_that_counts():
+    """Every way to leave 12 equal tokens, four in five, of up to 20, and the share an item of 5 to 11 tokens needs."""
+    for masks, lengths, needed in ((decontaminate.MASKS, range(12, 21), lambda n: max(12, -(-n * 4 // 5))), (decontaminate.SHORT_MASKS, range(5, 12), lambda n: max(5, -(-n * 4 // 5)))):
+        bits = [(sum(1 << k for k, c in enumerate(m) if c == "1"), len(m)) for m in masks]
+        for n in lengths:
+            for gone in itertools.combinations(range(n), n - needed(n)):
+                same = (1 << n) - 1 - sum(1 << k for k in gone)
+                assert any((same >> p) & b == b for b, span in bits for p in range(n - span + 1)), (n, gone)
+
+
+def test_decontamination_equals_all_diagonals(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    short = [(9001, "one two three four five"), (9002, "some words of seven that stand here"), (9003, "two words")]
+    rng = np.random.default_rng(9)
+    made = [(9100, "x one two three four five y"), (9101, "some words of seven that stood here"), (9102, "two words"), (9103, "two words more")]
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()
+    long = decontaminate.tokens_of(bench[0].text)
+    made += [(9200 + k, " ".join(w if x else f"q{k}" for w, x in zip(long, rng.random(len(long)) < 0.82, strict=True))) for k in range(30)]
+    rows = [tuple(r) for r in docs.collect()] + made + [(9300, None), (9301, "")]
+    items = [tuple(r) for r in bench] + short
+    words = {w: n for n, w in enumerate({w for _, t in rows + items for w in decontaminate.tokens_of(t)})}
+    code = lambda t: np.array([words[w] for w in decontaminate.tokens_of(t)], int)
+    texts, wanted = [(i, code(t)) for i, t in rows], set()
+    for item, w in ((i, code(t)) for i, t in items):
+        needed = decontaminate._needed(len(w), 12, 0.8)
+        for doc, t in texts:
+            if len(np.intersect1d(w, t)) < min(needed, 3) or (len(w) < 5 and len(w) != len(t)):
+                continue
+            best = 0
+            for d in range(-len(w) + 1, len(t)):
+                a, b = max(0, -d), min(len(w), len(t) - d)
+                same = t[a + d : b + d] == w[a:b]
+                if same.sum() >= needed:
+                    best = max(best, decontaminate.best_stretch(same, 0.8)[2])
+            if best >= needed:
+                wanted.add((doc, item, best))
+    out = decontaminate.overlaps(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.equal_tokens) for r in out.collect()} == wanted
+    assert {(d, i) for d, i, _ in wanted if i > 9000} == {(9100, 9001), (9101, 9002), (9102, 9003)} and len(wanted) > 20
+
+
 def test_mix_keeps_to_weights_that_no_period_holds(spark):
     names = [f"s{k:02}" for k in range(20)]
     weights = {s: 0.333 if k == 0 else (1.0 + k) ** 0.7 * 0.01 for k, s in enumerate(names)} | {"s19": 0.0001}
