@@ -15,54 +15,78 @@ from fathomline.llm.runtime import Workspace, lookup
 TOXIC = 0.7
 
 
+def numbered_rows(space: Workspace, docs: DataFrame) -> DataFrame:
+    """The rows as a struct ``doc`` with a number of their own, ``row``; written, so that the numbers stay."""
+    return space.keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is under TOXIC. The lexicon is learned from the labels of ``sf_dir`` that are not held out."""
+    """Rows whose toxicity score is under TOXIC. The lexicon is learned from the labels of ``sf_dir`` that are not held out.
+
+    Null and empty texts have no hit and stay; repeated rows are judged alike; an empty table stays empty.
+    All columns pass, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
     model = toxicity.fit(spark, docs, labels)
-    scored = toxicity.score(docs, model, into="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    scored = toxicity.score(docs.select(F.struct("*").alias("doc"), "text"), model)
+    return scored.where(F.col("score") < TOXIC).select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked by a five-word shingle similarity of 0.8 or more.
+    """One row of each group linked by a five-word shingle similarity of 0.8 or more: the smallest id (null last), then the first in the table.
 
-    An id that occurs in several rows keeps one of them, the one with the smallest text; rows of a null id all stay.
+    Every row counts for itself: rows that share an id stay if their texts differ, and one stays if they are
+    copies. Null and empty texts are one group. An empty table stays empty; all columns pass.
     """
     space = Workspace(spark, "stage-near")
-    groups = simhash.near_duplicates(spark, docs)
-    gone = space.keep(groups.where("doc_id <> component_id").select("doc_id"), "gone")
-    kept = lookup(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
-    again = space.keep(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    once = lookup(kept, again, ["doc_id"], "left_anti")
-    first = lookup(kept, again, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return once.unionByName(first)
+    rows = numbered_rows(space, docs)
+    groups = space.keep(simhash.near_duplicates(spark, rows.select(F.col("row").alias("doc_id"), "doc.text")), "groups")
+    members = lookup(rows.select(F.col("row").alias("doc_id"), F.col("doc.doc_id").alias("id")), groups, ["doc_id"])
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "doc_id")
+    firsts = space.keep(members.groupBy("component_id").agg(F.min(order).getField("doc_id").alias("doc_id")).select("doc_id"), "firsts")
+    gone = space.keep(lookup(groups, firsts, ["doc_id"], "left_anti").select(F.col("doc_id").alias("row")), "gone")
+    return lookup(rows, gone, ["row"], "left_anti").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no passage of the benchmark. Rows of a null id all stay."""
+    """Rows that hold no passage of the benchmark; each row is judged by its own text, whatever its id.
+
+    Null and empty texts hold none and stay. An empty table stays empty; all columns pass.
+    """
     space = Workspace(spark, "stage-leaks")
-    found = decontaminate.overlaps(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = space.keep(found.where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return lookup(docs, leaks, ["doc_id"], "left_anti").select(*docs.columns)
+    rows = numbered_rows(space, docs)
+    found = decontaminate.overlaps(spark, rows.select(F.col("row").alias("doc_id"), "doc.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = space.keep(found.select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    return lookup(rows, leaks, ["row"], "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the mix: the files, by name, and the rows in them follow the schedule."""
+    """All rows in the order of the mix: the files, by name, and the rows in them follow the schedule.
+
+    Texts play no part; a null source is a source, rows with equal or null ids are placed each. An empty
+    table stays empty; all columns pass.
+    """
     space = Workspace(spark, "stage-mix")
-    places = space.keep(mixing.mix(spark, docs).groupBy("doc_id").agg(F.min("position").alias("_position")), "places")
+    rows = numbered_rows(space, docs)
+    places = space.keep(mixing.mix(spark, rows.select(F.col("row").alias("doc_id"), "doc.source")).select(F.col("doc_id").alias("row"), "position"), "places")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.join(places.hint("merge"), "doc_id", "left")
-    return rows.repartitionByRange(parts, "_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*docs.columns)
+    placed = rows.join(places.hint("merge"), "row")
+    return placed.repartitionByRange(parts, "position").sortWithinPartitions("position").select("doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with ``size, shard, slot``: eight contiguous shards of the mixed order, equal texts together."""
+    """The rows with ``size, shard, slot``: eight contiguous shards of the mixed order, equal texts together.
+
+    Null and empty texts have size 1 and are one group; repeated rows get a place each. Columns of the
+    input named ``size``, ``shard`` or ``slot`` are replaced; others pass. An empty table stays empty.
+    """
     space = Workspace(spark, "stage-shard")
 
     def placed(rows: DataFrame) -> DataFrame:
-        return rows.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth")).alias("_place"))
+        # Part numbers are compared as numbers: from 100,000 files on names no longer sort like them.
+        file = F.col("_metadata.file_name")
+        part = F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long")
+        return rows.select("*", F.struct(part.alias("part"), file.alias("file"), F.col("_metadata.row_index").alias("nth")).alias("_place"))
 
     try:
         rows = placed(docs)
