@@ -10,18 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The conditions and disclaimers of short licenses, in full.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_0BSD_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_UNLICENSE = ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.")
+_ZLIB = ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.", "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "3. This notice may not be removed or altered from any source distribution.")
+_APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.")
+
+
+def _in_full(*parts: str) -> list[str]:
+    """The whole text, and each of its paragraphs by itself."""
+    return [" ".join(parts), *parts]
+
+
 # Notices by which texts name their license, and short licenses in full.
 NOTICES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", f"{_MIT_GRANT} {_MIT_NOTICE}", *_in_full(_MIT_GRANT, _MIT_NOTICE, _MIT_WARRANTY)],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", *_in_full(*_APACHE)],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License v2.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v3.0.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", _BSD_NAMES, " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES, _BSD_WARRANTY)), " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES))],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", *_in_full(_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_WARRANTY), " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY))],
+    "ISC": ["Released under the ISC License.", *_in_full(_ISC_GRANT, _ISC_WARRANTY)],
+    "0BSD": [_0BSD_GRANT, f"{_0BSD_GRANT} {_ISC_WARRANTY}"],
+    "Zlib": ["Released under the zlib License.", *_in_full(*_ZLIB)],
+    "Unlicense": _in_full(*_UNLICENSE),
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -64,7 +89,9 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
 
     Pieces are the lines, the paragraphs (between empty lines) and the whole text, each distinct one once;
     pieces of more distinct words, and so of more distinct bigrams, than any template can match are left out.
-    A document without notice, a null or an empty text has no row. Repeated rows with an id count together.
+    A document without notice, a null or an empty text has no row. Every row of the table counts for itself,
+    whatever its id. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    Notices within a longer line or paragraph, and the long licenses' full texts, are beyond the templates.
     """
     templates = _templates(notices or NOTICES)
     known = sorted({b for _, bs in templates for b in bs})
@@ -74,14 +101,14 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
     table = spark.createDataFrame(fits, "n int, license string, template array<string>")  # as large as the list of notices
     text = F.col(text_col)
     pieces = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(pieces).alias("piece"))
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(pieces).alias("nth", "piece"))
     most = max((n for n, _, _ in fits), default=0) + 1
-    rows = rows.select("doc_id", F.split(normal(F.col("piece")), " ").alias("words")).where((F.col("words")[0] != "") & ((F.size("words") <= most) | (F.size(F.array_distinct("words")) <= most)))
-    rows = rows.select("doc_id", bigrams(F.col("words")).alias("all"))
-    rows = rows.select("doc_id", F.array_distinct(F.filter("all", lambda b: b.isin(known))).alias("shared"), F.size(F.array_distinct("all")).alias("n")).where(F.size("shared") > 0)
+    rows = rows.select("doc_id", "row", "nth", F.split(normal(F.col("piece")), " ").alias("words")).where((F.col("words")[0] != "") & ((F.size("words") <= most) | (F.size(F.array_distinct("words")) <= most)))
+    rows = rows.select("doc_id", "row", "nth", bigrams(F.col("words")).alias("all"))
+    rows = rows.select("doc_id", "row", "nth", F.array_distinct(F.filter("all", lambda b: b.isin(known))).alias("shared"), F.size(F.array_distinct("all")).alias("n")).where(F.size("shared") > 0)
     hits = rows.join(F.broadcast(table), "n")
     dice = 2.0 * F.size(F.array_intersect("shared", "template")) / (F.col("n") + F.size("template"))
-    hits = hits.select("doc_id", "license", dice.alias("dice"), "shared", "n").where(F.col("dice") >= threshold - slack)
+    hits = hits.select("doc_id", "row", "nth", "license", dice.alias("dice")).where(F.col("dice") >= threshold - slack)
     # Each piece goes to the license it is closest to (ties to the later name).
-    each = hits.groupBy("doc_id", "shared", "n").agg(F.max(F.struct("dice", "license")).alias("best"))
-    return each.groupBy("doc_id", F.col("best.license").alias("license")).agg(F.round(F.max("best.dice"), 9).alias("dice"), F.count(F.lit(1)).alias("pieces"))
+    each = hits.groupBy("doc_id", "row", "nth").agg(F.max(F.struct("dice", "license")).alias("best"))
+    return each.groupBy("doc_id", "row", F.col("best.license").alias("license")).agg(F.round(F.max("best.dice"), 9).alias("dice"), F.count(F.lit(1)).alias("pieces")).drop("row")
