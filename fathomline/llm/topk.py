@@ -177,8 +177,10 @@ def top_k(spark: SparkSession, rows: DataFrame, k: int = 10, query_every: int =
         page = dealt(part, pages, "page")
         block = dealt(part.where(F.col("id") % query_every == 0), blocks, "block").drop("part")
         # Every block meets every page: an equi-join on the page number.
+        # Blocks travel to the pages, which are moved once; a block is a small part of a page.
         asked = block.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))))
-        meet = page.join(asked, "part").repartition(max(1, min(4 * parts, pages * blocks)), "part", F.xxhash64("block"))
+        tasks = max(1, min(4 * parts, pages))
+        meet = page.repartition(tasks, "part").hint("merge").join(asked.repartition(tasks, "part"), "part")
         found_here = meet.select("part", "page", "block").mapInArrow(_search(k, float(length)), "query_id long, vec_id long, score long")
         found = found_here if found is None else found.unionByName(found_here)
     if found is None:
