@@ -121,10 +121,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: Mapping[object, float] |
     """``doc_id, source, weight, block, slot, position`` of every row.
 
     Within a source rows are taken in the order of a hash of their id. ``slot`` is the place of a row's
-    block, ``position`` (gapless from 0) its place in the mixed sequence. Sources missing in ``weights``
-    weigh 0.001 of the total, so every row is placed. All sources take part at their weights until they
+    block, ``position`` (gapless from 0) its place in the mixed sequence. Sources missing in ``weights``, or
+    of weight 0 there, weigh 0.001 of the total, so every row is placed. All sources take part at their weights until they
     end; nothing is dropped or repeated. A null source is a source. Repeated rows are placed each. More than
-    MOST_SOURCES sources raise ValueError: there is no schedule for them.
+    MOST_SOURCES sources raise ValueError: there is no schedule for them. Rows of a null id are placed like
+    any other. An empty table gives an empty one. Other columns are ignored, whatever their names. The
+    driver walks one slot a block, so ``block_docs`` should grow with the table.
     """
     space = Workspace(spark, "mix")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("nth"))

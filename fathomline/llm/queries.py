@@ -15,42 +15,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see ``toxicity.toxicity`` for nulls, repeated rows, empty tables and clashing columns."""
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in all documents; edge cases as in ``licenses.scan``."""
     return licenses.scan(spark, _table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line de-duplication leaves of all documents, as counts and checksums; edge cases as in ``linedup.deduplicate_lines``."""
     return linedup.digest(spark, _table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents; edge cases as in ``simhash.duplicates``."""
     return simhash.duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every id divisible by 100; edge cases as in ``topk.top_k``."""
     return topk.top_k(spark, _table(spark, sf_dir, "embeddings"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with the benchmark; edge cases as in ``decontaminate.overlaps``."""
     return decontaminate.overlaps(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; edge cases as in ``tokencount.token_counts``."""
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of all documents in the mix; edge cases as in ``mixing.mix``."""
     return mixing.mix(spark, _table(spark, sf_dir, "documents"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back; edge cases as in ``tokenfile.write_tokens``."""
     return tokenfile.token_files(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of all documents; edge cases as in ``sharding.shards``."""
     return sharding.shards(spark, _table(spark, sf_dir, "documents"), 8)
 
 

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         context.setCheckpointDir(found)
     return found
