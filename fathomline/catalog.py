@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import factors
+from fathomline.functions.keeping import kept
 from fathomline.functions.rolling import change, series, zscore
 from fathomline.operators import folds, ic, metrics, panel, positions, ranker, search, selection, signals
 from fathomline.oracles import FACTORS6, ORACLE
@@ -136,8 +137,7 @@ def p05_common_range_align(spark, d):
 
 @query
 def p04_pivot_panel(spark, d):
-    codes = ["AF", "NF", "RF"]
-    return shown(panel.pivot(nav(spark, d).where(F.col("code").isin(codes)), codes))
+    return shown(panel.pivot(nav(spark, d), [a + b for a in "ANR" for b in "FO"]))
 
 
 @query
@@ -271,10 +271,10 @@ def w33_segment_metrics(spark, d):
 
 @query
 def t09_strategy_summary(spark, d):
-    out = None
-    for name in signals.STRATEGIES:
-        one = metrics.return_metrics(signals.backtest(signals.generate(nav(spark, d), name)), ["code"]).withColumn("strategy", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    names = list(signals.STRATEGIES)
+    curves = signals.backtest(signals.generate_all(nav(spark, d), [(n, None) for n in names]), by=("code", "variant"))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("variant") + 1)
+    out = metrics.return_metrics(curves, ["code", "variant"]).withColumn("strategy", name).drop("variant")
     order = series("code").orderBy(F.desc("sharpe"), F.desc("annual_return"), "strategy")
     return shown(out).withColumn("place", F.row_number().over(order).cast("long"))
 
@@ -395,15 +395,31 @@ def t03_corr_drop(spark, d):
 @query
 def x16_forward_search(spark, d):
     long = labelled(spark, d)
-    paths = selection.forward_search(spark, long, summaries(spark, d), ["code"], levels=2)
+    paths = selection.forward_search(spark, long, summaries(spark, d), ["code"])
     return shown(paths.select("code", "subset_id", "factor_count", "step", "train_icir", "valid_icir"))
 
 
+def _best_forward(spark: SparkSession, long: DataFrame, summed: DataFrame) -> DataFrame:
+    paths = selection.forward_search(spark, long, summed, ["code"])
+    return selection.best_path(selection.top_train_paths(paths, ["code"]), ["code"])
+
+
+@query
+def x20_extension_search(spark, d):
+    long, summed = labelled(spark, d), kept(summaries(spark, d))
+    out = selection.extension_search(long, summed, _best_forward(spark, long, summed), ["code"])
+    return shown(out.select("code", "subset_id", "factor_count", "source", "train_icir", "valid_icir", "is_final"))
+
+
+@query
+def t06_best_method(spark, d):
+    out = search.best_method(labelled(spark, d), summaries(spark, d), ["code"])
+    return shown(out.select("code", "method_name", "train_icir", "valid_icir", "is_best"))
+
+
 @query
 def t05_best_path(spark, d):
-    paths = selection.forward_search(spark, labelled(spark, d), summaries(spark, d), ["code"], levels=2)
-    best = selection.best_path(selection.top_train_paths(paths, ["code"]), ["code"])
-    return shown(best.select("code", "subset_id", "factor_count", "train_icir", "valid_icir"))
+    return shown(_best_forward(spark, labelled(spark, d), summaries(spark, d)).select("code", "subset_id", "factor_count", "train_icir", "valid_icir"))
 
 
 @query
@@ -427,8 +443,8 @@ def x14_weighted_score_ic(spark, d):
 
 @query
 def x15_weight_tuning(spark, d):
-    weights = selection.equal_weights(summaries(spark, d).where("candidate_label in ('momentum', 'drawdown')"), ["code"])
-    return shown(search.tune_weights(spark, labelled(spark, d), weights, ["code"], 10, 5).select("code", "trial_number", "train_icir", "valid_icir", "is_best"))
+    weights = selection.icir_weights(summaries(spark, d), ["code"])
+    return shown(search.tune_weights(spark, labelled(spark, d), weights, ["code"]).select("code", "trial_number", "train_icir", "valid_icir", "is_best"))
 
 
 @query
@@ -474,7 +490,7 @@ def a13_fold_aggregate(spark, d):
 def x12_position_search(spark, d):
     rows = scored(spark, d).withColumn("pos", F.row_number().over(series("code")))
     cut = folds.with_folds(rows, folds.fold_table(spark, nav(spark, d)))
-    out = search.search_positions(spark, rows, cut, 3)
+    out = search.search_positions(spark, rows, cut)
     return shown(out.select("code", "trial_number", "kind", "train_sharpe", "valid_sharpe", "is_best"))
 
 
@@ -494,18 +510,21 @@ def x21_objective(spark, d):
     return shown(figures.select("code", search.objective(F.col("sharpe"), F.col("max_drawdown")).alias("objective")))
 
 
-@query
-def x22_optimize(spark, d):
-    out = search.optimize_ma_cross(spark, prepared(spark, d).drop("ret"), split_bounds(spark, d), 10)
-    return shown(out.select("code", "trial_number", "fast", "slow", "value", "valid_sharpe", "test_sharpe", "is_best"))
+def _optimize_query(strategy: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = search.optimize(spark, prepared(spark, d).drop("ret"), split_bounds(spark, d), strategy)
+        return shown(out.select("code", "trial_number", "params", "value", "train_sharpe", "valid_sharpe", "test_sharpe", "is_best"))
+
+    return run
+
+
+QUERIES |= {"x22_optimize": _optimize_query("ma_cross"), "x22_optimize_momentum": _optimize_query("momentum"), "x22_optimize_multi_factor": _optimize_query("multi_factor_score")}
 
 
 @query
 def a14_walk_forward(spark, d):
-    bounds = _folds(spark, d, lambda n: folds.walk_forward(n, step=600))
-    out = search.walk_forward(spark, prepared(spark, d).drop("ret"), bounds, 4)
-    rows = out.withColumn("train_mean", F.col("train_annual_return") / metrics.YEAR).withColumn("test_mean", F.col("test_annual_return") / metrics.YEAR)
-    return shown(metrics.walk_forward_summary(rows))
+    bounds = _folds(spark, d, folds.walk_forward)
+    return shown(metrics.walk_forward_summary(search.walk_forward(spark, prepared(spark, d).drop("ret"), bounds)))
 
 
 @query

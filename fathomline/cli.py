@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import factors
 from fathomline.operators import folds, metrics, search, signals
-from fathomline.plans.stages import STAGES, Config, backtests, research
+from fathomline.plans.stages import OUTPUTS, STAGES, Config, backtests, load_stage, research
 from fathomline.sources import prices as source
 
+#: Options that name the artefacts of a stage, in the order of the stages.
+ARTEFACTS = ("--preprocess-path", "--factor-selection-path", "--stability-analysis-path", "--dedup-selection-path", "--factor-combination-path")
 BACKTESTS = ("single", "batch", "compare", "optimize", "walk-forward")
 
 
@@ -41,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--train-min-spearman-icir", type=float)
             p.add_argument("--ic-exp-weighted", action="store_true")
             p.add_argument("--dedup-root-topk", type=int)
+            for name in ARTEFACTS:
+                p.add_argument(name, help="comma-separated artefacts to go on from")
     return top
 
 
@@ -61,7 +65,13 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | dict:
     args = parser().parse_args(argv)
     config, rows = config_of(args), chosen(spark, args)
     if args.kind == "research":
-        return research(spark, rows, config, args.command)
+        named = [(k, vars(args)[a.removeprefix("--").replace("-", "_")]) for k, a in enumerate(ARTEFACTS)]
+        start = {}
+        for stage, paths in ((k, v) for k, v in named if v):
+            if stage >= STAGES.index(args.command):
+                raise ValueError(f"{ARTEFACTS[stage]} belongs to a later stage than {args.command}")
+            start = {load_stage(p, stage)[OUTPUTS[stage]]["fund_code"]: p for p in paths.split(",")}
+        return research(spark, rows, config, args.command, start or None)
     if args.command in ("single", "batch"):
         return backtests(rows, config)
     if args.command == "compare":
@@ -70,11 +80,9 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | dict:
     sizes = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     if args.command == "optimize":
         table = folds.fold_table(spark, rows, lambda n: [(1, s, a, b) for s, (a, b) in folds.ratio_split(n).items()])
-        return search.optimize_ma_cross(spark, prepared, sizes.join(F.broadcast(table), "n").drop("n", "fold_id"), config.n_trials)
+        return search.optimize(spark, prepared, sizes.join(F.broadcast(table), "n").drop("n", "fold_id"), config.strategy, config.n_trials, config.params.get(config.strategy))
     table = folds.fold_table(spark, rows, lambda n: folds.walk_forward(n, config.window, config.step))
-    found = search.walk_forward(spark, prepared, sizes.join(F.broadcast(table), "n").drop("n"), config.n_trials)
-    year = metrics.YEAR
-    return metrics.walk_forward_summary(found.withColumn("train_mean", F.col("train_annual_return") / year).withColumn("test_mean", F.col("test_annual_return") / year))
+    return metrics.walk_forward_summary(search.walk_forward(spark, prepared, sizes.join(F.broadcast(table), "n").drop("n"), config.n_trials, config.strategy, config.params.get(config.strategy)))
 
 
 def main() -> None:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
-from fathomline.functions.rolling import before, change, full, series, zscore
+from fathomline.functions.rolling import before, change, full, series, standard
 
 
 @dataclass(frozen=True)
@@ -104,20 +104,33 @@ def prepare(df: DataFrame, price: str = "nav", by: str = "code", order: str = "d
 
 
 def add_factor(df: DataFrame, name: str, params: dict[str, int], into: str, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
-    """``df`` (prepared) with the raw factor. All factors of a series share one sort."""
-    w, p, ret = series(by, order=order), F.col(price), F.col("ret")
+    """``df`` (prepared) with the raw factor."""
+    return add_factors(df, [(name, params, into)], price, by, order)
+
+
+def add_factors(df: DataFrame, wanted: list[tuple[str, dict[str, int], str]], price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
+    """``df`` (prepared) with raw factors (name, parameters, column), in two steps however many they are.
+
+    All frames of a step stand in one window operator over one sort.
+    """
+    w = series(by, order=order)
+    means = sorted({p["window"] for name, p, _ in wanted if name == "ma_slope"})
+    df = df.select("*", *(full(F.avg, F.col(price), n, w).alias(f"_sma_{n}") for n in means if f"_sma_{n}" not in df.columns))
+    return df.select("*", *(_factor(name, params, price, w).alias(into) for name, params, into in wanted)).drop(*(f"_sma_{n}" for n in means))
+
+
+def _factor(name: str, params: dict[str, int], price: str, w: WindowSpec) -> Column:
+    p, ret = F.col(price), F.col("ret")
     n = params["window"]
     pos = F.col("pos").cast("double")
     frame = w.rowsBetween(-(n - 1), 0)
     enough = F.count(p).over(frame) == n
 
-    def over(fn) -> F.Column:
+    def over(fn) -> Column:
         return fn(p, pos).over(frame)
 
     if name == "ma_slope":
-        sma = f"_sma_{n}"
-        df = df.withColumn(sma, full(F.avg, p, n, w)) if sma not in df.columns else df
-        return df.withColumn(into, change(F.col(sma), params["lookback"], w))
+        return change(F.col(f"_sma_{n}"), params["lookback"], w)
     if name == "momentum":
         x = change(p, n, w)
     elif name == "ma_trend_state":
@@ -149,7 +162,13 @@ def add_factor(df: DataFrame, name: str, params: dict[str, int], into: str, pric
         x = F.try_divide(full(F.avg, ret, n, w), F.nullif(full(F.stddev_pop, ret, n, w), F.lit(0.0)))
     else:
         raise ValueError(f"unknown factor: {name}")
-    return df.withColumn(into, x)
+    return x
+
+
+def score(name: str, raw: str, window: int, w: WindowSpec) -> Column:
+    """The z-score of a factor's column, turned so that higher is better."""
+    z = standard(F.col(raw), window, w)
+    return -z if POOL[name].inverted else z
 
 
 def factor_table(df: DataFrame, enabled: list[str] | None = None, params: dict[str, dict[str, int]] | None = None, score_window: int = SCORE_WINDOW, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
@@ -157,20 +176,36 @@ def factor_table(df: DataFrame, enabled: list[str] | None = None, params: dict[s
     enabled, params = enabled or list(POOL), params or {}
     validate(enabled, params)
     w, out = series(by, order=order), prepare(df, price, by, order)
-    for name in enabled:
-        out = add_factor(out, name, resolve(name, params.get(name)), name, price, by, order)
-    for name in enabled:
-        out = zscore(out, name, score_window, f"{name}_z", w)
-        if POOL[name].inverted:
-            out = out.withColumn(f"{name}_z", -F.col(f"{name}_z"))
+    out = add_factors(out, [(name, resolve(name, params.get(name)), name) for name in enabled], price, by, order)
+    out = out.select("*", *(score(name, name, score_window, w).alias(f"{name}_z") for name in enabled))
     return out.select(*df.columns, *enabled, *(f"{n}_z" for n in enabled))
 
 
-def multi_factor_score(df: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+def add_scores(df: DataFrame, wanted: list[tuple[dict[str, float], dict[str, dict[str, int]], int]], by: str = "code", price: str = "nav", order: str = "date") -> DataFrame:
+    """``df`` with columns ``_score0``, ... for each (weights, parameters, score window); equal factors are shared."""
+    if not wanted:
+        return df
+    raw: dict[tuple, str] = {}
+    scores: dict[tuple, str] = {}
+    sums = []
+    for weights, params, window in wanted:
+        validate(list(weights), params, weights)
+        terms = []
+        for name, weight in weights.items():
+            key = (name, tuple(sorted(resolve(name, params.get(name)).items())))
+            raw.setdefault(key, f"_raw{len(raw)}")
+            terms.append((scores.setdefault((*key, window), f"_z{len(scores)}"), weight))
+        sums.append(terms)
+    w, out = series(by, order=order), prepare(df, price, by, order)
+    out = add_factors(out, [(name, dict(params), into) for (name, params), into in raw.items()], price, by, order)
+    out = out.select("*", *(score(name, raw[name, params], window, w).alias(into) for (name, params, window), into in scores.items()))
+    return out.select(*df.columns, *(sum((F.col(z) * weight for z, weight in terms), F.lit(0.0)).alias(f"_score{k}") for k, terms in enumerate(sums)))
+
+
+def multi_factor_score(df: DataFrame, weights: dict[str, float] | None = None, params: dict[str, dict[str, int]] | None = None, score_window: int = SCORE_WINDOW, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
     """Weighted sum of the z-scores as ``score``; weights are not rescaled."""
     weights = weights or {n: f.weight for n, f in POOL.items()}
-    table = factor_table(df, list(weights), **options)
-    return table.select(*df.columns, sum((F.col(f"{n}_z") * w for n, w in weights.items()), F.lit(0.0)).alias("score"))
+    return add_scores(df, [(weights, params or {}, score_window)], by, price, order).withColumnRenamed("_score0", "score")
 
 
 def panel_features(df: DataFrame, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:

@@ -30,10 +30,14 @@ def change(x: Column, n: int, w: WindowSpec) -> Column:
     return F.try_divide(x, F.lag(x, n).over(w)) - 1
 
 
-def zscore(df: DataFrame, x: str, n: int, into: str, w: WindowSpec) -> DataFrame:
+def standard(c: Column, n: int, w: WindowSpec) -> Column:
     """Rolling z-score with population deviation; undefined values become 0."""
-    c = F.col(x)
-    return df.withColumn(into, F.coalesce(F.try_divide(c - full(F.avg, c, n, w), F.nullif(full(F.stddev_pop, c, n, w), F.lit(0.0))), F.lit(0.0)))
+    return F.coalesce(F.try_divide(c - full(F.avg, c, n, w), F.nullif(full(F.stddev_pop, c, n, w), F.lit(0.0))), F.lit(0.0))
+
+
+def zscore(df: DataFrame, x: str, n: int, into: str, w: WindowSpec) -> DataFrame:
+    """``df`` with the rolling z-score of a column."""
+    return df.withColumn(into, standard(F.col(x), n, w))
 
 
 def average_rank(partition: list[str], by: Column, descending: bool = False) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions.keeping import small
+
 RATIOS, LEAST = (0.6, 0.2, 0.2), 60
 WINDOW, STEP, STEP_RANGE = 700, 60, (75, 105)
 
@@ -68,15 +70,15 @@ def fold_table(spark: SparkSession, df: DataFrame, make=dev_folds, by: str = "co
 def with_folds(df: DataFrame, folds: DataFrame, by: str = "code") -> DataFrame:
     """A row of ``df`` (``pos`` from 1) for each fold and segment that holds it."""
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    spans = sizes.join(F.broadcast(folds), "n").drop("n")
+    spans = sizes.join(F.broadcast(folds), "n").drop("n")  # folds of each distinct length
     at = F.col("pos") - 1
-    return df.join(F.broadcast(spans), by).where((at >= F.col("start_pos")) & (at < F.col("end_pos")))
+    return df.join(small(spans), by).where((at >= F.col("start_pos")) & (at < F.col("end_pos")))
 
 
 def context_split(df: DataFrame, train_ratio: float = 0.8, context: int = 0) -> DataFrame:
     """Rows with ``segment``; the valid part may repeat the ``context`` rows before it (``context`` true) for warm-up."""
     sizes = df.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    out = df.join(F.broadcast(sizes), "code").withColumn("cut", F.floor(F.col("n") * train_ratio).cast("long"))
+    out = df.join(small(sizes), "code").withColumn("cut", F.floor(F.col("n") * train_ratio).cast("long"))
     train = out.where(F.col("pos") <= F.col("cut")).withColumn("segment", F.lit("train")).withColumn("context", F.lit(False))
     valid = out.where(F.col("pos") > F.col("cut") - context).withColumn("segment", F.lit("valid")).withColumn("context", F.col("pos") <= F.col("cut"))
     return train.unionByName(valid).drop("n", "cut")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.keeping import small
 from fathomline.functions.rolling import average_rank, series
 
 
@@ -27,7 +28,7 @@ def on_spine(df: DataFrame, primary: str, value: str = "nav") -> DataFrame:
     """Every other code's values on the dates of the primary one: ``date, code, value`` with gaps null."""
     spine = df.where(F.col("code") == primary).select("date")
     codes = df.select("code").distinct()
-    return spine.join(F.broadcast(codes)).join(df.select("date", "code", F.col(value).alias("value")), ["date", "code"], "left")
+    return spine.crossJoin(small(codes)).join(df.select("date", "code", F.col(value).alias("value")), ["date", "code"], "left")
 
 
 def fill_by_neighbors(df: DataFrame, most: int = 4, value: str = "value") -> DataFrame:
@@ -63,13 +64,17 @@ def future_rank(df: DataFrame, horizon: int = 7) -> DataFrame:
 def asof_rates(returns: DataFrame, rates: DataFrame, days: float = 252.0) -> DataFrame:
     """``returns(code, date, ...)`` with ``rf``: the daily rate of the latest curve date, or of the first one.
 
-    The curve becomes one row of intervals per date, joined on the month so that no side is crossed.
+    Only the calendar's days are put in order (both sides' distinct dates); the rows then join on their date.
     """
-    w = Window.orderBy("date")
-    spans = rates.select("date", "annual_rf", F.lead("date").over(w).alias("next"), (F.row_number().over(w) == 1).alias("head"))
-    spans = spans.select(F.when(F.col("head"), F.to_date(F.lit("0001-01-01"))).otherwise(F.col("date")).alias("since"), F.coalesce("next", F.to_date(F.lit("9999-12-31"))).alias("until"), "annual_rf")
-    out = returns.join(F.broadcast(spans), (F.col("date") >= F.col("since")) & (F.col("date") < F.col("until")), "left")
-    return out.withColumn("rf", F.pow(1 + F.col("annual_rf"), F.lit(1 / days)) - 1).drop("since", "until", "annual_rf")
+    days_seen = returns.select("date").where("date is not null").distinct().select("date", F.lit(None).cast("double").alias("annual_rf"), F.lit(True).alias("asked"))
+    marks = days_seen.unionByName(rates.select("date", "annual_rf", F.lit(False).alias("asked")))
+    w = Window.orderBy("date", "asked")
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    known = F.when(~F.col("asked"), F.struct("annual_rf"))
+    marks = marks.withColumn("known", F.coalesce(F.last(known, ignorenulls=True).over(upto), F.first(known, ignorenulls=True).over(after)))
+    table = marks.where("asked").select("date", F.col("known.annual_rf").alias("_rf"))
+    out = returns.join(small(table), "date", "left")
+    return out.withColumn("rf", F.pow(1 + F.col("_rf"), F.lit(1 / days)) - 1).drop("_rf")
 
 
 def lookback_samples(df: DataFrame, lookback: int, ret: str = "ret") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.rolling import full, series
+from fathomline.functions import factors
+from fathomline.functions.keeping import kept, small
 from fathomline.operators import ic, metrics, positions, selection, signals
 
 
@@ -39,39 +42,80 @@ def running_best(trials: DataFrame, by: list[str] | None = None) -> DataFrame:
     return trials.withColumn("_b", F.max("value").over(w)).where("value is not null and (_b is null or value > _b)").drop("_b")
 
 
-def ma_cross_trials(spark: SparkSession, n: int) -> DataFrame:
-    """``trial_number, fast, slow``: fast 3 to 30, slow fast + 5 to 120."""
-    rows = []
-    for k, (u, v) in enumerate(zip(halton(n, 2), halton(n, 3), strict=True)):
-        fast = 3 + int(u * 28)
-        rows.append((k, fast, fast + 5 + int(v * (120 - fast - 4))))
-    return spark.createDataFrame(rows, "trial_number int, fast int, slow int")
+# Search spaces of the strategies' parameters (low, high, step).
+SPACES = {
+    "ma_cross": {"fast": (3, 30, 1), "slow_over_fast": (5, 117, 1), "slow": (8, 120, 1)},
+    "momentum": {"window": (5, 120, 1)},
+    "multi_factor_score": {"entry_threshold": (-0.2, 1.0, 0.1), "exit_threshold": (-0.8, 0.2, 0.1)},
+}
+
+
+def _primes(n: int) -> list[int]:
+    out, k = [], 2
+    while len(out) < n:
+        if all(k % p for p in out):
+            out.append(k)
+        k += 1
+    return out
+
 
+def _pick(u: float, low: float, high: float, step: float) -> float:
+    """The value of a stepped range at the share u of it."""
+    return low + step * min(int(u * (int((high - low) / step + 1e-9) + 1)), int((high - low) / step + 1e-9))
 
-def optimize_ma_cross(spark: SparkSession, panel: DataFrame, bounds: DataFrame, n_trials: int = 30) -> DataFrame:
-    """Train, valid and test figures of every trial and code, and the trial chosen.
 
-    All trials run in one job: the averages a trial needs are columns of the same window pass, trials are
-    exploded afterwards. Candidates are the top trials and the running best by training objective; the best
-    validation Sharpe wins.
+def trial_params(strategy: str, n: int, base: dict | None = None) -> list[dict]:
+    """Parameters of n trials, spread evenly over the strategy's search space.
+
+    multi_factor_score searches the parameters of all its factors and both thresholds; an exit is never
+    above its entry.
     """
-    trials = ma_cross_trials(spark, n_trials).collect()  # n_trials rows
-    w, base = series("code"), panel
-    for n in sorted({x for t in trials for x in (t["fast"], t["slow"])}):
-        base = base.withColumn(f"_m{n}", full(F.avg, F.col("nav"), n, w))
-    pairs = F.array(*(F.struct(F.lit(t["trial_number"]).alias("trial_number"), F.lit(t["fast"]).alias("fast"), F.lit(t["slow"]).alias("slow"), F.col(f"_m{t['fast']}").alias("a"), F.col(f"_m{t['slow']}").alias("b")) for t in trials))
-    rows = base.select("code", "date", "pos", "nav", F.explode(pairs).alias("t")).select("code", "date", "pos", "nav", "t.*")
-    wt = series("code", "trial_number")
-    rows = rows.withColumn("entries", signals.rising(F.col("a") > F.col("b"), wt)).withColumn("exits", signals.rising(F.col("a") < F.col("b"), wt))
+    base = signals.params_of(strategy, base)
+    if strategy == "ma_cross":
+        low, high, _ = SPACES[strategy]["fast"]
+        rows = []
+        for u, v in zip(halton(n, 2), halton(n, 3), strict=True):
+            fast = int(_pick(u, low, high, 1))
+            rows.append({**base, "fast": fast, "slow": int(_pick(v, fast + SPACES[strategy]["slow_over_fast"][0], SPACES[strategy]["slow"][1], 1))})
+        return rows
+    if strategy == "momentum":
+        return [{**base, "window": int(_pick(u, *SPACES[strategy]["window"]))} for u in halton(n, 2)]
+    if strategy != "multi_factor_score":
+        raise ValueError(f"{strategy} has no parameters to search")
+    dims = [(name, p, spec[1:]) for name in base["factor_weight_dict"] for p, spec in factors.POOL[name].params.items()]
+    points = list(zip(*(halton(n, b) for b in _primes(len(dims) + 2)), strict=True))
+    rows = []
+    for point in points:
+        params: dict[str, dict[str, int]] = {k: dict(v) for k, v in base["factor_param_dict"].items()}
+        for u, (name, p, space) in zip(point, dims, strict=False):
+            params.setdefault(name, {})[p] = int(_pick(u, *space))
+        entry = round(_pick(point[-2], *SPACES[strategy]["entry_threshold"]), 10)
+        low, high, step = SPACES[strategy]["exit_threshold"]
+        rows.append({**base, "factor_param_dict": params, "entry_threshold": entry, "exit_threshold": min(entry, round(_pick(point[-1], low, min(high, entry), step), 10))})
+    return rows
+
+
+def optimize(spark: SparkSession, panel: DataFrame, bounds: DataFrame, strategy: str = "ma_cross", n_trials: int = 30, base: dict | None = None) -> DataFrame:
+    """Train, valid and test figures of every trial and code (and fold, where ``bounds`` names one), and the trial chosen.
+
+    Every trial runs over the whole series and its curve is cut afterwards, so no segment starts cold. All
+    trials run in one job over shared windows. Candidates are the top trials and the running best by training
+    objective; the best validation Sharpe wins.
+    """
+    trials = trial_params(strategy, n_trials, base)
+    by = ["code", *(c for c in ("fold_id",) if c in bounds.columns)]
+    rows = signals.generate_all(panel.select("code", "date", "pos", "nav"), [(strategy, t) for t in trials]).withColumnRenamed("variant", "trial_number")
     curves = signals.backtest(rows, by=("code", "trial_number"))
-    figures = metrics.segment_metrics(curves, bounds, ["code", "trial_number"]).join(ma_cross_trials(spark, n_trials), "trial_number")
+    figures = metrics.segment_metrics(curves, bounds, [*by, "trial_number"], mean=True)
     value = F.max(F.when(F.col("segment") == "train", objective(F.col("sharpe"), F.col("max_drawdown"))))
-    wide = figures.groupBy("code", "trial_number", "fast", "slow").agg(value.alias("value"), *(F.max(F.when(F.col("segment") == s, F.col(m))).alias(f"{s}_{m}") for s in ("train", "valid", "test") for m in ("sharpe", "annual_return", "max_drawdown", "cumulative_return", "annual_volatility")))
-    chosen = top_trials(wide, ["code"]).select("code", "trial_number").union(running_best(wide, ["code"]).select("code", "trial_number")).distinct()
-    best = wide.join(chosen, ["code", "trial_number"])
+    names = ("sharpe", "annual_return", "max_drawdown", "cumulative_return", "annual_volatility", "mean_daily_return")
+    wide = kept(figures.groupBy(*by, "trial_number").agg(value.alias("value"), *(F.max(F.when(F.col("segment") == s, F.col(m))).alias(f"{s}_{m}") for s in ("train", "valid", "test") for m in names)))
+    chosen = top_trials(wide, by).select(*by, "trial_number").union(running_best(wide, by).select(*by, "trial_number")).distinct()
+    best = wide.join(chosen, [*by, "trial_number"])
     order = [F.desc_nulls_last("valid_sharpe"), F.desc_nulls_last("value"), F.asc("trial_number")]
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy(*order))).where("_n = 1").select("code", F.col("trial_number").alias("chosen"))
-    return wide.join(best, "code").withColumn("is_best", F.col("trial_number") == F.col("chosen")).drop("chosen")
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").select(*by, F.col("trial_number").alias("chosen"))
+    table = spark.createDataFrame([(k, json.dumps(t, sort_keys=True, ensure_ascii=False), t.get("fast"), t.get("slow"), t.get("window")) for k, t in enumerate(trials)], "trial_number int, params string, fast int, slow int, window int")  # n_trials rows
+    return wide.join(best, by).join(F.broadcast(table), "trial_number").withColumn("is_best", F.col("trial_number") == F.col("chosen")).drop("chosen")
 
 
 def tune_weights(spark: SparkSession, long: DataFrame, weights: DataFrame, by: list[str], n_trials: int = 100, top: int = 50, share: float = 0.05) -> DataFrame:
@@ -89,6 +133,20 @@ def tune_weights(spark: SparkSession, long: DataFrame, weights: DataFrame, by: l
     return found.withColumn("is_best", F.row_number().over(w.orderBy(F.desc_nulls_last("valid_icir"), F.desc_nulls_last("valid_ic_mean"), F.desc_nulls_last("train_icir"), "trial_number")) == 1).drop("subset_id")
 
 
+def best_method(long: DataFrame, summaries: DataFrame, by: list[str]) -> DataFrame:
+    """``by, method_name, labels, weights, train_*, valid_*, is_best`` of equal and of train-ICIR weights.
+
+    The better validation ICIR wins, then its mean, then training; equal weights win a tie.
+    """
+    methods = selection.equal_weights(summaries, by).withColumn("method_name", F.lit("equal_weight")).unionByName(selection.icir_weights(summaries, by).withColumn("method_name", F.lit("train_icir_weighted")))
+    pairs = F.array_sort(F.collect_list(F.struct("candidate_label", "weight")))
+    subsets = methods.groupBy(*by, F.col("method_name").alias("subset_id")).agg(pairs.alias("_l"))
+    subsets = subsets.select(*by, "subset_id", F.transform("_l", lambda x: x["candidate_label"]).alias("labels"), F.transform("_l", lambda x: x["weight"]).alias("weights"))
+    found = ic.candidate_summary(selection.subset_ics(long, subsets, by, weights=True), [*by, "subset_id"]).join(subsets, [*by, "subset_id"])
+    order = [F.desc_nulls_last("valid_icir"), F.desc_nulls_last("valid_ic_mean"), F.desc_nulls_last("train_icir"), F.asc("subset_id")]
+    return found.withColumn("is_best", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1).withColumnRenamed("subset_id", "method_name")
+
+
 def search_positions(spark: SparkSession, scored: DataFrame, folds: DataFrame, n_trials: int = 20) -> DataFrame:
     """Mean train and valid figures of sampled position functions on ``scored(code, date, pos, nav, score)``.
 
@@ -105,7 +163,7 @@ def search_positions(spark: SparkSession, scored: DataFrame, folds: DataFrame, n
     trials = spark.createDataFrame(rows, "code string, trial_number int, kind string, p1 double, p2 double, span double, gate double")
     x, p1, p2 = F.col("score"), F.col("p1"), F.col("p2")
     raw = F.when(F.col("kind") == "sigmoid", 1 / (1 + F.exp(-p2 * (x - p1)))).when(F.col("kind") == "tanh", 0.5 * (F.tanh(p2 * (x - p1)) + 1)).otherwise((x - p1) / (p2 - p1))
-    cut = folds.join(F.broadcast(trials), "code").withColumn("raw", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    cut = folds.join(small(trials), "code").withColumn("raw", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     by = ("code", "trial_number", "fold_id", "segment")
 
     def run(part):
@@ -126,11 +184,10 @@ def search_positions(spark: SparkSession, scored: DataFrame, folds: DataFrame, n
     return wide.join(trials, ["code", "trial_number"]).withColumn("is_best", F.row_number().over(w) == 1)
 
 
-def walk_forward(spark: SparkSession, panel: DataFrame, folds: DataFrame, n_trials: int = 10) -> DataFrame:
-    """Each fold's own search, its test figures and the mean daily returns behind the efficiency."""
-    by = ("code", "fold_id")
-    rows = panel.join(F.broadcast(folds), "code").where((F.col("pos") > F.col("start_pos")) & (F.col("pos") <= F.col("end_pos")))
-    keyed = rows.select(F.concat_ws("#", *by).alias("code"), "date", "nav", "segment", F.row_number().over(series("code", "fold_id")).alias("pos"))
-    bounds = keyed.groupBy("code", "segment").agg((F.min("pos") - 1).alias("start_pos"), F.max("pos").alias("end_pos"))
-    out = optimize_ma_cross(spark, keyed.drop("segment"), bounds, n_trials).where("is_best")
-    return out.withColumn("fold_id", F.substring_index("code", "#", -1).cast("int")).withColumn("code", F.substring_index("code", "#", 1))
+def walk_forward(spark: SparkSession, panel: DataFrame, folds: DataFrame, n_trials: int = 10, strategy: str = "ma_cross", base: dict | None = None) -> DataFrame:
+    """Each fold's chosen trial with its figures and the mean daily returns behind the efficiency.
+
+    ``folds(code, fold_id, segment, start_pos, end_pos)``. Signals come from the whole history; folds only cut it.
+    """
+    best = optimize(spark, panel, folds, strategy, n_trials, base).where("is_best")
+    return best.withColumn("train_mean", F.col("train_mean_daily_return")).withColumn("test_mean", F.col("test_mean_daily_return"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.keeping import kept, small
 from fathomline.functions.rolling import safe_corr
 from fathomline.operators import ic
 
@@ -58,33 +61,34 @@ def subset_ics(long: DataFrame, subsets: DataFrame, keys: list[str], weights: bo
     """
     parts = subsets.select(*keys, "subset_id", F.posexplode("labels").alias("_i", "candidate_label"), *(["weights"] if weights else []))
     value = F.coalesce("value", F.lit(0.0)) * (F.col("weights")[F.col("_i")] if weights else F.lit(1.0))
-    rows = long.join(F.broadcast(parts), [*keys, "candidate_label"])
+    rows = long.join(small(parts), [*keys, "candidate_label"])
     sums = rows.groupBy(*keys, "subset_id", "fold_id", "segment", "date").agg(F.sum(value).alias("score"), F.first("fwd").alias("fwd"))
     return ic.by_fold(sums, [*keys, "subset_id", "fold_id", "segment"], "score")
 
 
-def forward_search(spark: SparkSession, long: DataFrame, summaries: DataFrame, by: list[str], roots: int = 3, levels: int = 3, nodes: int = 2000) -> DataFrame:
+def forward_search(spark: SparkSession, long: DataFrame, summaries: DataFrame, by: list[str], roots: int = 3, levels: int | None = None, nodes: int = 2000) -> DataFrame:
     """``labels, factor_count, train_*, valid_*`` of every subset tried.
 
     Starts from the best ``roots`` candidates; a level adds one candidate to every subset of the last one
     and keeps for the next what is at least as good in training as the parent it came from, the first in
-    the order of train ICIR. ``nodes`` bounds a level, so runs repeat exactly.
+    the order of train ICIR. It goes on until nothing is left to extend (or for ``levels`` levels). ``nodes``
+    bounds a level of each key, so runs repeat exactly.
     """
     w = Window.partitionBy(*by)
     roots_df = summaries.withColumn("_n", F.row_number().over(w.orderBy(F.desc_nulls_last("train_icir"), "candidate_label"))).where(F.col("_n") <= roots)
     level = roots_df.select(*by, F.array("candidate_label").alias("labels"), F.lit(None).cast("double").alias("parent_icir"))
     singles, done = summaries.select(*by, F.col("candidate_label").alias("_c")), None
-    for k in range(levels):
+    for k in itertools.count() if levels is None else range(levels):
         level = level.withColumn("subset_id", F.concat_ws("|", "labels"))
         found = ic.candidate_summary(subset_ics(long, level.select(*by, "subset_id", "labels"), by), [*by, "subset_id"])
         scored = level.join(found, [*by, "subset_id"]).withColumn("factor_count", F.size("labels")).withColumn("step", F.lit(k + 1))
-        scored = spark.createDataFrame(scored.collect(), scored.schema)  # at most ``nodes`` rows of a level
+        scored = kept(scored)
         done = scored if done is None else done.unionByName(scored)
-        kept = scored.where(F.col("parent_icir").isNull() | (F.col("train_icir") >= F.col("parent_icir")))
-        grown = kept.join(singles, by).where(~F.array_contains("labels", F.col("_c")))
+        better = scored.where(F.col("parent_icir").isNull() | (F.col("train_icir") >= F.col("parent_icir")))
+        grown = better.join(singles, by).where(~F.array_contains("labels", F.col("_c")))
         grown = grown.select(*by, F.array_sort(F.array_append("labels", F.col("_c"))).alias("labels"), F.col("train_icir").alias("parent_icir"), F.col("subset_id").alias("parent"))
         first = Window.partitionBy(*by, "labels").orderBy(F.desc("parent_icir"), "parent")
-        level = grown.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("_m", F.row_number().over(w.orderBy(F.desc("parent_icir"), F.concat_ws("|", "labels")))).where(F.col("_m") <= nodes).select(*by, "labels", "parent_icir")
+        level = kept(grown.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("_m", F.row_number().over(w.orderBy(F.desc("parent_icir"), F.concat_ws("|", "labels")))).where(F.col("_m") <= nodes).select(*by, "labels", "parent_icir"))
         if level.isEmpty():
             break
     return done.drop("parent_icir")
@@ -103,6 +107,28 @@ def best_path(paths: DataFrame, by: list[str]) -> DataFrame:
     return paths.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def extension_search(long: DataFrame, summaries: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
+    """``by, subset_id, labels, factor_count, step, train_*, valid_*, source, is_final`` of a baseline and what extends it.
+
+    ``baseline`` holds one best path a key. As many trials as the square of the number of candidates outside
+    it each add about half of them, drawn by hash. Subsets better in training than the baseline stay; the best
+    of them in validation and the baseline are compared by the same order.
+    """
+    rest = summaries.select(*by, "candidate_label").join(baseline.select(*by, F.col("labels").alias("_base")), by).where(~F.array_contains("_base", F.col("candidate_label")))
+    rest = rest.groupBy(*by, "_base").agg(F.array_sort(F.collect_list("candidate_label")).alias("_rest"))  # candidates of one key
+    trials = rest.withColumn("trial", F.explode(F.sequence(F.lit(1), F.size("_rest") * F.size("_rest"))))
+    added = F.filter("_rest", lambda x: F.xxhash64(F.lit(42), F.col("trial"), x) % 2 == 0)
+    drawn = trials.select(*by, F.array_sort(F.array_union("_base", added)).alias("labels"), F.size(added).alias("_n")).where("_n > 0").select(*by, "labels").distinct()
+    drawn = kept(drawn.withColumn("subset_id", F.concat_ws("|", "labels")))
+    found = ic.candidate_summary(subset_ics(long, drawn, by), [*by, "subset_id"]).join(drawn, [*by, "subset_id"])
+    found = found.withColumn("factor_count", F.size("labels")).withColumn("step", F.size("labels")).withColumn("source", F.lit("extension"))
+    columns = [*by, "subset_id", "labels", "factor_count", "step", "train_ic_mean", "train_icir", "valid_ic_mean", "valid_icir", "source"]
+    better = found.join(baseline.select(*by, F.col("train_icir").alias("_floor")), by).where(F.col("train_icir") > F.col("_floor")).select(*columns)
+    every = kept(better.unionByName(baseline.withColumn("source", F.lit("forward")).select(*columns)))
+    final = best_path(every, by).select(*by, F.col("subset_id").alias("_final"))
+    return every.join(final, by).withColumn("is_final", F.col("subset_id") == F.col("_final")).drop("_final")
+
+
 def equal_weights(summaries: DataFrame, by: list[str]) -> DataFrame:
     return summaries.select(*by, "candidate_label", F.try_divide(F.lit(1.0), F.count(F.lit(1)).over(Window.partitionBy(*by))).alias("weight"))
 

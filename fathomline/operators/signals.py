@@ -40,31 +40,58 @@ def delayed(signal: Column, w: WindowSpec) -> Column:
     return F.coalesce(F.lag(signal).over(w), F.lit(False))
 
 
-def generate(df: DataFrame, name: str, override: dict | None = None, by: tuple[str, ...] = ("code",), delay: bool = False) -> DataFrame:
-    """``df`` with boolean ``entries`` and ``exits``, for all series at once."""
-    params, w, p = params_of(name, override), series(*by), F.col("nav")
-    if name == "buy_and_hold":
-        out = df.withColumn("entries", F.row_number().over(w) == 1).withColumn("exits", F.lit(False))
-    else:
+def _conditions(df: DataFrame, wanted: list[tuple[str, dict]], by: tuple[str, ...]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """``df`` with helper columns, and (enter, leave) of each (strategy, parameters).
+
+    Helpers are shared: averages, changes and factors that several ask for are worked out once.
+    """
+    w, p = series(*by), F.col("nav")
+    means, changes, scores, out = set(), set(), [], []
+    for name, params in wanted:
         if name == "ma_cross":
             fast, slow = int(params["fast"]), int(params["slow"])
             if not 0 < fast < slow:
                 raise ValueError("fast and slow must satisfy 0 < fast < slow")
-            out = df.withColumn("_fast", full(F.avg, p, fast, w)).withColumn("_slow", full(F.avg, p, slow, w))
-            enter, leave, helpers = F.col("_fast") > F.col("_slow"), F.col("_fast") < F.col("_slow"), ["_fast", "_slow"]
+            means |= {fast, slow}
+            out.append((F.col(f"_mean{fast}") > F.col(f"_mean{slow}"), F.col(f"_mean{fast}") < F.col(f"_mean{slow}")))
         elif name == "momentum":
-            if int(params["window"]) <= 0:
+            n = int(params["window"])
+            if n <= 0:
                 raise ValueError("window must be positive")
-            out = df.withColumn("_x", change(p, int(params["window"]), w))
-            enter, leave, helpers = F.col("_x") > 0, F.col("_x") <= 0, ["_x"]
+            changes.add(n)
+            out.append((F.col(f"_change{n}") > 0, F.col(f"_change{n}") <= 0))
+        elif name == "multi_factor_score":
+            k = len(scores)
+            scores.append(params)
+            out.append((F.col(f"_score{k}") > params["entry_threshold"], F.col(f"_score{k}") <= params["exit_threshold"]))
         else:
-            out = factors.multi_factor_score(df, params["factor_weight_dict"], params=params["factor_param_dict"], score_window=params["score_window"])
-            enter, leave, helpers = F.col("score") > params["entry_threshold"], F.col("score") <= params["exit_threshold"], ["score"]
-        out = out.withColumn("_in", F.coalesce(enter, F.lit(False))).withColumn("_out", F.coalesce(leave, F.lit(False)))
-        out = out.withColumn("entries", rising(F.col("_in"), w)).withColumn("exits", rising(F.col("_out"), w)).drop("_in", "_out", *[h for h in helpers if h != "score"])
+            out.append((F.lit(True), F.lit(False)))  # bought once and held
+    df = df.select("*", *(full(F.avg, p, n, w).alias(f"_mean{n}") for n in sorted(means)), *(change(p, n, w).alias(f"_change{n}") for n in sorted(changes)))
+    return factors.add_scores(df, [(x["factor_weight_dict"], x["factor_param_dict"], x["score_window"]) for x in scores], by[0]), out
+
+
+def generate(df: DataFrame, name: str, override: dict | None = None, by: tuple[str, ...] = ("code",), delay: bool = False) -> DataFrame:
+    """``df`` with boolean ``entries`` and ``exits`` (and the ``score`` of multi_factor_score), for all series at once."""
+    out, (conditions,) = _conditions(df, [(name, params_of(name, override))], by)
+    w = series(*by)
+    out = out.withColumns({"_in": F.coalesce(conditions[0], F.lit(False)), "_out": F.coalesce(conditions[1], F.lit(False))})
+    out = out.withColumns({"entries": rising(F.col("_in"), w), "exits": rising(F.col("_out"), w)})
     if delay:
-        out = out.withColumn("entries", delayed(F.col("entries"), w)).withColumn("exits", delayed(F.col("exits"), w))
-    return out
+        out = out.withColumns({"entries": delayed(F.col("entries"), w), "exits": delayed(F.col("exits"), w)})
+    score = [F.col("_score0").alias("score")] if name == "multi_factor_score" else []
+    return out.select(*df.columns, *score, "entries", "exits")
+
+
+def generate_all(df: DataFrame, wanted: list[tuple[str, dict | None]], by: tuple[str, ...] = ("code",)) -> DataFrame:
+    """Rows of ``df`` once for each (strategy, override), with its number ``variant``, ``entries`` and ``exits``.
+
+    The series are read and their windows worked out once for all variants.
+    """
+    out, conditions = _conditions(df, [(name, params_of(name, override)) for name, override in wanted], by)
+    cells = F.array(*(F.struct(F.lit(k).alias("variant"), F.coalesce(a, F.lit(False)).alias("_in"), F.coalesce(b, F.lit(False)).alias("_out")) for k, (a, b) in enumerate(conditions)))
+    rows = out.select(*df.columns, F.explode(cells).alias("_c")).select(*df.columns, "_c.*")
+    w = series(*by, "variant")
+    return rows.withColumns({"entries": rising(F.col("_in"), w), "exits": rising(F.col("_out"), w)}).drop("_in", "_out")
 
 
 def backtest(df: DataFrame, init_cash: float = 10000.0, fees: float = 0.001, by: tuple[str, ...] = ("code",)) -> DataFrame:

@@ -174,7 +174,7 @@ ORACLE: dict[str, str] = {
     "s10_fetch_window": f"WITH {NAV}, l AS (SELECT code, max(date) AS last_date FROM nav GROUP BY code) SELECT code, CAST(last_date AS VARCHAR) AS last_date, CAST(last_date - 15 AS VARCHAR) AS start_date, CASE WHEN d <= 31 THEN '1月' WHEN d <= 92 THEN '3月' WHEN d <= 183 THEN '6月' WHEN d <= 366 THEN '1年' WHEN d <= 1098 THEN '3年' WHEN d <= 1830 THEN '5年' ELSE '成立来' END AS period FROM (SELECT *, DATE '2003-01-01' - last_date AS d FROM l)",
     "s05_yearly_windows": "SELECT CAST(s AS VARCHAR) AS \"start\", CAST(least(s + 364, DATE '2001-11-04') AS VARCHAR) AS \"end\" FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-02', DATE '2001-11-04', INTERVAL 365 DAY)) AS DATE) AS s)",
     "p05_common_range_align": f"WITH {NAV}, s AS (SELECT code, min(date) AS a, max(date) AS b FROM nav GROUP BY code), g AS (SELECT max(a) AS a, min(b) AS b, count(*) AS c FROM s), d AS (SELECT date FROM nav, g GROUP BY date, g.a, g.b, g.c HAVING count(DISTINCT code) = g.c AND date BETWEEN g.a AND g.b) SELECT code, {DAY}, {num('nav')} AS nav FROM nav WHERE date IN (SELECT date FROM d)",
-    "p04_pivot_panel": f"WITH {NAV} SELECT {DAY}, {', '.join(f'''{num(f"max(CASE WHEN code = '{c}' THEN nav END)")} AS {c}''' for c in ('AF', 'NF', 'RF'))} FROM nav WHERE code IN ('AF', 'NF', 'RF') GROUP BY date",
+    "p04_pivot_panel": f"WITH {NAV} SELECT {DAY}, {', '.join(f'''{num(f"max(CASE WHEN code = '{c}' THEN nav END)")} AS {c}''' for c in ('AF', 'AO', 'NF', 'NO', 'RF', 'RO'))} FROM nav GROUP BY date",
     "p09_spine_left_join": f"WITH {NAV}, s AS (SELECT date FROM nav WHERE code = 'AF'), c AS (SELECT DISTINCT code FROM nav) SELECT c.code, CAST(s.date AS VARCHAR) AS date, {num('n.nav')} AS value FROM s CROSS JOIN c LEFT JOIN nav n ON n.date = s.date AND n.code = c.code",
     "w31_neighbor_fill": f"""WITH {NAV3}, s AS (SELECT DISTINCT date FROM nav3), c AS (SELECT DISTINCT code FROM nav3), g AS (SELECT c.code, s.date, n.nav AS value FROM s CROSS JOIN c LEFT JOIN nav3 n ON n.date = s.date AND n.code = c.code),
       h AS (SELECT *, value IS NULL AS gap, coalesce(lag(value IS NULL) OVER (PARTITION BY code ORDER BY date), false) AS pg, (lag(value) OVER (PARTITION BY code ORDER BY date) + lead(value) OVER (PARTITION BY code ORDER BY date)) / 2 AS m FROM g),

@@ -149,7 +149,11 @@ def test_trials(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([0.1, 0.3, None, 0.2, 0.5, 0.4])], "trial_number int, value double")
     assert [r.trial_number for r in search.running_best(df).orderBy("trial_number").collect()] == [0, 1, 4]
     assert [r.trial_number for r in search.top_trials(df, least=2).orderBy("place").collect()] == [4, 5]
-    assert all(0 < r.fast < r.slow <= 120 for r in search.ma_cross_trials(spark, 50).collect())
+    assert all(0 < t["fast"] < t["slow"] <= 120 and t["slow"] >= t["fast"] + 5 for t in search.trial_params("ma_cross", 50))
+    assert {t["window"] for t in search.trial_params("momentum", 400)} <= set(range(5, 121))
+    for t in search.trial_params("multi_factor_score", 20):
+        assert t["exit_threshold"] <= t["entry_threshold"] and len(t["factor_param_dict"]) == 13
+        assert all(p["window"] in range(factors.POOL[n].params["window"][1], factors.POOL[n].params["window"][2] + 1, factors.POOL[n].params["window"][3]) for n, p in t["factor_param_dict"].items())
 
 
 def test_neighbor_fill(spark):
