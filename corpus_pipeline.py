@@ -28,8 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
     model = toxicity.fit(spark, docs, labels)
-    scored = toxicity.score(docs.select(F.struct("*").alias("doc"), "text"), model)
-    return scored.where(F.col("score") < TOXIC).select("doc.*")
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, into=name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
