@@ -31,7 +31,7 @@ SHORT, LEAST = 12, 5
 #: Bits of the map of benchmark seeds that goes to every worker, as a power of two: 8 MB at any size.
 MAP_BITS = 26
 #: Items compared with a document in one piece, and tokens a worker remembers from one slice to the next.
-PIECE_ITEMS, CACHE_TOKENS = 64, 1_000_000
+PIECE_ITEMS, CACHE_TOKENS = 64, 250_000
 _TOKEN = re.compile(r"[^\W_]+")
 
 
