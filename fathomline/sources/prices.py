@@ -86,9 +86,10 @@ def yearly_windows(spark: SparkSession, start: str, end: str, days: int = 364) -
 
 
 def yield_curve(df: DataFrame, name: str, tenor: str, name_col: str = "曲线名称", date_col: str = "日期") -> DataFrame:
-    """``date, annual_rf`` as a fraction, the last row of a date."""
-    rows = df.where(F.col(name_col) == name).select(F.try_to_date(F.col(date_col).cast("string")).alias("date"), (F.col(tenor).try_cast("double") / 100).alias("annual_rf"))
-    return keep_last(rows.dropna(), ["date"], F.col("annual_rf"))
+    """``date, annual_rf`` as a fraction, of a date the last row of the table."""
+    rows = df.select("*", F.monotonically_increasing_id().alias("_nth")).where(F.col(name_col) == name)
+    rows = rows.select(F.try_to_date(F.col(date_col).cast("string")).alias("date"), (F.col(tenor).try_cast("double") / 100).alias("annual_rf"), "_nth")
+    return keep_last(rows.dropna(), ["date"], F.col("_nth")).drop("_nth")
 
 
 def read_prices(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,22 @@ def test_ranker_learns(spark):
         ranker.train(df.limit(5), ["x"], "y")
 
 
+def test_yield_curve_keeps_the_last_row(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01", 9.0), ("a", "2024-01-01", 2.0), ("b", "2024-01-01", 5.0), ("a", "?", 1.0)], "`曲线名称` string, `日期` string, `1年` double").coalesce(1)
+    assert [tuple(r) for r in prices.yield_curve(rows, "a", "1年").collect()] == [(DAY, 0.02)]
+
+
+def test_stream_keeps_the_latest_of_a_batch(spark, tmp_path):
+    from fathomline.streaming.upsert import keep_current
+
+    spark.createDataFrame([("A", 1, 3.0), ("A", 3, 1.0), ("A", 2, 2.0)], "code string, at int, nav double").write.parquet(str(tmp_path / "in"))
+    os.makedirs(tmp_path / "out.before")  # left by a broken exchange, before any table stood
+    spark.createDataFrame([("B", 1, 7.0)], "code string, at int, nav double").write.mode("overwrite").parquet(str(tmp_path / "out.before"))
+    stream = spark.readStream.schema("code string, at int, nav double").parquet(str(tmp_path / "in"))
+    keep_current(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["code"], order="at").awaitTermination()
+    assert {(r.code, r.at, r.nav) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("A", 3, 1.0), ("B", 1, 7.0)}
+
+
 def test_stream_upsert(spark, tmp_path):
     from fathomline.streaming.upsert import keep_current
 
