@@ -199,3 +199,70 @@ def test_stream_upsert(spark, tmp_path):
         stream = spark.readStream.schema("code string, date date, nav double").parquet(str(tmp_path / "in"))
         keep_current(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["code", "date"]).awaitTermination()
         assert {r.nav for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {v}
+
+
+def plain_curve(values, window, cash=10000.0, fees=0.001):
+    """Equity of the momentum strategy, row by row."""
+    equity, held, was_in, was_out, out = cash, False, False, False, []
+    for i, p in enumerate(values):
+        x = p / values[i - window] - 1 if i >= window else None
+        now_in, now_out = x is not None and x > 0, x is not None and x <= 0
+        if held:
+            equity *= p / values[i - 1]
+        if now_in and not was_in and not held:
+            equity, held = equity / (1 + fees), True
+        elif now_out and not was_out and held:
+            equity, held = equity * (1 - fees), False
+        was_in, was_out = now_in, now_out
+        out.append(equity)
+    return out
+
+
+def test_optimize_against_a_plain_version(spark):
+    """Trials run over the whole series; folds and segments cut the curve, with the row before each."""
+    values = [1.0 + 0.3 * math.sin(i / 17) + 0.002 * i for i in range(260)]
+    spans = [(1, "train", 0, 120), (1, "valid", 120, 160), (1, "test", 160, 200), (2, "train", 60, 180), (2, "valid", 180, 220), (2, "test", 220, 260)]
+    table = factors.prepare(nav(spark, values)).drop("ret")
+    bounds = spark.createDataFrame([("A", *s) for s in spans], "code string, fold_id int, segment string, start_pos int, end_pos int")
+    out = {(r.fold_id, r.trial_number): r for r in search.optimize(spark, table, bounds, "momentum", 4).collect()}
+    windows, wanted = [t["window"] for t in search.trial_params("momentum", 4)], {}
+    for fold in (1, 2):
+        for k, window in enumerate(windows):
+            curve, row = plain_curve(values, window), out[fold, k]
+            for segment, a, b in ((s, a, b) for f, s, a, b in spans if f == fold):
+                part = curve[max(0, a - 1) : b]
+                returns = [y / x - 1 for x, y in zip(part, part[1:], strict=False)]
+                mean = sum(returns) / len(returns)
+                deviation = math.sqrt(sum((r - mean) ** 2 for r in returns) / len(returns))
+                assert math.isclose(row[f"{segment}_sharpe"], mean / deviation * math.sqrt(252) if deviation > 0 else 0.0, rel_tol=1e-6, abs_tol=1e-9)
+                assert math.isclose(row[f"{segment}_mean_daily_return"], mean, rel_tol=1e-6, abs_tol=1e-12)
+                assert math.isclose(row[f"{segment}_cumulative_return"], part[-1] / part[0] - 1, rel_tol=1e-6, abs_tol=1e-12)
+            assert f'"window": {window}' in row.params
+        best = max(range(4), key=lambda k: (out[fold, k].valid_sharpe, out[fold, k].value, -k))
+        assert [k for k in range(4) if out[fold, k].is_best] == [best]
+    found = search.walk_forward(spark, table, bounds, 4, "momentum").collect()
+    assert {(r.fold_id, r.trial_number) for r in found} == {f for f, r in out.items() if r.is_best}
+
+
+def test_extension_search(spark):
+    """The extension wins only with a better validation figure, and never drops a label of its baseline."""
+    rng = [math.sin(k * 12.9898) * 43758.5453 % 1 for k in range(4000)]
+    rows = []
+    for fold in (1, 2, 3):
+        for segment in ("train", "valid"):
+            for day in range(40):
+                fwd = rng[(fold * 997 + day * 31 + (segment == "valid") * 501) % 4000]
+                for n, label in enumerate("abc"):
+                    noise = rng[(fold * 613 + day * 77 + n * 1009 + (segment == "valid") * 211) % 4000]
+                    rows.append(("X", fold, segment, DAY + dt.timedelta(day), label, fwd * (n > 0) + noise, fwd))
+    long = spark.createDataFrame(rows, "code string, fold_id int, segment string, date date, candidate_label string, value double, fwd double")
+    summed = ic.candidate_summary(ic.by_fold(long, ["code", "candidate_label", "fold_id", "segment"]), ["code", "candidate_label"])
+    paths = selection.forward_search(spark, long, summed, ["code"], roots=1, levels=1)
+    baseline = selection.best_path(paths, ["code"])
+    base = baseline.collect()[0]
+    out = selection.extension_search(long, summed, baseline, ["code"]).collect()
+    assert sum(r.is_final for r in out) == 1 and sum(r.source == "forward" for r in out) == 1
+    assert all(set(base.labels) < set(r.labels) and r.train_icir > base.train_icir for r in out if r.source == "extension")
+    assert max(r.valid_icir for r in out) == next(r.valid_icir for r in out if r.is_final)
+    whole = selection.forward_search(spark, long, summed, ["code"], roots=3).collect()
+    assert max(r.step for r in whole) <= 3 and {tuple(r.labels) for r in whole} >= {("a",), ("b",), ("c",)}
