@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, licenses, linedup, mixing, sharding, simhash, tokencount, tokenfile, topk, toxicity
+from fathomline.llm import decontaminate, licenses, linedup, mixing, negatives, neighbors, sharding, simhash, tokencount, tokenfile, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,17 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(spark, _table(spark, sf_dir, "documents"), 8)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every id divisible by 100; edge cases as in ``negatives.hard_negatives``."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(spark, _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found for every id divisible by 20; edge cases as in ``neighbors.nearest``."""
+    return neighbors.nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -75,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_token_files": op9_token_files,
     "op10_shards": op10_shards,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_nearest": op13_nearest,
 }
 
 ORACLE: dict[str, str] = {
@@ -94,4 +108,25 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.id AS anchor_id, c.id AS other, a.label = c.label AS same,
+                   CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.id <> c.id AND len(a.v) = len(c.v)
+            WHERE a.id % 100 = 0
+        ), p AS (
+            SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        ), n AS (
+            SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
 }

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.runtime import Workspace
@@ -108,11 +108,11 @@ class MTree:
         return sorted(((s, -i) for s, i in top), key=lambda x: (-x[0], x[1])), computed
 
 
-def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``id, v``: components floor(scale * x), of rows without null or non-finite ones."""
+def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int, *more: Column) -> DataFrame:
+    """``id, v`` (and ``more``): components floor(scale * x), of rows without null or non-finite ones."""
     x = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(c.cast("double")))
-    return rows.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    return rows.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"), *more)
 
 
 def _pack(kind: str):
