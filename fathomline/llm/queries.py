@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, licenses, linedup, mixing, negatives, neighbors, sharding, simhash, tokencount, tokenfile, topk, toxicity
+from fathomline.llm import decontaminate, licenses, linedup, mixing, negatives, neighbors, sharding, simhash, tokencount, tokenfile, topk, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(spark, _table(spark, sf_dir, "documents"), 8)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations; edge cases as in ``trie.conversation_trie``."""
+    return trie.conversation_trie(spark, _table(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives for every id divisible by 100; edge cases as in ``negatives.hard_negatives``."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_token_files": op9_token_files,
     "op10_shards": op10_shards,
+    "op11_trie": op11_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_nearest": op13_nearest,
 }
@@ -108,6 +114,45 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_trie": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), d AS (
+            SELECT conv_id, turn, strlen(text) AS size, substring(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), 1, 32) AS digest FROM t
+        ), c AS (
+            SELECT conv_id, list({'digest': digest, 'size': size} ORDER BY turn NULLS FIRST, digest) AS turns,
+                   CAST(list_reduce(
+                       range(0, 8 * length(CAST(conv_id AS VARCHAR))),
+                       lambda crc, i: CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(crc, CAST(ascii(substring(CAST(conv_id AS VARCHAR), i // 8 + 1, 1)) AS BIGINT)) ELSE crc END) % 2 = 1
+                           THEN xor((CASE WHEN i % 8 = 0 THEN xor(crc, CAST(ascii(substring(CAST(conv_id AS VARCHAR), i // 8 + 1, 1)) AS BIGINT)) ELSE crc END) // 2, CAST(3988292384 AS BIGINT))
+                           ELSE (CASE WHEN i % 8 = 0 THEN xor(crc, CAST(ascii(substring(CAST(conv_id AS VARCHAR), i // 8 + 1, 1)) AS BIGINT)) ELSE crc END) // 2 END,
+                       CAST(4294967295 AS BIGINT)) AS BIGINT) AS rest
+            FROM d GROUP BY conv_id
+        ), h AS (
+            SELECT conv_id, turns, xor(rest, CAST(4294967295 AS BIGINT)) % 9 AS h FROM c
+        ), r AS (
+            SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+            FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 5
+        ), p AS (
+            SELECT conv_id, depth, len(turns) = depth AS ends, list_aggregate(list_transform(turns[1:depth], lambda x: x.digest), 'string_agg', '') AS path, turns[depth].size AS size
+            FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r)
+        ), n AS (
+            SELECT coalesce(path, '') AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(size), 0) AS size,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM p GROUP BY ALL
+        ), n2 AS (
+            SELECT path, depth, min(conv_id) AS conv_id, sum(n_convs) AS n_convs, any_value(size) AS size, any_value(ends_sha256) AS ends_sha256 FROM n GROUP BY path, depth
+        ), k AS (
+            SELECT a.path, a.depth, count(b.path) AS n_children FROM n2 a LEFT JOIN n2 b ON b.depth = a.depth + 1 AND substring(b.path, 1, 32 * a.depth) = a.path GROUP BY ALL
+        ), u AS (
+            SELECT substring(n2.path, 1, 32 * up) AS path, up AS depth, sum((n2.n_convs - 1) * n2.size) AS saved_tokens, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves
+            FROM (SELECT path, depth, n_convs, size, unnest(range(0, depth + 1)) AS up FROM n2) n2 JOIN k ON k.path = n2.path AND k.depth = n2.depth GROUP BY ALL
+        )
+        SELECT n2.conv_id, n2.depth, q.conv_id AS parent_conv_id, CAST(n2.n_convs AS BIGINT) AS n_convs, k.n_children,
+               u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, n2.ends_sha256
+        FROM n2 JOIN k ON k.path = n2.path AND k.depth = n2.depth JOIN u ON u.path = n2.path AND u.depth = n2.depth
+        LEFT JOIN n2 q ON q.depth = n2.depth - 1 AND q.path = substring(n2.path, 1, 32 * (n2.depth - 1))
+    """,
     "op12_hard_negatives": """
         WITH v AS (
             SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
