@@ -42,8 +42,10 @@ NOTICES = {
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", _BSD_NAMES, " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES, _BSD_WARRANTY)), " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES))],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", *_in_full(_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_WARRANTY), " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY))],
-    "ISC": ["Released under the ISC License.", *_in_full(_ISC_GRANT, _ISC_WARRANTY)],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_WARRANTY)), " ".join((_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY))],
+    "BSD": [_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_WARRANTY],
+    "ISC-like": [_ISC_WARRANTY],
+    "ISC": ["Released under the ISC License.", _ISC_GRANT, f"{_ISC_GRANT} {_ISC_WARRANTY}"],
     "0BSD": [_0BSD_GRANT, f"{_0BSD_GRANT} {_ISC_WARRANTY}"],
     "Zlib": ["Released under the zlib License.", *_in_full(*_ZLIB)],
     "Unlicense": _in_full(*_UNLICENSE),
@@ -56,11 +58,14 @@ NOTICES = {
     "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
 }
 
+#: Names of paragraphs that several licenses share, reported only where none of those licenses is.
+FAMILIES = {"BSD": ("BSD-2-Clause", "BSD-3-Clause"), "ISC-like": ("ISC", "0BSD")}
+
 # The notice that the GNU licenses ask for, and the license names that files are tagged with.
 _GNU = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 for _name, _kind, _version in (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")):
     NOTICES[_name] += [_GNU.format(work, _kind, _version) for work in ("program", "library")]
-for _name in NOTICES:
+for _name in NOTICES.keys() - FAMILIES.keys():
     NOTICES[_name] += [f"SPDX-License-Identifier: {_name}{end}" for end in (("", "-only", "-or-later") if "GPL" in _name else ("",))]
 
 
@@ -89,6 +94,7 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
 
     Pieces are the lines, the paragraphs (between empty lines) and the whole text, each distinct one once;
     pieces of more distinct words, and so of more distinct bigrams, than any template can match are left out.
+    Paragraphs that licenses share name their family (FAMILIES), unless the document names a member of it.
     A document without notice, a null or an empty text has no row. Every row of the table counts for itself,
     whatever its id. An empty table gives an empty result. Other columns are ignored, whatever their names.
     Notices within a longer line or paragraph, and the long licenses' full texts, are beyond the templates.
@@ -101,7 +107,9 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
     table = spark.createDataFrame(fits, "n int, license string, template array<string>")  # as large as the list of notices
     text = F.col(text_col)
     pieces = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(pieces).alias("nth", "piece"))
+    # Numbered before the pieces are unfolded, so that all pieces of a row carry its number.
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), pieces.alias("pieces"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", "row", F.posexplode("pieces").alias("nth", "piece"))
     most = max((n for n, _, _ in fits), default=0) + 1
     rows = rows.select("doc_id", "row", "nth", F.split(normal(F.col("piece")), " ").alias("words")).where((F.col("words")[0] != "") & ((F.size("words") <= most) | (F.size(F.array_distinct("words")) <= most)))
     rows = rows.select("doc_id", "row", "nth", bigrams(F.col("words")).alias("all"))
@@ -111,4 +119,11 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
     hits = hits.select("doc_id", "row", "nth", "license", dice.alias("dice")).where(F.col("dice") >= threshold - slack)
     # Each piece goes to the license it is closest to (ties to the later name).
     each = hits.groupBy("doc_id", "row", "nth").agg(F.max(F.struct("dice", "license")).alias("best"))
-    return each.groupBy("doc_id", "row", F.col("best.license").alias("license")).agg(F.round(F.max("best.dice"), 9).alias("dice"), F.count(F.lit(1)).alias("pieces")).drop("row")
+    found = each.groupBy("doc_id", "row", F.col("best.license").alias("license")).agg(F.round(F.max("best.dice"), 9).alias("dice"), F.count(F.lit(1)).alias("pieces"))
+    # At most one entry for each license.
+    held = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("license", "dice", "pieces")).alias("held"))
+    named = F.transform("held", lambda x: x["license"])
+    general = F.lit(False)
+    for family, members in FAMILIES.items():
+        general = general | ((F.col("x.license") == family) & F.arrays_overlap("named", F.array(*map(F.lit, members))))
+    return held.select("doc_id", named.alias("named"), F.explode("held").alias("x")).where(~general).select("doc_id", "x.*")

@@ -215,20 +215,37 @@ def test_shards_are_minimax(spark, docs, texts):
 
 
 def test_licenses_against_plain_dice(spark, docs, texts):
+    """Whole rows as a multiset, over the table and over licenses in full, alone, in longer texts and repeated."""
+    import re
+    from collections import Counter
+
     templates = licenses._templates(licenses.NOTICES)
+    full = {name: max(texts_, key=len) for name, texts_ in licenses.NOTICES.items()}
+    paragraphs = {"BSD-2-Clause": [licenses._BSD_GRANT, licenses._BSD_SOURCE, licenses._BSD_BINARY, licenses._BSD_WARRANTY], "BSD-3-Clause": [licenses._BSD_GRANT, licenses._BSD_SOURCE, licenses._BSD_BINARY, licenses._BSD_NAMES, licenses._BSD_WARRANTY], "0BSD": [licenses._0BSD_GRANT, licenses._ISC_WARRANTY], "ISC": [licenses._ISC_GRANT, licenses._ISC_WARRANTY], "MIT": [licenses._MIT_GRANT, licenses._MIT_NOTICE, licenses._MIT_WARRANTY]}
+    more = [(1000 + k, t) for k, t in enumerate(full.values())] + [(2000 + k, "\n\n".join(p)) for k, p in enumerate(paragraphs.values())]
+    more += [(3000, "\n\n".join([*p, "and some other words of this file"] * 2)) for p in paragraphs.values()] + [(None, "Released under the MIT License.")] * 2
+    rows = [*texts.items(), *more]
 
     def pieces(text):
-        import re
-
         for p in {*text.split("\n"), *re.split("\n[ \t\r]*\n", text), text}:
             words = "".join(c if c.isalnum() else " " for c in p.lower()).split()
             if words:
                 yield tuple({" ".join(x) for x in zip(words, words[1:], strict=False)} or set(words))
 
-    want = set()
-    for i, t in texts.items():
+    want = Counter()
+    for i, t in rows:
+        found = {}
         for p in pieces(t):
-            best = max(((2 * len(set(p) & set(b)) / (len(p) + len(b)), name) for name, b in templates), default=(0, ""))
-            if best[0] >= 0.8:
-                want.add((i, best[1]))
-    assert {(r.doc_id, r.license) for r in licenses.scan(spark, docs).collect()} == want
+            dice, name = max(((2 * len(set(p) & set(b)) / (len(p) + len(b)), name) for name, b in templates), default=(0, ""))
+            if dice >= 0.8:
+                found.setdefault(name, []).append(round(dice, 9))
+        for family, members in licenses.FAMILIES.items():
+            if set(members) & set(found):
+                found.pop(family, None)
+        want.update((i, name, max(d), len(d)) for name, d in found.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.license, r.dice, r.pieces) for r in licenses.scan(spark, df).collect()) == want
+    names = {}
+    for i, name, _, _ in want:
+        names.setdefault(i, set()).add(name)
+    assert [names[2000 + k] for k in range(len(paragraphs))] == [{name} for name in paragraphs]
