@@ -1,14 +1,17 @@
-"""The factor pool: thirteen technical factors as window expressions, their parameters, groups and labels."""
+"""The factor pool: thirteen technical factors over overlapping chunks, their parameters, groups and labels."""
 
 from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.rolling import before, change, full, series, standard
+from fathomline.functions import kernels
+from fathomline.functions.chunks import over_chunks, positions
+from fathomline.functions.rolling import change, series
 
 
 @dataclass(frozen=True)
@@ -103,120 +106,115 @@ def prepare(df: DataFrame, price: str = "nav", by: str = "code", order: str = "d
     return df.withColumn("pos", F.row_number().over(w)).withColumn("ret", change(F.col(price), 1, w))
 
 
+def reach(params: dict[str, int]) -> int:
+    """Rows before a row that a raw factor looks at."""
+    return params["window"] + params.get("lookback", 0) + 1
+
+
+def _worked_out(df: DataFrame, wanted: list[tuple[str, dict[str, int]]], score_window: int, finish, outs: dict[str, str], price: str, by: str, order: str) -> DataFrame:
+    """``df`` with columns that ``finish`` makes of the raw factors and (with a score window) z-scores of each chunk.
+
+    ``finish`` gets a function from a place in ``wanted`` to (raw, z-score turned so that higher is better).
+    """
+    had = "pos" in df.columns
+    rows = df if had else positions(df, by, order)
+    halo = max((reach(p) for _, p in wanted), default=1) + score_window
+
+    def run(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        of, held = kernels.Series(columns[price]), {}
+
+        def get(k: int, window: int = score_window) -> tuple[np.ndarray, np.ndarray | None]:
+            if k not in held:
+                name, params = wanted[k]
+                raw = of.factor(name, params["window"], params.get("lookback", 0))
+                held[k] = raw, kernels.Rolled(raw), {}
+            raw, rolled, scores = held[k]
+            if window and window not in scores:
+                scores[window] = rolled.standard(window) * (-1 if POOL[wanted[k][0]].inverted else 1)
+            return raw, scores.get(window)
+
+        return finish(get)
+
+    out = over_chunks(rows, halo, [price], run, outs, by)
+    return out if had else out.drop("pos")
+
+
 def add_factor(df: DataFrame, name: str, params: dict[str, int], into: str, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
-    """``df`` (prepared) with the raw factor."""
+    """``df`` with the raw factor."""
     return add_factors(df, [(name, params, into)], price, by, order)
 
 
 def add_factors(df: DataFrame, wanted: list[tuple[str, dict[str, int], str]], price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
-    """``df`` (prepared) with raw factors (name, parameters, column), in two steps however many they are.
+    """``df`` with raw factors (name, parameters, column), all in one pass over overlapping chunks of each series."""
+    def finish(get):
+        return {into: get(k, 0)[0] for k, (_, _, into) in enumerate(wanted)}
 
-    All frames of a step stand in one window operator over one sort.
-    """
-    w = series(by, order=order)
-    means = sorted({p["window"] for name, p, _ in wanted if name == "ma_slope"})
-    df = df.select("*", *(full(F.avg, F.col(price), n, w).alias(f"_sma_{n}") for n in means if f"_sma_{n}" not in df.columns))
-    return df.select("*", *(_factor(name, params, price, w).alias(into) for name, params, into in wanted)).drop(*(f"_sma_{n}" for n in means))
-
-
-def _factor(name: str, params: dict[str, int], price: str, w: WindowSpec) -> Column:
-    p, ret = F.col(price), F.col("ret")
-    n = params["window"]
-    pos = F.col("pos").cast("double")
-    frame = w.rowsBetween(-(n - 1), 0)
-    enough = F.count(p).over(frame) == n
-
-    def over(fn) -> Column:
-        return fn(p, pos).over(frame)
-
-    if name == "ma_slope":
-        return change(F.col(f"_sma_{n}"), params["lookback"], w)
-    if name == "momentum":
-        x = change(p, n, w)
-    elif name == "ma_trend_state":
-        x = F.try_divide(p, full(F.avg, p, n, w)) - 1
-    elif name == "trend_r2":
-        x = F.when(enough, F.when(over(F.regr_syy) <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), over(F.regr_r2))))
-    elif name == "trend_tvalue":
-        sxx, syy, sxy = over(F.regr_sxx), over(F.regr_syy), over(F.regr_sxy)
-        left = F.greatest(syy - F.try_divide(sxy * sxy, sxx), F.lit(0.0))
-        error = F.sqrt(F.try_divide(left / F.lit(float(max(n - 2, 1))), sxx))
-        x = F.when(enough & F.lit(n >= 3), F.when(left <= 1e-20 * F.greatest(syy, F.lit(1e-300)), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.try_divide(sxy, sxx), F.nullif(error, F.lit(0.0))), F.lit(0.0))))
-    elif name == "price_position":
-        low, high = full(F.min, p, n, w), full(F.max, p, n, w)
-        x = F.try_divide(p - low, F.nullif(high - low, F.lit(0.0)))
-    elif name == "breakout_strength":
-        x = F.try_divide(p, before(F.max, p, n, w)) - 1
-    elif name == "donchian_breakout":
-        x = F.coalesce((p > before(F.max, p, n, w)).cast("double"), F.lit(0.0))
-    elif name == "trend_residual":
-        fitted = over(F.regr_intercept) + over(F.regr_slope) * pos
-        x = F.when(enough, F.try_divide(p, F.when(F.abs(fitted) > 1e-12, fitted)) - 1)
-    elif name == "volatility":
-        x = full(F.stddev_samp, ret, n, w)
-    elif name == "drawdown":
-        x = F.try_divide(p, full(F.max, p, n, w)) - 1
-    elif name == "risk_adjusted_momentum":
-        x = F.try_divide(change(p, n, w), F.nullif(full(F.stddev_samp, ret, n, w), F.lit(0.0)))
-    elif name == "sharpe_like_trend":
-        x = F.try_divide(full(F.avg, ret, n, w), F.nullif(full(F.stddev_pop, ret, n, w), F.lit(0.0)))
-    else:
-        raise ValueError(f"unknown factor: {name}")
-    return x
+    return _worked_out(df, [(name, params) for name, params, _ in wanted], 0, finish, {into: "double" for _, _, into in wanted}, price, by, order)
 
 
-def score(name: str, raw: str, window: int, w: WindowSpec) -> Column:
-    """The z-score of a factor's column, turned so that higher is better."""
-    z = standard(F.col(raw), window, w)
-    return -z if POOL[name].inverted else z
+def candidate_values(df: DataFrame, wanted: list[tuple[str, dict[str, int]]], score_window: int = SCORE_WINDOW, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
+    """``df`` with arrays ``raws`` and ``scores``: raw factors and z-scores (higher is better) of all candidates."""
+    def finish(get):
+        pairs = [get(k) for k in range(len(wanted))]
+        return {"raws": np.stack([r for r, _ in pairs], 1), "scores": np.stack([z for _, z in pairs], 1)}
+
+    return _worked_out(df, wanted, score_window, finish, {"raws": "array<double>", "scores": "array<double>"}, price, by, order)
 
 
 def factor_table(df: DataFrame, enabled: list[str] | None = None, params: dict[str, dict[str, int]] | None = None, score_window: int = SCORE_WINDOW, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
     """Raw factors ``f`` and z-scores ``f_z`` (higher is better, gaps 0) beside the key, date and price."""
     enabled, params = enabled or list(POOL), params or {}
     validate(enabled, params)
-    w, out = series(by, order=order), prepare(df, price, by, order)
-    out = add_factors(out, [(name, resolve(name, params.get(name)), name) for name in enabled], price, by, order)
-    out = out.select("*", *(score(name, name, score_window, w).alias(f"{name}_z") for name in enabled))
-    return out.select(*df.columns, *enabled, *(f"{n}_z" for n in enabled))
+
+    def finish(get):
+        return {n: get(k)[0] for k, n in enumerate(enabled)} | {f"{n}_z": get(k)[1] for k, n in enumerate(enabled)}
+
+    outs = dict.fromkeys([*enabled, *(f"{n}_z" for n in enabled)], "double")
+    return _worked_out(df, [(n, resolve(n, params.get(n))) for n in enabled], score_window, finish, outs, price, by, order)
 
 
 def add_scores(df: DataFrame, wanted: list[tuple[dict[str, float], dict[str, dict[str, int]], int]], by: str = "code", price: str = "nav", order: str = "date") -> DataFrame:
-    """``df`` with columns ``_score0``, ... for each (weights, parameters, score window); equal factors are shared."""
+    """``df`` with the array ``_scores``: one score for each (weights, parameters, score window).
+
+    Each distinct factor is worked out once, however many scores use it.
+    """
     if not wanted:
         return df
-    raw: dict[tuple, str] = {}
-    scores: dict[tuple, str] = {}
+    raw: dict[tuple, int] = {}
     sums = []
     for weights, params, window in wanted:
         validate(list(weights), params, weights)
-        terms = []
-        for name, weight in weights.items():
-            key = (name, tuple(sorted(resolve(name, params.get(name)).items())))
-            raw.setdefault(key, f"_raw{len(raw)}")
-            terms.append((scores.setdefault((*key, window), f"_z{len(scores)}"), weight))
-        sums.append(terms)
-    w, out = series(by, order=order), prepare(df, price, by, order)
-    out = add_factors(out, [(name, dict(params), into) for (name, params), into in raw.items()], price, by, order)
-    out = out.select("*", *(score(name, raw[name, params], window, w).alias(into) for (name, params, window), into in scores.items()))
-    return out.select(*df.columns, *(sum((F.col(z) * weight for z, weight in terms), F.lit(0.0)).alias(f"_score{k}") for k, terms in enumerate(sums)))
+        sums.append([(raw.setdefault((name, tuple(sorted(resolve(name, params.get(name)).items()))), len(raw)), weight, window) for name, weight in weights.items()])
+
+    def finish(get):
+        return {"_scores": np.stack([sum(get(k, window)[1] * weight for k, weight, window in terms) for terms in sums], 1)}
+
+    return _worked_out(df, [(name, dict(p)) for name, p in raw], max(window for _, _, window in wanted), finish, {"_scores": "array<double>"}, price, by, order)
 
 
 def multi_factor_score(df: DataFrame, weights: dict[str, float] | None = None, params: dict[str, dict[str, int]] | None = None, score_window: int = SCORE_WINDOW, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
     """Weighted sum of the z-scores as ``score``; weights are not rescaled."""
     weights = weights or {n: f.weight for n, f in POOL.items()}
-    return add_scores(df, [(weights, params or {}, score_window)], by, price, order).withColumnRenamed("_score0", "score")
+    return add_scores(df, [(weights, params or {}, score_window)], by, price, order).withColumn("_scores", F.col("_scores")[0]).withColumnRenamed("_scores", "score")
 
 
 def panel_features(df: DataFrame, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
     """The 28 features of the ranking panel, one column each."""
-    w, p = series(by, order=order), F.col(price)
-    out = df.withColumn("return", change(p, 1, w))
-    more = {f"ret_{n}": change(p, n, w) for n in (1, 5, 10, 20, 60)}
-    more |= {f"momentum_{n}": change(p, n, w) for n in (5, 20, 60, 120)}
-    more |= {f"vol_{n}": full(F.stddev_samp, F.col("return"), n, w) for n in (5, 10, 20, 60)}
-    more |= {f"ma_ratio_{n}": F.try_divide(p, full(F.avg, p, n, w)) - 1 for n in (5, 10, 20, 60, 120)}
-    more |= {f"ma_cross_{a}_{b}": F.try_divide(full(F.avg, p, a, w), full(F.avg, p, b, w)) - 1 for a, b in ((5, 20), (10, 60), (20, 120))}
-    more |= {f"drawdown_{n}": F.try_divide(p, full(F.max, p, n, w)) - 1 for n in (20, 60, 120)}
-    more |= {f"position_{n}": F.try_divide(p - full(F.min, p, n, w), F.nullif(full(F.max, p, n, w) - full(F.min, p, n, w), F.lit(0.0))) for n in (20, 60)}
-    return out.select("*", *(c.alias(k) for k, c in more.items()))
+    names = [*(f"ret_{n}" for n in (1, 5, 10, 20, 60)), *(f"momentum_{n}" for n in (5, 20, 60, 120)), *(f"vol_{n}" for n in (5, 10, 20, 60)), *(f"ma_ratio_{n}" for n in (5, 10, 20, 60, 120))]
+    names += ["ma_cross_5_20", "ma_cross_10_60", "ma_cross_20_120", "drawdown_20", "drawdown_60", "drawdown_120", "position_20", "position_60"]
+
+    def run(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        of = kernels.Series(columns[price])
+        out = {"return": of.returns.x}
+        for name in names:
+            kind, *ns = name.replace("ma_ratio", "ratio").replace("ma_cross", "cross").split("_")
+            n = int(ns[0])
+            if kind == "cross":
+                out[name] = kernels.divided(of.price.mean(n), of.price.mean(int(ns[1]))) - 1
+            else:
+                out[name] = of.factor({"ret": "momentum", "vol": "volatility", "ratio": "ma_trend_state", "position": "price_position"}.get(kind, kind), n)
+        return out
+
+    had = "pos" in df.columns
+    out = over_chunks(df if had else positions(df, by, order), 122, [price], run, dict.fromkeys(["return", *names], "double"), by)
+    return out if had else out.drop("pos")

@@ -50,10 +50,6 @@ SPACES = {
 }
 
 
-#: Trials of multi_factor_score worked out in one plan.
-FACTOR_TRIALS = 5
-
-
 def _primes(n: int) -> list[int]:
     out, k = [], 2
     while len(out) < n:
@@ -102,20 +98,15 @@ def trial_params(strategy: str, n: int, base: dict | None = None) -> list[dict]:
 def optimize(spark: SparkSession, panel: DataFrame, bounds: DataFrame, strategy: str = "ma_cross", n_trials: int = 30, base: dict | None = None) -> DataFrame:
     """Train, valid and test figures of every trial and code (and fold, where ``bounds`` names one), and the trial chosen.
 
-    Every trial runs over the whole series and its curve is cut afterwards, so no segment starts cold. Trials
-    share the windows of one plan (those with factors of their own in small groups). Candidates are the top trials and the running best by training
+    Every trial runs over the whole series and its curve is cut afterwards, so no segment starts cold. All trials
+    share one plan, in which each distinct factor is worked out once. Candidates are the top trials and the running best by training
     objective; the best validation Sharpe wins.
     """
     trials = trial_params(strategy, n_trials, base)
     by = ["code", *(c for c in ("fold_id",) if c in bounds.columns)]
-    # Trials with factors of their own hold many windows each, so few of them share a plan.
-    size = FACTOR_TRIALS if strategy == "multi_factor_score" else len(trials)
-    panel, figures = kept(panel.select("code", "date", "pos", "nav")), None
-    for first in range(0, len(trials), size):
-        rows = signals.generate_all(panel, [(strategy, t) for t in trials[first : first + size]]).withColumn("trial_number", F.col("variant") + first).drop("variant")
-        curves = signals.backtest(rows, by=("code", "trial_number"))
-        part = kept(metrics.segment_metrics(curves, bounds, [*by, "trial_number"], mean=True))
-        figures = part if figures is None else figures.unionByName(part)
+    rows = signals.generate_all(panel.select("code", "date", "pos", "nav"), [(strategy, t) for t in trials]).withColumnRenamed("variant", "trial_number")
+    curves = signals.backtest(rows, by=("code", "trial_number"))
+    figures = metrics.segment_metrics(curves, bounds, [*by, "trial_number"], mean=True)
     value = F.max(F.when(F.col("segment") == "train", objective(F.col("sharpe"), F.col("max_drawdown"))))
     names = ("sharpe", "annual_return", "max_drawdown", "cumulative_return", "annual_volatility", "mean_daily_return")
     wide = kept(figures.groupBy(*by, "trial_number").agg(value.alias("value"), *(F.max(F.when(F.col("segment") == s, F.col(m))).alias(f"{s}_{m}") for s in ("train", "valid", "test") for m in names)))

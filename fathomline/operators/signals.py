@@ -63,7 +63,7 @@ def _conditions(df: DataFrame, wanted: list[tuple[str, dict]], by: tuple[str, ..
         elif name == "multi_factor_score":
             k = len(scores)
             scores.append(params)
-            out.append((F.col(f"_score{k}") > params["entry_threshold"], F.col(f"_score{k}") <= params["exit_threshold"]))
+            out.append((F.col("_scores")[k] > params["entry_threshold"], F.col("_scores")[k] <= params["exit_threshold"]))
         else:
             out.append((F.lit(True), F.lit(False)))  # bought once and held
     df = df.select("*", *(full(F.avg, p, n, w).alias(f"_mean{n}") for n in sorted(means)), *(change(p, n, w).alias(f"_change{n}") for n in sorted(changes)))
@@ -78,7 +78,7 @@ def generate(df: DataFrame, name: str, override: dict | None = None, by: tuple[s
     out = out.withColumns({"entries": rising(F.col("_in"), w), "exits": rising(F.col("_out"), w)})
     if delay:
         out = out.withColumns({"entries": delayed(F.col("entries"), w), "exits": delayed(F.col("exits"), w)})
-    score = [F.col("_score0").alias("score")] if name == "multi_factor_score" else []
+    score = [F.col("_scores")[0].alias("score")] if name == "multi_factor_score" else []
     return out.select(*df.columns, *score, "entries", "exits")
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import factors
+from fathomline.functions.chunks import positions as positions_of
 from fathomline.functions.keeping import kept, small
-from fathomline.functions.rolling import safe_corr, series
+from fathomline.functions.rolling import safe_corr
 from fathomline.operators import folds, ic, metrics, panel, positions, search, selection, signals
 
 # The alphabet of lineage codes, one character for each stage.
@@ -98,14 +99,13 @@ def candidates_of(config: Config) -> list[tuple[str, str, dict[str, int]]]:
 def feature_matrix(prices: DataFrame, config: Config) -> DataFrame:
     """``code, date, pos, nav, candidate_label, raw, value, fwd``: all candidates of all series, long.
 
-    Three selects, however many candidates: all raw factors, all scores, then one row for each.
+    One pass over overlapping chunks works out all of them, then each gets a row.
     """
-    w, some = series("code"), candidates_of(config)
-    table = factors.add_factors(factors.prepare(prices), [(name, params, f"r{k}") for k, (_, name, params) in enumerate(some)])
-    table = table.select("*", *(factors.score(name, f"r{k}", factors.SCORE_WINDOW, w).alias(f"z{k}") for k, (_, name, _) in enumerate(some)))
-    table = panel.forward_return(table, config.horizon)
-    cells = [F.struct(F.lit(label).alias("candidate_label"), F.col(f"r{k}").alias("raw"), F.col(f"z{k}").alias("value")) for k, (label, _, _) in enumerate(some)]
-    return table.select("code", "date", "pos", "nav", "fwd", F.explode(F.array(*cells)).alias("c")).select("code", "date", "pos", "nav", "fwd", "c.*")
+    some = candidates_of(config)
+    table = panel.forward_return(factors.candidate_values(positions_of(prices), [(name, params) for _, name, params in some]), config.horizon)
+    labels = F.array(*(F.lit(label) for label, _, _ in some))
+    cells = F.explode(F.arrays_zip(labels.alias("candidate_label"), F.col("raws").alias("raw"), F.col("scores").alias("value")))
+    return table.select("code", "date", "pos", "nav", "fwd", cells.alias("c")).select("code", "date", "pos", "nav", "fwd", "c.*")
 
 
 def preprocess(spark: SparkSession, prices: DataFrame, config: Config, matrix_path: str) -> DataFrame:
