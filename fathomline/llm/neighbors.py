@@ -187,6 +187,11 @@ class Best:
     def __init__(self, k: int):
         self.k, self.held = k, {}
 
+    def floor(self, query: int) -> float:
+        """What a row must score to be among the best."""
+        scores = self.held[query][1] if query in self.held else ()
+        return float(scores[-1]) if len(scores) == self.k else -np.inf
+
     def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
         if query in self.held:
             a, b = self.held[query]
@@ -213,7 +218,11 @@ class Best:
 
 
 def _visit(k: int, hashed: bool):
-    """Pages joined to blocks of queries: the best of what the probes (or, unhashed, all rows) bring."""
+    """Pages joined to blocks of queries: the best of what the probes (or, unhashed, all rows) bring.
+
+    One product of block and page tells which rows can still be among a query's best; of these, rows in
+    the buckets it probes get their exact score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -223,23 +232,17 @@ def _visit(k: int, hashed: bool):
                 data = batch.column("page")[row].as_buffer()
                 if known is None or data != known:
                     ids, vectors, codes, _ = unpack(data, code=hashed)
-                    known = data
-                    if hashed:
-                        firsts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-                        buckets, ends = codes[firsts], np.r_[firsts[1:], len(codes)]
+                    known, length = data, float(np.sqrt((vectors * vectors).sum(1).max()))
                 asked, points, _, probes = unpack(batch.column("block")[row].as_buffer(), probes=hashed)
+                rough = points @ vectors.T
+                slack = 1e-9 * length * np.sqrt((points * points).sum(1))
                 for i, query in enumerate(asked.tolist()):
-                    if hashed:
-                        hit = np.flatnonzero(np.isin(buckets, probes[i]))
-                        if not len(hit):
-                            continue
-                        rows = np.concatenate([np.arange(a, b) for a, b in zip(firsts[hit].tolist(), ends[hit].tolist(), strict=True)])
-                        rows = rows[ids[rows] != query]
-                    else:
-                        rows = np.flatnonzero(ids != query)
+                    rows = np.flatnonzero(rough[i] >= top.floor(query) - slack[i])
+                    if hashed and len(rows):
+                        rows = rows[np.isin(codes[rows], probes[i])]
+                    rows = rows[ids[rows] != query]
                     if len(rows):
-                        scores = exact_scores(vectors[rows], points[i])
-                        top.add(query, ids[rows], scores)
+                        top.add(query, ids[rows], exact_scores(vectors[rows], points[i]))
         yield from top.rows()
 
     return run
