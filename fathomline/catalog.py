@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import factors
 from fathomline.functions.keeping import kept
 from fathomline.functions.rolling import change, series, zscore
-from fathomline.operators import folds, ic, metrics, panel, positions, ranker, search, selection, signals
+from fathomline.operators import folds, ic, metrics, packed, panel, positions, ranker, search, selection, signals
 from fathomline.oracles import FACTORS6, ORACLE
 from fathomline.sources import prices
 
@@ -406,7 +406,7 @@ def _best_forward(spark: SparkSession, long: DataFrame, summed: DataFrame) -> Da
 
 @query
 def x20_extension_search(spark, d):
-    long, summed = labelled(spark, d), kept(summaries(spark, d))
+    long, summed = packed.pack(labelled(spark, d), ["code"]), kept(summaries(spark, d))
     out = selection.extension_search(long, summed, _best_forward(spark, long, summed), ["code"])
     return shown(out.select("code", "subset_id", "factor_count", "source", "train_icir", "valid_icir", "is_final"))
 
@@ -491,7 +491,7 @@ def x12_position_search(spark, d):
     rows = scored(spark, d).withColumn("pos", F.row_number().over(series("code")))
     cut = folds.with_folds(rows, folds.fold_table(spark, nav(spark, d)))
     out = search.search_positions(spark, rows, cut)
-    return shown(out.select("code", "trial_number", "kind", "train_sharpe", "valid_sharpe", "is_best"))
+    return shown(out.select("code", "kind", "trial_number", "train_sharpe", "valid_sharpe", "is_best_of_kind", "is_best"))
 
 
 @query

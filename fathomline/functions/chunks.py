@@ -30,6 +30,12 @@ def positions(df: DataFrame, by: str = "code", order: str = "date") -> DataFrame
     return rows.select(*df.columns, (F.col("_start") + F.col("_nth")).cast("int").alias("pos"))
 
 
+def overlapping(df: DataFrame, halo: int) -> DataFrame:
+    """Rows of ``df`` (with ``pos``) once for each ``_chunk`` that holds them or follows within ``halo`` rows."""
+    at = F.col("pos") - 1
+    return df.withColumn("_chunk", F.explode(F.sequence(F.floor(at / CHUNK_ROWS).cast("int"), F.floor((at + halo) / CHUNK_ROWS).cast("int"))))
+
+
 def over_chunks(df: DataFrame, halo: int, columns: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], outs: dict[str, str], by: str = "code") -> DataFrame:
     """``df`` (with ``pos``) and the columns ``outs`` (name: "double" or "array<double>") that ``fn`` works out.
 
@@ -37,8 +43,7 @@ def over_chunks(df: DataFrame, halo: int, columns: list[str], fn: Callable[[dict
     the chunk included; it returns an array (or a matrix, a row for each row) of each name, NaN for null.
     Chunks of a series are separate groups, of CHUNK_ROWS + ``halo`` rows at most.
     """
-    at, size = F.col("pos") - 1, CHUNK_ROWS
-    rows = df.withColumn("_chunk", F.explode(F.sequence(F.floor(at / size).cast("int"), F.floor((at + halo) / size).cast("int"))))
+    size, rows = CHUNK_ROWS, overlapping(df, halo)
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType() if kind == "double" else T.ArrayType(T.DoubleType())) for n, kind in outs.items())])
     names = df.columns
 

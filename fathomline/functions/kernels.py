@@ -53,16 +53,27 @@ class Rolled:
     def _full(self, v: np.ndarray, n: int) -> np.ndarray:
         return np.where(self._over(self.count, n) == n, v, np.nan)
 
+    def still(self, n: int) -> np.ndarray:
+        """Windows whose values are all the same: those without a move after their first row."""
+        first = np.maximum(np.arange(len(self.x)) - n + 1, 0)
+        return self.moves[1:] == self.moves[first + 1]
+
     def mean(self, n: int) -> np.ndarray:
-        return self._full(self.middle + self._over(self.sums, n) / n, n)
+        return self._full(np.where(self.still(n), self.x, self.middle + self._over(self.sums, n) / n), n)
 
     def variation(self, n: int) -> np.ndarray:
-        """Sum of squared deviations from the window's mean."""
+        """Sum of squared deviations from the window's mean.
+
+        What the sums can't tell from their own rounding is worked out from the window's values.
+        """
         total = self._over(self.sums, n)
-        out = np.maximum(self._over(self.squares, n) - total * total / n, 0.0)
-        # Moves inside a window are those after its first row.
-        first = np.maximum(np.arange(len(self.x)) - n + 1, 0)
-        return self._full(np.where(self.moves[1:] == self.moves[first + 1], 0.0, out), n)
+        out = self._full(np.where(self.still(n), 0.0, np.maximum(self._over(self.squares, n) - total * total / n, 0.0)), n)
+        with np.errstate(invalid="ignore"):
+            lost = np.flatnonzero((out <= 1e-8 * self.squares[-1]) & ~self.still(n))
+        for some in np.array_split(lost, -(-len(lost) // 1024)) if len(lost) else ():
+            window = np.lib.stride_tricks.sliding_window_view(self.x, n)[some - n + 1]
+            out[some] = ((window - window.mean(1, keepdims=True)) ** 2).sum(1)
+        return out
 
     def deviation(self, n: int, less: int = 0) -> np.ndarray:
         """Standard deviation, of the population or (``less`` 1) of a sample."""
@@ -118,7 +129,7 @@ class Series:
             syy = p.variation(n)
             if name == "trend_residual":
                 fitted = p.mean(n) + (divided(sxy, np.full(len(x), sxx)) * (n - 1) / 2)
-                return divided(x, np.where(np.abs(fitted) > 1e-12, fitted, np.nan)) - 1
+                return np.where(syy == 0, 0.0, divided(x, np.where(np.abs(fitted) > 1e-12, fitted, np.nan)) - 1)
             if name == "trend_r2":
                 return np.where(syy <= 0, 0.0 * syy, np.maximum(divided(sxy * sxy, sxx * syy), 0.0)) if sxx else np.where(syy <= 0, 0.0, np.nan)
             if n < 3:

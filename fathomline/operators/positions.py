@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,38 @@ def backtest(df: DataFrame, by: tuple[str, ...] = ("code",), target: str = "targ
     return out.withColumn("equity", init_cash * F.product(1 + F.col("strategy_return")).over(upto)).drop("_pos")
 
 
+FIGURES = ("cumulative_return", "annual_return", "annual_volatility", "sharpe", "max_drawdown", "trade_count")
+
+
+def figures(raw: np.ndarray, nav: np.ndarray, span: np.ndarray, gate: np.ndarray, fees: float = 0.001) -> dict[str, np.ndarray]:
+    """FIGURES of many trials over one segment: ``raw`` positions (day, trial), a span and a gate for each trial.
+
+    The same smoothing, gate, holding and figures as ``smooth_and_gate``, ``backtest`` and
+    ``metrics.return_metrics``.
+    """
+    alpha, days = 2.0 / (span + 1.0), len(nav)
+    target = np.empty_like(raw)
+    smooth = last = raw[0]
+    target[0] = last
+    for d in range(1, days):
+        smooth = alpha * raw[d] + (1 - alpha) * smooth
+        clipped = np.clip(smooth, 0.0, 1.0)
+        last = np.where(np.abs(clipped - last) >= gate, clipped, last)
+        target[d] = last
+    held = np.vstack([np.zeros_like(target[:1]), target[:-1]])
+    turnover = np.abs(target - held)
+    change = np.r_[0.0, nav[1:] / nav[:-1] - 1]
+    equity = np.cumprod(1 + held * change[:, None] - fees * turnover, axis=0)
+    ret = equity[1:] / equity[:-1] - 1
+    n = max(1, days - 1)
+    total = equity[-1] / equity[0] - 1
+    mean, deviation = (ret.mean(0), ret.std(0)) if days > 1 else (np.zeros(raw.shape[1]), np.zeros(raw.shape[1]))
+    some = float(days > 1)
+    drawdown = (equity / np.maximum.accumulate(equity, axis=0) - 1).min(0)
+    sharpe = np.where(deviation > 0, mean / np.where(deviation > 0, deviation, 1.0) * np.sqrt(252.0), 0.0)
+    return {"cumulative_return": total, "annual_return": some * ((1 + total) ** (252.0 / n) - 1), "annual_volatility": some * deviation * np.sqrt(252.0), "sharpe": some * sharpe, "max_drawdown": some * drawdown, "trade_count": (turnover > 1e-12).sum(0).astype(float)}
+
+
 def fold_aggregate(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean of the figures over folds, sum of trades."""
     figures = ["cumulative_return", "annual_return", "annual_volatility", "sharpe", "max_drawdown"]

@@ -7,9 +7,9 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.keeping import kept, small
+from fathomline.functions.keeping import kept
 from fathomline.functions.rolling import safe_corr
-from fathomline.operators import ic
+from fathomline.operators import ic, packed, sampler
 
 
 def pair_correlations(wide: DataFrame, labels: list[str], keys: list[str]) -> DataFrame:
@@ -53,43 +53,32 @@ def corr_drop(losers: DataFrame, summaries: DataFrame, by: list[str]) -> DataFra
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("place <= quota").drop("quota")
 
 
-def subset_ics(long: DataFrame, subsets: DataFrame, keys: list[str], weights: bool = False) -> DataFrame:
-    """ICs by fold of score sums over label subsets.
-
-    ``long(keys, fold_id, segment, date, candidate_label, value, fwd)``; ``subsets(keys, subset_id, labels[, weights])``.
-    Unknown values count as 0. The subsets of a level are scored in one pass.
-    """
-    parts = subsets.select(*keys, "subset_id", F.posexplode("labels").alias("_i", "candidate_label"), *(["weights"] if weights else []))
-    value = F.coalesce("value", F.lit(0.0)) * (F.col("weights")[F.col("_i")] if weights else F.lit(1.0))
-    rows = long.join(small(parts), [*keys, "candidate_label"])
-    sums = rows.groupBy(*keys, "subset_id", "fold_id", "segment", "date").agg(F.sum(value).alias("score"), F.first("fwd").alias("fwd"))
-    return ic.by_fold(sums, [*keys, "subset_id", "fold_id", "segment"], "score")
-
-
-def forward_search(spark: SparkSession, long: DataFrame, summaries: DataFrame, by: list[str], roots: int = 3, levels: int | None = None, nodes: int = 2000) -> DataFrame:
+def forward_search(spark: SparkSession, long: DataFrame, summaries: DataFrame, by: list[str], roots: int = 3, levels: int | None = None) -> DataFrame:
     """``labels, factor_count, train_*, valid_*`` of every subset tried.
 
     Starts from the best ``roots`` candidates; a level adds one candidate to every subset of the last one
-    and keeps for the next what is at least as good in training as the parent it came from, the first in
-    the order of train ICIR. It goes on until nothing is left to extend (or for ``levels`` levels). ``nodes``
-    bounds a level of each key, so runs repeat exactly.
+    and keeps for the next what is at least as good in training as the parent it came from. It goes on until
+    nothing is left to extend (or for ``levels`` levels). ``long`` may be packed already; a parent's scores
+    are summed once for all its children.
     """
-    w = Window.partitionBy(*by)
-    roots_df = summaries.withColumn("_n", F.row_number().over(w.orderBy(F.desc_nulls_last("train_icir"), "candidate_label"))).where(F.col("_n") <= roots)
-    level = roots_df.select(*by, F.array("candidate_label").alias("labels"), F.lit(None).cast("double").alias("parent_icir"))
+    w, packs, summaries = Window.partitionBy(*by), packed.pack(long, by), kept(summaries)
+    first = summaries.withColumn("_n", F.row_number().over(w.orderBy(F.desc_nulls_last("train_icir"), "candidate_label"))).where(F.col("_n") <= roots)
+    nothing = F.array().cast("array<string>")
+    children = kept(first.select(*by, F.array("candidate_label").alias("labels"), F.col("candidate_label").alias("subset_id"), F.col("candidate_label").alias("added"), F.lit("").alias("parent"), nothing.alias("base"), F.lit(None).cast("double").alias("parent_icir")))
     singles, done = summaries.select(*by, F.col("candidate_label").alias("_c")), None
     for k in itertools.count() if levels is None else range(levels):
-        level = level.withColumn("subset_id", F.concat_ws("|", "labels"))
-        found = ic.candidate_summary(subset_ics(long, level.select(*by, "subset_id", "labels"), by), [*by, "subset_id"])
-        scored = level.join(found, [*by, "subset_id"]).withColumn("factor_count", F.size("labels")).withColumn("step", F.lit(k + 1))
-        scored = kept(scored)
+        asks = kept(children.groupBy(*by, "parent", F.col("base").alias("labels")).agg(F.collect_list(F.struct("subset_id", "added")).alias("_x")))
+        asks = asks.select(*by, F.transform("_x", lambda x: x["subset_id"]).alias("ids"), "labels", F.transform("_x", lambda x: x["added"]).alias("added"), F.lit(None).cast("array<double>").alias("weights"))
+        found = ic.candidate_summary(packed.evaluate(packs, asks, by, asks.count()), [*by, "subset_id"])
+        scored = children.drop("parent", "base", "added").join(found, [*by, "subset_id"])
+        scored = kept(scored.withColumn("factor_count", F.size("labels")).withColumn("step", F.lit(k + 1)))
         done = scored if done is None else done.unionByName(scored)
         better = scored.where(F.col("parent_icir").isNull() | (F.col("train_icir") >= F.col("parent_icir")))
         grown = better.join(singles, by).where(~F.array_contains("labels", F.col("_c")))
-        grown = grown.select(*by, F.array_sort(F.array_append("labels", F.col("_c"))).alias("labels"), F.col("train_icir").alias("parent_icir"), F.col("subset_id").alias("parent"))
-        first = Window.partitionBy(*by, "labels").orderBy(F.desc("parent_icir"), "parent")
-        level = kept(grown.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("_m", F.row_number().over(w.orderBy(F.desc("parent_icir"), F.concat_ws("|", "labels")))).where(F.col("_m") <= nodes).select(*by, "labels", "parent_icir"))
-        if level.isEmpty():
+        grown = grown.select(*by, F.array_sort(F.array_append("labels", F.col("_c"))).alias("labels"), F.col("_c").alias("added"), F.col("subset_id").alias("parent"), F.col("labels").alias("base"), F.col("train_icir").alias("parent_icir"))
+        best = Window.partitionBy(*by, "labels").orderBy(F.desc("parent_icir"), "parent")
+        children = kept(grown.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumn("subset_id", F.concat_ws("|", "labels")))
+        if children.isEmpty():
             break
     return done.drop("parent_icir")
 
@@ -110,21 +99,34 @@ def best_path(paths: DataFrame, by: list[str]) -> DataFrame:
 def extension_search(long: DataFrame, summaries: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
     """``by, subset_id, labels, factor_count, step, train_*, valid_*, source, is_final`` of a baseline and what extends it.
 
-    ``baseline`` holds one best path a key. As many trials as the square of the number of candidates outside
-    it each add about half of them, drawn by hash. Subsets better in training than the baseline stay; the best
-    of them in validation and the baseline are compared by the same order.
+    ``baseline`` holds one best path a key. A study of as many trials as the square of the number of candidates
+    outside it decides for each of them whether to add it, by training ICIR. Subsets better in training than
+    the baseline stay; the best of them in validation and the baseline are compared by the same order.
     """
+    packs, baseline = packed.pack(long, by), kept(baseline)
     rest = summaries.select(*by, "candidate_label").join(baseline.select(*by, F.col("labels").alias("_base")), by).where(~F.array_contains("_base", F.col("candidate_label")))
-    rest = rest.groupBy(*by, "_base").agg(F.array_sort(F.collect_list("candidate_label")).alias("_rest"))  # candidates of one key
-    trials = rest.withColumn("trial", F.explode(F.sequence(F.lit(1), F.size("_rest") * F.size("_rest"))))
-    added = F.filter("_rest", lambda x: F.xxhash64(F.lit(42), F.col("trial"), x) % 2 == 0)
-    drawn = trials.select(*by, F.array_sort(F.array_union("_base", added)).alias("labels"), F.size(added).alias("_n")).where("_n > 0").select(*by, "labels").distinct()
-    drawn = kept(drawn.withColumn("subset_id", F.concat_ws("|", "labels")))
-    found = ic.candidate_summary(subset_ics(long, drawn, by), [*by, "subset_id"]).join(drawn, [*by, "subset_id"])
-    found = found.withColumn("factor_count", F.size("labels")).withColumn("step", F.size("labels")).withColumn("source", F.lit("extension"))
+    rest = kept(rest.groupBy(*by, "_base").agg(F.array_sort(F.collect_list("candidate_label")).alias("_rest")))  # candidates of one key
+    most = rest.agg(F.max(F.size("_rest"))).first()[0]
     columns = [*by, "subset_id", "labels", "factor_count", "step", "train_ic_mean", "train_icir", "valid_ic_mean", "valid_icir", "source"]
-    better = found.join(baseline.select(*by, F.col("train_icir").alias("_floor")), by).where(F.col("train_icir") > F.col("_floor")).select(*columns)
-    every = kept(better.unionByName(baseline.withColumn("source", F.lit("forward")).select(*columns)))
+    every = baseline.withColumn("source", F.lit("forward")).select(*columns)
+    if most:
+
+        def evaluate(proposed: DataFrame) -> DataFrame:
+            asked = proposed.join(rest, by).where(F.col("trial_number") < F.size("_rest") * F.size("_rest"))
+            added = F.filter("_rest", lambda x, i: F.col("u")[i] > 0.5)
+            asked = asked.withColumn("labels", F.array_sort(F.array_union("_base", added))).withColumn("subset_id", F.concat_ws("|", "labels"))
+            asked = asked.where(F.size("labels") > F.size("_base"))
+            distinct = kept(asked.select(*by, "subset_id", "labels").distinct())
+            found = ic.candidate_summary(packed.subset_ics(packs, distinct, by), [*by, "subset_id"])
+            return asked.drop("_base", "_rest").join(found, [*by, "subset_id"]).withColumn("value", F.col("train_icir"))
+
+        keys = rest.select(*by, F.transform("_rest", lambda x: F.lit(2)).alias("kinds"))
+        batch = max(sampler.ROUND, -(-most * most // 6))
+        tried = sampler.study(keys, by, evaluate, most * most, max(sampler.STARTUP, most * most // 4), batch)
+        found = tried.dropDuplicates([*by, "subset_id"]).withColumn("factor_count", F.size("labels")).withColumn("step", F.size("labels")).withColumn("source", F.lit("extension"))
+        better = found.join(baseline.select(*by, F.col("train_icir").alias("_floor")), by).where(F.col("train_icir") > F.col("_floor"))
+        every = every.unionByName(better.select(*columns))
+    every = kept(every)
     final = best_path(every, by).select(*by, F.col("subset_id").alias("_final"))
     return every.join(final, by).withColumn("is_final", F.col("subset_id") == F.col("_final")).drop("_final")
 
