@@ -551,9 +551,26 @@ def a20_group_sizes(spark, d):
     return shown(panel.group_sizes(nav(spark, d)))
 
 
+RANK_FEATURES = ["ret_5", "ret_20", "vol_20", "ma_ratio_20", "drawdown_20"]
+
+
+def ranked_rows(spark: SparkSession, d: str) -> DataFrame:
+    return factors.panel_features(panel.future_rank(nav(spark, d)).select("code", "date", "nav", "future_rank"))
+
+
 @query
 def x05_mlp_predict(spark, d):
-    rows = factors.panel_features(panel.future_rank(nav(spark, d)))
-    features = ["ret_5", "ret_20", "vol_20", "ma_ratio_20", "drawdown_20"]
-    model = ranker.train(rows.withColumn("y", ranker.relevance(F.col("future_rank"))), features, "y", epochs=50)
-    return shown(rows.dropna(subset=features).select("code", "date", ranker.predict(model).alias("score")))
+    _, scored, _ = ranker.fit_split(ranked_rows(spark, d), RANK_FEATURES, epochs=30)
+    return shown(scored.select("code", "date", "segment", "score"))
+
+
+@query
+def x06_boosted_ranker(spark, d):
+    _, scored, _ = ranker.fit_split(ranked_rows(spark, d), RANK_FEATURES, "boosted", trees=10)
+    return shown(scored.select("code", "date", "segment", "score"))
+
+
+@query
+def x04_neural_signals(spark, d):
+    out = ranker.neural_signals(spark, nav(spark, d), lookback=10, top_k=2, epochs=30)
+    return shown(out.select("code", "date", "score", "held", "entries", "exits"))
