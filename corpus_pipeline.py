@@ -83,20 +83,23 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     input named ``size``, ``shard`` or ``slot`` are replaced; others pass. An empty table stays empty.
     """
     space = Workspace(spark, "stage-shard")
+    place = "_place"
+    while place in (c.lower() for c in docs.columns):
+        place += "_"
 
     def placed(rows: DataFrame) -> DataFrame:
         # Part numbers are compared as numbers: from 100,000 files on names no longer sort like them.
         file = F.col("_metadata.file_name")
         part = F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long")
-        return rows.select("*", F.struct(part.alias("part"), file.alias("file"), F.col("_metadata.row_index").alias("nth")).alias("_place"))
+        return rows.select("*", F.struct(part.alias("part"), file.alias("file"), F.col("_metadata.row_index").alias("nth")).alias(place))
 
     try:
         rows = placed(docs)
     except AnalysisException:  # not read from files
         rows = placed(space.keep(docs, "docs"))
-    found = space.keep(sharding.shards(spark, rows, 8, order=F.col("_place"), with_place=True).select(F.col("place").alias("_place"), "size", "shard", "slot"), "found")
-    taken = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    return rows.select(*taken, "_place").join(found.hint("merge"), "_place").select(*taken, "size", "shard", "slot")
+    found = space.keep(sharding.shards(spark, rows, 8, order=F.col(place), with_place=True).select(F.col("place").alias(place), "size", "shard", "slot"), "found")
+    taken = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    return rows.select(*taken, place).join(found.hint("merge"), place).select(*taken, "size", "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
