@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import factors
 from fathomline.functions.keeping import kept
 from fathomline.functions.rolling import change, series, zscore
-from fathomline.operators import folds, ic, metrics, packed, panel, positions, ranker, search, selection, signals
+from fathomline.operators import features, folds, ic, metrics, packed, panel, positions, ranker, search, selection, signals
 from fathomline.oracles import FACTORS6, ORACLE
 from fathomline.sources import prices
 
@@ -243,6 +243,50 @@ def a16_trade_count(spark, d):
     return signals.trade_count(crossed(spark, d))
 
 
+@query
+def a17_segment_trade_count(spark, d):
+    curve = signals.generate(prepared(spark, d).drop("ret"), "ma_cross")
+    return signals.segment_trade_count(curve, split_bounds(spark, d))
+
+
+@query
+def j01_cumulative_join(spark, d):
+    return shown(features.with_cumulative(nav(spark, d), prices.cumulative_panel(spark, d)))
+
+
+def pool_and_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each code's pool holds the codes of its flag; those of its status are linked to it."""
+    codes = nav(spark, d).select("code").distinct()
+    pairs = codes.select(F.col("code").alias("primary")).join(codes, F.substring("primary", 1, 1) == F.substring("code", 1, 1))
+    links = codes.select(F.col("code").alias("primary")).join(codes.select(F.col("code").alias("linked")), F.substring("primary", 2, 1) == F.substring("linked", 2, 1))
+    return pairs.select("primary", "code", F.concat(F.lit("pool "), "code").alias("name")), links
+
+
+@query
+def p19_effective_codes(spark, d):
+    pool, links = pool_and_links(spark, d)
+    kinds = nav(spark, d).select("code", F.when(F.col("code").endswith("F"), "Fund").otherwise("index").alias("kind")).distinct()
+    return features.effective_codes(pool, links, kinds)
+
+
+SOURCE_CANDIDATES = [(factors.label(n, p), n, p) for n, p in (("momentum", {"window": 20}), ("volatility", {"window": 20}), ("donchian_breakout", {"window": 20}), ("price_position", {"window": 60}))]
+
+
+@query
+def w21_source_factors(spark, d):
+    bars = prices.daily_bars(spark, d)
+    sources = features.long_sources(bars, ["open", "high", "low", "volume"])
+    out = features.source_factors(sources, SOURCE_CANDIDATES, zero_limit=0.3)
+    return shown(out.select("code", "date", "candidate_label", "raw", "value"))
+
+
+@query
+def p10_linked_sources(spark, d):
+    _, links = pool_and_links(spark, d)
+    sources = features.long_sources(prices.daily_bars(spark, d), ["open", "volume"])
+    return shown(features.on_primary_days(sources, links.where("primary = 'AF'").withColumnRenamed("linked", "code")))
+
+
 @query
 def a12_return_metrics(spark, d):
     return shown(metrics.return_metrics(crossed(spark, d), ["code"]))

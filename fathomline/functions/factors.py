@@ -124,13 +124,14 @@ def _worked_out(df: DataFrame, wanted: list[tuple[str, dict[str, int]]], score_w
         of, held = kernels.Series(columns[price]), {}
 
         def get(k: int, window: int = score_window) -> tuple[np.ndarray, np.ndarray | None]:
-            if k not in held:
-                name, params = wanted[k]
-                raw = of.factor(name, params["window"], params.get("lookback", 0))
+            if k not in held:  # -1 stands for the values themselves
+                name, params = wanted[k] if k >= 0 else (None, {})
+                raw = of.price.x if k < 0 else of.factor(name, params["window"], params.get("lookback", 0))
+                raw = np.where(np.isfinite(raw), raw, np.nan)
                 held[k] = raw, kernels.Rolled(raw), {}
             raw, rolled, scores = held[k]
             if window and window not in scores:
-                scores[window] = rolled.standard(window) * (-1 if POOL[wanted[k][0]].inverted else 1)
+                scores[window] = rolled.standard(window) * (-1 if k >= 0 and POOL[wanted[k][0]].inverted else 1)
             return raw, scores.get(window)
 
         return finish(get)
@@ -152,10 +153,13 @@ def add_factors(df: DataFrame, wanted: list[tuple[str, dict[str, int], str]], pr
     return _worked_out(df, [(name, params) for name, params, _ in wanted], 0, finish, {into: "double" for _, _, into in wanted}, price, by, order)
 
 
-def candidate_values(df: DataFrame, wanted: list[tuple[str, dict[str, int]]], score_window: int = SCORE_WINDOW, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
-    """``df`` with arrays ``raws`` and ``scores``: raw factors and z-scores (higher is better) of all candidates."""
+def candidate_values(df: DataFrame, wanted: list[tuple[str, dict[str, int]]], score_window: int = SCORE_WINDOW, price: str = "nav", by: str = "code", order: str = "date", own: bool = False) -> DataFrame:
+    """``df`` with arrays ``raws`` and ``scores``: raw factors and z-scores (higher is better) of all candidates.
+
+    ``own`` adds the values themselves and their z-score at the end.
+    """
     def finish(get):
-        pairs = [get(k) for k in range(len(wanted))]
+        pairs = [get(k) for k in [*range(len(wanted)), *([-1] if own else [])]]
         return {"raws": np.stack([r for r, _ in pairs], 1), "scores": np.stack([z for _, z in pairs], 1)}
 
     return _worked_out(df, wanted, score_window, finish, {"raws": "array<double>", "scores": "array<double>"}, price, by, order)

@@ -115,3 +115,10 @@ def backtest(df: DataFrame, init_cash: float = 10000.0, fees: float = 0.001, by:
 def trade_count(df: DataFrame, by: tuple[str, ...] = ("code",)) -> DataFrame:
     """Positions opened (executed trades) and entry signals per series."""
     return df.groupBy(*by).agg(F.sum((F.col("traded") == 1).cast("long")).alias("trade_count"), F.sum(F.col("entries").cast("long")).alias("entry_signals"))
+
+
+def segment_trade_count(df: DataFrame, bounds: DataFrame, by: tuple[str, ...] = ("code",)) -> DataFrame:
+    """Entry signals inside each ``segment`` of ``bounds(code, segment, start_pos, end_pos)``; ``df`` has ``pos`` from 1."""
+    inside = (F.col("pos") > F.col("start_pos")) & (F.col("pos") <= F.col("end_pos"))
+    met = df.select(*by, "pos", F.col("entries").cast("long").alias("_e")).join(bounds, "code").where(inside)
+    return met.groupBy(*by, "segment").agg(F.sum("_e").alias("trade_count"))

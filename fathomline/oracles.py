@@ -152,6 +152,17 @@ target AS (SELECT code, unnest(ds) AS date, unnest(ns) AS nav, unnest(es) AS smo
 CONT = f"""tp AS (SELECT *, coalesce(lag(target) OVER ({W}), 0) AS held, coalesce(nav / lag(nav) OVER ({W}) - 1, 0) AS r FROM target),
 tr AS (SELECT *, abs(target - held) AS turnover, held * r - 0.001 * abs(target - held) AS strategy_return FROM tp),
 cb AS (SELECT *, 10000 * product(1 + strategy_return) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM tr)"""
+BARS = """bars AS (SELECT l_returnflag || l_linestatus AS code, CAST(l_shipdate AS DATE) AS date, arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
+  max(l_extendedprice) AS high, min(l_extendedprice) AS low, CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100 AS volume FROM lineitem GROUP BY 1, 2)"""
+CHOSEN = {"momentum": 20, "volatility": 20, "donchian_breakout": 20, "price_position": 60}
+# A series is a code and a source; its name takes the place of the code in the windows.
+SOURCES = f"""WITH {BARS}, s AS (SELECT code AS k, date, unnest(['open', 'high', 'low', 'volume']) AS source, unnest([open, high, low, volume]) AS nav FROM bars),
+base AS (SELECT *, row_number() OVER w AS pos, nav / lag(nav) OVER w - 1 AS ret FROM (SELECT k || source AS code, * FROM s) WINDOW w AS ({W})),
+raws AS (SELECT code, k, source, date, nav, {', '.join(f'{factor(f, n)} AS {f}' for f, n in CHOSEN.items())} FROM base),
+zed AS (SELECT *, {z('nav')} AS own, {', '.join(f"{'-' if f in INVERTED else ''}({z(f)}) AS {f}_z" for f in CHOSEN)} FROM raws),
+cells AS ({' UNION ALL '.join(f"SELECT k, source, date, source || '__{f}(window={n})__zscore' AS label, {f} AS raw, {f}_z AS value, false AS sure FROM zed" for f, n in CHOSEN.items())} UNION ALL SELECT k, source, date, source || '__zscore', nav, own, true FROM zed),
+good AS (SELECT k, label FROM cells GROUP BY 1, 2 HAVING bool_or(sure) OR (avg(CAST(raw IS NULL AS INT)) <= 0.2 AND avg(CAST(value = 0 AS INT)) <= 0.3))
+SELECT k AS code, {DAY}, label AS candidate_label, {num('raw')} AS raw, {num('value')} AS value FROM cells JOIN good USING (k, label)"""
 SPLIT = """bounds AS (SELECT code, s AS segment, CASE s WHEN 'train' THEN 0 WHEN 'valid' THEN a ELSE b END AS start_pos, CASE s WHEN 'train' THEN a WHEN 'valid' THEN b ELSE n END AS end_pos FROM
   (SELECT code, count(*) AS n, CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) AS a, CAST(floor(count(*) * (0.6::DOUBLE + 0.2::DOUBLE)) AS BIGINT) AS b FROM nav GROUP BY code), (VALUES ('train'), ('valid'), ('test')) t(s))"""
 SEGMENTED = f"""mc2 AS (SELECT b.*, n.pos FROM bt b JOIN base n USING (code, date)), seg AS (SELECT m.code, m.date, m.equity, d.segment FROM mc2 m JOIN bounds d ON d.code = m.code AND m.pos - 1 >= d.start_pos - 1 AND m.pos - 1 < d.end_pos), {stats('seg', 'code, segment')}"""
@@ -198,6 +209,12 @@ ORACLE: dict[str, str] = {
     "x01_multi_factor_signals": f"WITH {ZED}, {MULTI} SELECT code, {DAY}, entries, exits FROM sig",
     "w27_t_plus_one": f"WITH {NAV}, {MA} SELECT code, {DAY}, coalesce(lag(entries) OVER ({W}), false) AS entries, coalesce(lag(exits) OVER ({W}), false) AS exits FROM sig",
     "x07_signal_backtest": f"WITH {NAV}, {MA}, {bt()} SELECT code, {DAY}, CAST(position AS BIGINT) AS position, CAST(traded AS BIGINT) AS traded, {num('equity', 4)} AS equity FROM bt",
+    "a17_segment_trade_count": f"WITH {NAV}, {SPLIT}, {MA}, {bt()}, p AS (SELECT code, entries, row_number() OVER ({W}) AS pos FROM bt) SELECT code, segment, CAST(count_if(entries) AS BIGINT) AS trade_count FROM p JOIN bounds USING (code) WHERE pos > start_pos AND pos <= end_pos GROUP BY 1, 2",
+    "j01_cumulative_join": f"WITH {NAV}, c AS (SELECT l_returnflag || l_linestatus AS code, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS cumulative_nav FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2) SELECT code, CAST(nav.date AS VARCHAR) AS date, {num('nav')} AS nav, {num('cumulative_nav')} AS cumulative_nav FROM nav LEFT JOIN c USING (code, date)",
+    "p19_effective_codes": f"""WITH {NAV}, k AS (SELECT DISTINCT code FROM nav), p AS (SELECT a.code AS p, b.code AS c FROM k a JOIN k b ON a.code[1] = b.code[1]), l AS (SELECT a.code AS p, b.code AS c FROM k a JOIN k b ON a.code[2] = b.code[2]),
+        u AS (SELECT DISTINCT p, c FROM (SELECT * FROM p UNION ALL SELECT * FROM l)) SELECT lpad(u.p, 6, '0') AS "primary", lpad(u.c, 6, '0') AS code, CASE WHEN p.c IS NULL THEN lpad(u.c, 6, '0') ELSE 'pool ' || u.c END AS name, CASE WHEN u.c[2] = 'F' THEN 'fund' ELSE 'index' END AS kind FROM u LEFT JOIN p ON p.p = u.p AND p.c = u.c""",
+    "w21_source_factors": SOURCES,
+    "p10_linked_sources": f"WITH {BARS}, s AS (SELECT code, date, unnest(['open', 'volume']) AS source, unnest([open, volume]) AS value FROM bars), d AS (SELECT date FROM bars WHERE code = 'AF'), n AS (SELECT DISTINCT code, source FROM s WHERE code[2] = 'F') SELECT 'AF' AS code, CAST(d.date AS VARCHAR) AS date, n.code || '__' || n.source AS source, {num('s.value')} AS value FROM d CROSS JOIN n LEFT JOIN s ON s.code = n.code AND s.source = n.source AND s.date = d.date",
     "a16_trade_count": f"WITH {NAV}, {MA}, {bt()} SELECT code, CAST(count_if(traded = 1) AS BIGINT) AS trade_count, CAST(count_if(entries) AS BIGINT) AS entry_signals FROM bt GROUP BY code",
     "a12_return_metrics": f"WITH {NAV}, {MA}, {bt()}, {stats('bt', 'code')} SELECT code, {STATS} FROM st",
     "a12_metrics_with_rf": f"WITH {NAV}, rf AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders), c AS (SELECT d, 0.01::DOUBLE + 0.0001::DOUBLE * month(d) AS r FROM rf), {MA}, {bt()}, j AS (SELECT b.*, pow(1 + coalesce(c.r, (SELECT arg_min(r, d) FROM c)), 1 / 252.0::DOUBLE) - 1 AS rf FROM bt b ASOF LEFT JOIN c ON b.date >= c.d), {stats('j', 'code', 'rf')} SELECT code, {STATS} FROM st",

@@ -14,7 +14,7 @@ from fathomline.functions import factors
 from fathomline.functions.chunks import positions as positions_of
 from fathomline.functions.keeping import kept, small
 from fathomline.functions.rolling import safe_corr
-from fathomline.operators import folds, ic, metrics, panel, positions, search, selection, signals
+from fathomline.operators import features, folds, ic, metrics, packed, panel, positions, search, selection, signals
 
 # The alphabet of lineage codes, one character for each stage.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -32,6 +32,8 @@ class Config:
     output_dir: str = "outputs"
     factor_names: tuple[str, ...] = tuple(factors.POOL)
     factor_groups: tuple[str, ...] = ()
+    sources: tuple[str, ...] = ("nav",)
+    links: dict = field(default_factory=dict)
     full_grid: bool = False
     horizon: int = 5
     min_ic: float = 0.0
@@ -99,13 +101,24 @@ def candidates_of(config: Config) -> list[tuple[str, str, dict[str, int]]]:
 def feature_matrix(prices: DataFrame, config: Config) -> DataFrame:
     """``code, date, pos, nav, candidate_label, raw, value, fwd``: all candidates of all series, long.
 
-    One pass over overlapping chunks works out all of them, then each gets a row.
+    One pass over overlapping chunks works out all of them, then each gets a row. With ``sources`` beside the
+    NAV, or ``links`` to other codes, candidates come from every source column of the code and its linked
+    codes (labelled by it), pruned before they become rows; returns are those of the cumulative NAV if there is one.
     """
-    some = candidates_of(config)
-    table = panel.forward_return(factors.candidate_values(positions_of(prices), [(name, params) for _, name, params in some]), config.horizon)
-    labels = F.array(*(F.lit(label) for label, _, _ in some))
-    cells = F.explode(F.arrays_zip(labels.alias("candidate_label"), F.col("raws").alias("raw"), F.col("scores").alias("value")))
-    return table.select("code", "date", "pos", "nav", "fwd", cells.alias("c")).select("code", "date", "pos", "nav", "fwd", "c.*")
+    some, target = candidates_of(config), "cumulative_nav" if "cumulative_nav" in prices.columns else "nav"
+    if config.sources == ("nav",) and not config.links:
+        table = panel.forward_return(factors.candidate_values(positions_of(prices), [(name, params) for _, name, params in some]), config.horizon)
+        labels = F.array(*(F.lit(label) for label, _, _ in some))
+        cells = F.explode(F.arrays_zip(labels.alias("candidate_label"), F.col("raws").alias("raw"), F.col("scores").alias("value")))
+        return table.select("code", "date", "pos", "nav", "fwd", cells.alias("c")).select("code", "date", "pos", "nav", "fwd", "c.*")
+    pairs = [(p, c) for p, linked in config.links.items() for c in linked]  # a setting
+    codes = prices.select(F.col("code").alias("primary"), "code").distinct()
+    if pairs:
+        codes = codes.unionByName(prices.sparkSession.createDataFrame(pairs, "primary string, code string")).distinct()
+    sources = features.on_primary_days(features.long_sources(prices, list(config.sources)), codes)
+    cells = features.source_factors(sources, some).select("code", "date", "candidate_label", "raw", "value")
+    returns = panel.forward_return(positions_of(prices.where(F.col(target).isNotNull())), config.horizon, target)
+    return returns.select("code", "date", "pos", "nav", "fwd").join(cells, ["code", "date"])
 
 
 def preprocess(spark: SparkSession, prices: DataFrame, config: Config, matrix_path: str) -> DataFrame:
@@ -216,12 +229,13 @@ class Chain:
     def dedup(self) -> None:
         """Highly correlated candidates go, then the forward search and what extends its best path."""
         sure, cut = self._sure()
+        packs = packed.pack(cut, ["code"])
         losers = selection.corr_losers(candidate_pairs(cut), sure, ["code"], self.config.corr_limit)
         dropped = kept(selection.corr_drop(losers, sure, ["code"]).select(*KEY))
         left = kept(sure.join(small(dropped), KEY, "left_anti"))
-        paths = selection.forward_search(self.spark, cut, left, ["code"], self.config.root_topk, self.config.levels)
+        paths = selection.forward_search(self.spark, packs, left, ["code"], self.config.root_topk, self.config.levels)
         baseline = kept(selection.best_path(selection.top_train_paths(paths, ["code"]), ["code"]))
-        final = selection.extension_search(cut, left, baseline, ["code"]).where("is_final")
+        final = selection.extension_search(packs, left, baseline, ["code"]).where("is_final")
         gone: dict[str, list[str]] = {}
         for r in dropped.collect():  # a tenth of the candidates
             gone.setdefault(r["code"], []).append(r["candidate_label"])
@@ -230,6 +244,7 @@ class Chain:
     def combine(self) -> None:
         """Equal and ICIR weights, and trials around the better of them; the best in validation stays."""
         sure, cut = self._sure()
+        cut = packed.pack(cut, ["code"])
         chosen = small(self.candidates(3, "code string, candidate_label string"))
         methods = kept(search.best_method(cut, sure.join(chosen, KEY, "left_semi"), ["code"]))
         start = methods.where("is_best").select("code", F.explode(F.arrays_zip("labels", "weights")).alias("x")).select("code", F.col("x.labels").alias("candidate_label"), F.col("x.weights").alias("weight"))

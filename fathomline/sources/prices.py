@@ -43,14 +43,18 @@ def normalize(df: DataFrame, ordinal: str, code_width: int = 6) -> DataFrame:
     return keep_last(out.dropna(subset=["date", "nav"]), ["date", "code"], F.col(ordinal)).drop(ordinal)
 
 
-def standardize(df: DataFrame, names: dict[str, str], columns: list[str], code: str) -> DataFrame:
-    """A provider's frame in standard columns: renamed, typed, rows without any number dropped."""
+def standardize(df: DataFrame, names: dict[str, str], columns: list[str], code: str, ordinal: str | None = None) -> DataFrame:
+    """A provider's frame in standard columns: renamed, typed, rows without any number dropped, of a date the last row.
+
+    ``ordinal`` names a column that tells the rows' order; without it the table's own order counts.
+    """
     df = rename_existing(df, names)
     numbers = [c for c in columns if c != "date" and c in df.columns]
-    out = df.select(F.try_to_date(F.col("date").cast("string")).alias("date"), F.lit(code).alias("code"), *(F.col(c).try_cast("double").alias(c) for c in numbers))
+    nth = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
+    out = df.select(F.try_to_date(F.col("date").cast("string")).alias("date"), F.lit(code).alias("code"), *(F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")).alias(c) for c in numbers), nth.alias("_nth"))
     if "close" in numbers and "price" not in numbers:
         out, numbers = out.withColumn("price", F.col("close")), [*numbers, "price"]
-    return out.where("date is not null").dropna(how="all", subset=numbers)
+    return keep_last(out.where("date is not null").dropna(how="all", subset=numbers), ["date"], F.col("_nth")).drop("_nth")
 
 
 def single_fund(df: DataFrame, code: str) -> DataFrame:
@@ -119,6 +123,19 @@ def nav_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("code", "date").agg((F.sum("cents").cast("double") / F.count("cents") / 100).alias("nav"))
 
 
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``code, date, open, high, low, volume`` of the lines per flag, status and day; the first line opens."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus").alias("code"), F.col("l_shipdate").cast("date").alias("date"), "l_orderkey", "l_linenumber", "l_extendedprice", F.round(F.col("l_quantity") * 100).cast("long").alias("q"))
+    opening = F.min_by("l_extendedprice", F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))
+    return rows.groupBy("code", "date").agg(opening.alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), (F.sum("q") / 100).cast("double").alias("volume"))
+
+
+def cumulative_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``code, date, cumulative_nav``: mean price of orders' first lines per flag, status and day, exact in cents."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").select(F.concat("l_returnflag", "l_linestatus").alias("code"), F.col("l_shipdate").cast("date").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    return rows.groupBy("code", "date").agg((F.sum("cents").cast("double") / F.count("cents") / 100).alias("cumulative_nav"))
+
+
 def risk_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``date, annual_rf``: a made-up monthly curve over the months of the orders."""
     months = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.trunc("o_orderdate", "MM").alias("date")).distinct()
