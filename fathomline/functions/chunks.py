@@ -14,19 +14,23 @@ from pyspark.sql import types as T
 CHUNK_ROWS, SPAN_DAYS = 4096, 1024
 
 
-def positions(df: DataFrame, by: str = "code", order: str = "date") -> DataFrame:
+def positions(df: DataFrame, by: str | list[str] = "code", order: str = "date") -> DataFrame:
     """``df`` with ``pos``: row numbers from 1 within each series.
 
     Rows are numbered within spans of days, and spans start where the counts of those before them end, so
     no task sorts a whole series.
     """
+    by = [by] if isinstance(by, str) else by
     span = F.coalesce(F.floor(F.unix_date(F.col(order).cast("date")) / SPAN_DAYS), F.lit(-(1 << 40)))
-    rows = df.withColumn("_span", span)
-    counts = rows.groupBy(F.col(by).alias("_by"), F.col("_span").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_by", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy(by, "_span").orderBy(order))
-    rows = rows.withColumn("_nth", nth).join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_span") == F.col("_at")))
+    rows, keys = df.withColumn("_span", span), [f"_by{i}" for i in range(len(by))]
+    counts = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("_span").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(*by, "_span").orderBy(order))
+    same = F.col("_span") == F.col("_at")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    rows = rows.withColumn("_nth", nth).join(starts, same)
     return rows.select(*df.columns, (F.col("_start") + F.col("_nth")).cast("int").alias("pos"))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.functions import chunks
+from fathomline.functions.keeping import kept
 from fathomline.functions.rolling import change, series
 
 
@@ -43,24 +48,156 @@ def score_quantiles(df: DataFrame, by: list[str], score: str = "score") -> DataF
     return out.withColumn("high", F.when(F.col("high") <= F.col("low"), F.col("low") + 1e-6).otherwise(F.col("high")))
 
 
+def ema_summary(x: np.ndarray, alpha: float) -> dict:
+    """What a chunk does to a running mean, whatever came before.
+
+    The first known value enters by the mean so far; from there the mean at the end is ``scale`` times it plus
+    ``shift``. A gap lets the weight of the mean fade by a step.
+    """
+    known = np.flatnonzero(~np.isnan(x))
+    if not len(known):
+        return {"rows": len(x), "first": None, "value": None, "scale": 1.0, "shift": 0.0, "gaps": len(x)}
+    scale, shift, last = 1.0, 0.0, known[0]
+    for i in known[1:]:
+        w = (1 - alpha) ** int(i - last)
+        scale, shift, last = scale * w / (w + alpha), (shift * w + alpha * x[i]) / (w + alpha), i
+    return {"rows": len(x), "first": int(known[0]), "value": float(x[known[0]]), "scale": scale, "shift": shift, "gaps": int(len(x) - 1 - known[-1])}
+
+
+def ema_compose(state: tuple | None, part: dict, alpha: float) -> tuple | None:
+    """(mean, gaps since its last value) after a chunk, None before any value."""
+    if part["first"] is None:
+        return None if state is None else (state[0], state[1] + part["rows"])
+    value = part["value"]
+    if state is not None:
+        w = (1 - alpha) ** (state[1] + part["first"] + 1)
+        value = (w * state[0] + alpha * value) / (w + alpha)
+    return part["scale"] * value + part["shift"], part["gaps"]
+
+
+def ema_values(x: np.ndarray, alpha: float, state: tuple | None) -> np.ndarray:
+    """The running mean of a chunk's rows; a gap repeats it."""
+    out, (mean, gaps) = np.empty(len(x)), state or (np.nan, 0)
+    for i, v in enumerate(x.tolist()):
+        if v != v:
+            gaps += 1
+        elif mean != mean:
+            mean, gaps = v, 0
+        else:
+            w = (1 - alpha) ** (gaps + 1)
+            mean, gaps = (w * mean + alpha * v) / (w + alpha), 0
+        out[i] = mean
+    return out
+
+
+def gate_summary(x: np.ndarray, gate: float) -> dict:
+    """What a chunk does to a kept value: where it ends for each value that it may come in with.
+
+    A kept value first moves at a new highest or lowest value, so only those are starting points; ``start`` is
+    the end without a value before.
+    """
+    x = x[~np.isnan(x)]
+    ends: dict[int, float] = {}
+
+    def end_from(i: int) -> float:
+        way = []
+        while i not in ends:
+            way.append(i)
+            later = np.flatnonzero(np.abs(x[i + 1 :] - x[i]) >= gate)
+            if not len(later):
+                ends[i] = float(x[i])
+                break
+            i = i + 1 + int(later[0])
+        for k in way:
+            ends[k] = ends[i]
+        return ends[i]
+
+    if not len(x):
+        return {"start": None, "high": [], "high_at": [], "high_end": [], "low": [], "low_at": [], "low_end": []}
+    high = np.flatnonzero(np.r_[True, x[1:] > np.maximum.accumulate(x)[:-1]])
+    low = np.flatnonzero(np.r_[True, x[1:] < np.minimum.accumulate(x)[:-1]])
+    return {"start": end_from(0), **{f"{n}{k}": v for n, at in (("high", high), ("low", low)) for k, v in (("", x[at].tolist()), ("_at", at.tolist()), ("_end", [end_from(int(i)) for i in at]))}}
+
+
+def gate_compose(state: float | None, part: dict, gate: float) -> float | None:
+    """The kept value after a chunk."""
+    if part["start"] is None:
+        return state
+    if state is None:
+        return part["start"]
+    moves = []
+    for n, reached in (("high", lambda v: v - state >= gate), ("low", lambda v: state - v >= gate)):
+        k = next((i for i, v in enumerate(part[n]) if reached(v)), None)
+        if k is not None:
+            moves.append((part[f"{n}_at"][k], part[f"{n}_end"][k]))
+    return min(moves)[1] if moves else state
+
+
+def gate_values(x: np.ndarray, gate: float, state: float | None) -> np.ndarray:
+    out, last = np.empty(len(x)), state
+    for i, v in enumerate(x.tolist()):
+        if v == v and (last is None or abs(v - last) >= gate):
+            last = v
+        out[i] = np.nan if last is None else last
+    return out
+
+
+def _scan(rows: DataFrame, by: list[str], column: str, into: str, summarise, compose, values) -> DataFrame:
+    """A recursion over each series (``pos``) in chunks: summaries, their composition in order, then the values.
+
+    Chunks are summed up side by side; a series' short summaries are composed in order; then each chunk
+    starts from what came before it.
+    """
+    kinds = dict(rows.dtypes)
+    rows = kept(rows.withColumn("_chunk", F.floor((F.col("pos") - 1) / chunks.CHUNK_ROWS).cast("int")))
+    keys = [*by, "_chunk"]
+
+    def summed(table: pa.Table) -> pa.Table:
+        x = table.sort_by("pos").column(column).to_numpy().astype(float)
+        return pa.table([*(table.column(c).slice(0, 1) for c in keys), pa.array([json.dumps(summarise(x))])], names=[*keys, "part"])
+
+    parts = rows.select(*keys, "pos", column).groupBy(*keys).applyInArrow(summed, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "_chunk int", "part string"]))
+    lists = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_chunk", "part"))).alias("parts"))  # one summary for each chunk
+
+    def composed(frames):
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                state = None
+                for p in r["parts"]:
+                    out.append((*(r[c] for c in by), p["_chunk"], json.dumps(state)))
+                    state = compose(state, json.loads(p["part"]))
+            yield pd.DataFrame(out, columns=[*by, "_c", "_state"])
+
+    states = lists.mapInPandas(composed, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "_c int", "_state string"]))
+    states = states.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_c", "_state")
+    same = F.col("_chunk") == F.col("_c")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    ready = rows.join(states, same).select(*rows.columns, "_state")
+    names = [c for c in rows.columns if c != "_chunk"]
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "_chunk"), T.StructField(into, T.DoubleType())])
+
+    def valued(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        v = values(table.column(column).to_numpy().astype(float), json.loads(table.column("_state")[0].as_py()))
+        return pa.table([*(table.column(c) for c in names), pa.array(v, mask=np.isnan(v))], names=[*names, into])
+
+    return ready.groupBy(*keys).applyInArrow(valued, schema)
+
+
 def smooth_and_gate(df: DataFrame, by: list[str], raw: str = "raw", span: float = 1.0, gate: float = 0.0) -> DataFrame:
     """``smoothed`` (recursive mean, clipped) and ``target`` (kept until it moves by ``gate``).
 
-    Both need the row before, so a series is one pandas group; series run side by side.
+    Both need the row before; a series is cut into chunks whose effect is composed, so one series is many
+    tasks. Gaps repeat what came before them; before the first value both are null.
     """
-    alpha = 2.0 / (span + 1.0)
-    schema = T.StructType([*df.schema.fields, T.StructField("smoothed", T.DoubleType()), T.StructField("target", T.DoubleType())])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date", kind="stable")
-        smooth = part[raw].astype(float).ewm(alpha=alpha, adjust=False).mean().clip(0.0, 1.0)
-        kept, last = [], None
-        for x in smooth.to_numpy():
-            last = x if last is None or abs(x - last) >= gate else last
-            kept.append(last)
-        return part.assign(smoothed=smooth, target=kept)
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    alpha, had = 2.0 / (span + 1.0), "pos" in df.columns
+    rows = df if had else chunks.positions(df, by)
+    rows = _scan(rows, by, raw, "smoothed", lambda x: ema_summary(x, alpha), lambda s, p: ema_compose(s, p, alpha), lambda x, s: ema_values(x, alpha, s))
+    rows = rows.withColumn("smoothed", F.when(F.col("smoothed").isNotNull(), _clip(F.col("smoothed"))))
+    out = _scan(rows, by, "smoothed", "target", lambda x: gate_summary(x, gate), lambda s, p: gate_compose(s, p, gate), lambda x, s: gate_values(x, gate, s))
+    return out if had else out.drop("pos")
 
 
 def backtest(df: DataFrame, by: tuple[str, ...] = ("code",), target: str = "target", fees: float = 0.001, init_cash: float = 10000.0) -> DataFrame:

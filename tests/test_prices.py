@@ -167,7 +167,7 @@ def test_neighbor_fill(spark):
 
 
 def test_ranker_learns(spark):
-    df = spark.range(400).select(((F.col("id") * 37 % 101) / 101.0).alias("x"), F.lit(1.0).alias("k")).withColumn("y", F.col("x") * 2).withColumn("date", F.date_add(F.lit(DAY), F.col("id").cast("int") % 50))
+    df = spark.range(400).select("id", ((F.col("id") * 37 % 101) / 101.0).alias("x"), F.lit(1.0).alias("k")).withColumn("y", F.col("x") * 2).withColumn("date", F.date_add(F.lit(DAY), F.col("id").cast("int") % 50))
     model = ranker.train(df, ["x", "k"], "y", epochs=60, rate=0.05)
     worst = df.select(F.max(F.abs(ranker.predict(model) - F.col("y")))).first()[0]
     assert worst < 0.5
