@@ -127,7 +127,7 @@ def s10_fetch_window(spark, d):
 
 @query
 def s05_yearly_windows(spark, d):
-    return shown(prices.yearly_windows(spark, "1995-01-02", "2001-11-04"))
+    return shown(prices.yearly_windows(nav(spark, d)))
 
 
 @query
@@ -163,7 +163,7 @@ def p12_unpivot_features(spark, d):
 
 @query
 def p15_candidate_grid(spark, d):
-    return factors.candidate_table(spark).select("factor_name", "candidate_label")
+    return factors.fitting_candidates(nav(spark, d)).select("code", "factor_name", "candidate_label")
 
 
 def _factor_query(name: str) -> Query:

@@ -100,6 +100,13 @@ def candidate_table(spark: SparkSession, names: list[str] | None = None) -> Data
     return out.withColumn("candidate_label", text)
 
 
+def fitting_candidates(df: DataFrame, names: list[str] | None = None, by: str = "code") -> DataFrame:
+    """The candidates of the grid that each series is long enough for: at least one row has all the rows it looks at."""
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    grid = candidate_table(df.sparkSession, names)  # the grid, of fixed size
+    return sizes.join(F.broadcast(grid), F.col("_n") > F.col("window") + F.coalesce("lookback", F.lit(0))).drop("_n")
+
+
 def prepare(df: DataFrame, price: str = "nav", by: str = "code", order: str = "date") -> DataFrame:
     """Adds ``pos`` (row number from 1) and ``ret`` (daily return)."""
     w = series(by, order=order)

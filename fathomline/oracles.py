@@ -183,7 +183,7 @@ ORACLE: dict[str, str] = {
     "s15_normalize_dedup": "WITH e AS (SELECT event_id, event_type AS code, CAST(ts AS DATE) AS date, value AS nav FROM events WHERE value IS NOT NULL AND ts IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY date, code ORDER BY event_id DESC) AS k FROM e) SELECT CASE WHEN length(code) < 6 THEN lpad(code, 6, '0') ELSE code END AS code, CAST(date AS VARCHAR) AS date, nav FROM r WHERE k = 1",
     "s08_incremental_upsert": f"WITH {NAV}, old AS (SELECT code, date, nav, 0 AS age FROM nav WHERE date < DATE '2000-01-01'), fresh AS (SELECT code, date, nav * 2 AS nav, 1 AS age FROM nav WHERE date >= DATE '1999-12-17'), u AS (SELECT *, row_number() OVER (PARTITION BY code, date ORDER BY age DESC) AS k FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh)) SELECT code, {DAY}, {num('nav')} AS nav FROM u WHERE k = 1",
     "s10_fetch_window": f"WITH {NAV}, l AS (SELECT code, max(date) AS last_date FROM nav GROUP BY code) SELECT code, CAST(last_date AS VARCHAR) AS last_date, CAST(last_date - 15 AS VARCHAR) AS start_date, CASE WHEN d <= 31 THEN '1月' WHEN d <= 92 THEN '3月' WHEN d <= 183 THEN '6月' WHEN d <= 366 THEN '1年' WHEN d <= 1098 THEN '3年' WHEN d <= 1830 THEN '5年' ELSE '成立来' END AS period FROM (SELECT *, DATE '2003-01-01' - last_date AS d FROM l)",
-    "s05_yearly_windows": "SELECT CAST(s AS VARCHAR) AS \"start\", CAST(least(s + 364, DATE '2001-11-04') AS VARCHAR) AS \"end\" FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-02', DATE '2001-11-04', INTERVAL 365 DAY)) AS DATE) AS s)",
+    "s05_yearly_windows": f"WITH {NAV}, s AS (SELECT code, min(date) AS a, max(date) AS b FROM nav GROUP BY code), w AS (SELECT code, b, CAST(unnest(generate_series(a, b, INTERVAL 365 DAY)) AS DATE) AS s FROM s) SELECT code, CAST(s AS VARCHAR) AS \"start\", CAST(least(s + 364, b) AS VARCHAR) AS \"end\" FROM w",
     "p05_common_range_align": f"WITH {NAV}, s AS (SELECT code, min(date) AS a, max(date) AS b FROM nav GROUP BY code), g AS (SELECT max(a) AS a, min(b) AS b, count(*) AS c FROM s), d AS (SELECT date FROM nav, g GROUP BY date, g.a, g.b, g.c HAVING count(DISTINCT code) = g.c AND date BETWEEN g.a AND g.b) SELECT code, {DAY}, {num('nav')} AS nav FROM nav WHERE date IN (SELECT date FROM d)",
     "p04_pivot_panel": f"WITH {NAV} SELECT {DAY}, {', '.join(f'''{num(f"max(CASE WHEN code = '{c}' THEN nav END)")} AS {c}''' for c in ('AF', 'AO', 'NF', 'NO', 'RF', 'RO'))} FROM nav GROUP BY date",
     "p09_spine_left_join": f"WITH {NAV}, s AS (SELECT date FROM nav WHERE code = 'AF'), c AS (SELECT DISTINCT code FROM nav) SELECT c.code, CAST(s.date AS VARCHAR) AS date, {num('n.nav')} AS value FROM s CROSS JOIN c LEFT JOIN nav n ON n.date = s.date AND n.code = c.code",
@@ -192,7 +192,7 @@ ORACLE: dict[str, str] = {
       k AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY code) <= 4 AND NOT bool_or(gap AND pg) OVER (PARTITION BY code) AS ok FROM h)
       SELECT code, {DAY}, {num('CASE WHEN gap AND ok THEN m ELSE value END')} AS value, gap AND ok AND m IS NOT NULL AS filled FROM k""",
     "p12_unpivot_features": f"WITH {RAW} SELECT code, {DAY}, candidate_label, {num('value')} AS value FROM (UNPIVOT (SELECT code, date, momentum, drawdown FROM raws) ON momentum, drawdown INTO NAME candidate_label VALUE value)",
-    "p15_candidate_grid": grid(),
+    "p15_candidate_grid": f"WITH {NAV}, n AS (SELECT code, count(*) AS n FROM nav GROUP BY code), g AS ({grid()}) SELECT code, factor_name, candidate_label FROM n JOIN g ON n > CAST(regexp_extract(candidate_label, 'window=(\\d+)', 1) AS INT) + coalesce(TRY_CAST(regexp_extract(candidate_label, 'lookback=(\\d+)', 1) AS INT), 0)",
     **{f"w{i:02d}_{f}": one_factor(f) for i, f in enumerate(("momentum", "ma_trend_state", "ma_slope", "trend_r2", "trend_tvalue", "price_position", "breakout_strength", "donchian_breakout", "trend_residual", "volatility", "drawdown", "risk_adjusted_momentum", "sharpe_like_trend"), 1)},
     "w15_rolling_zscore": f"WITH {NAV}, m AS (SELECT code, date, {pct('nav', 20)} AS x FROM base), q AS (SELECT code, date, {z('x')} AS v FROM m) SELECT code, {DAY}, {num('v')} AS z FROM q",
     "w17_factor_table": f"WITH {ZED} SELECT code, {DAY}, {', '.join(f'{num(f)} AS {f}, {num(f + chr(95) + chr(122))} AS {f}_z' for f in DEFAULTS)} FROM zed",

@@ -83,10 +83,11 @@ def fetch_period(days: Column) -> Column:
     return out.otherwise("成立来")
 
 
-def yearly_windows(spark: SparkSession, start: str, end: str, days: int = 364) -> DataFrame:
-    """``start, end`` of consecutive stretches of at most ``days`` + 1 days."""
-    first = F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr(f"interval {days + 1} days")))
-    return spark.range(1).select(first.alias("start")).withColumn("end", F.least(F.date_add("start", days), F.to_date(F.lit(end))))
+def yearly_windows(df: DataFrame, days: int = 364) -> DataFrame:
+    """``code, start, end`` of consecutive stretches of at most ``days`` + 1 days from a code's first to its last date."""
+    spans = df.groupBy("code").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    first = F.explode(F.sequence("a", "b", F.expr(f"interval {days + 1} days")))
+    return spans.select("code", first.alias("start"), "b").select("code", "start", F.least(F.date_add("start", days), F.col("b")).alias("end"))
 
 
 def yield_curve(df: DataFrame, name: str, tenor: str, name_col: str = "曲线名称", date_col: str = "日期") -> DataFrame:
