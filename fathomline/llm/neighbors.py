@@ -233,14 +233,24 @@ def _visit(k: int, hashed: bool):
                 if known is None or data != known:
                     ids, vectors, codes, _ = unpack(data, code=hashed)
                     known, length = data, float(np.sqrt((vectors * vectors).sum(1).max()))
+                    if hashed:
+                        firsts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+                        buckets, sizes = codes[firsts], np.diff(np.r_[firsts, len(codes)])
                 asked, points, _, probes = unpack(batch.column("block")[row].as_buffer(), probes=hashed)
                 rough = points @ vectors.T
                 slack = 1e-9 * length * np.sqrt((points * points).sum(1))
                 for i, query in enumerate(asked.tolist()):
-                    rows = np.flatnonzero(rough[i] >= top.floor(query) - slack[i])
-                    if hashed and len(rows):
+                    fine = rough[i] >= top.floor(query) - slack[i]
+                    rows = np.flatnonzero(fine)
+                    if hashed and len(rows) > len(buckets) // 4:  # by bucket, else row by row
+                        rows = np.flatnonzero(fine & np.repeat(np.isin(buckets, probes[i]), sizes))
+                    elif hashed and len(rows):
                         rows = rows[np.isin(codes[rows], probes[i])]
                     rows = rows[ids[rows] != query]
+                    if len(rows) > 2 * k:  # more than can count, unless an id and its score repeat
+                        near = rough[i][rows]
+                        some = rows[near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * slack[i]]
+                        rows = some if len(np.unique(ids[some])) >= k else rows
                     if len(rows):
                         top.add(query, ids[rows], exact_scores(vectors[rows], points[i]))
         yield from top.rows()
