@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from fathomline.llm.runtime import Workspace, lookup, settle_gc, text_slices, worker_memory
 
 # Masks, 1 marking a compared position. Chosen by trial: every way to leave 12 or more equal tokens, four in
-# five of the stretch, is hit by one of MASKS (all ways up to 25 tokens are tried in a test), and every way
+# five of the stretch, is hit by one of MASKS (all ways up to 20 tokens are tried in a test), and every way
 # to leave the needed share of an item of 5 to 11 tokens by one of SHORT_MASKS.
 MASKS = ("1111011", "1110100011", "10011111", "110010111")
 SHORT_MASKS = ("11111", "101111", "110111", "111011", "111101", "1111001")
