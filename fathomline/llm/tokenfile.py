@@ -54,9 +54,12 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that its normalisation leaves as they are and its cuts leave whole, the same merges without these steps.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -71,19 +74,17 @@ class Encoder:
             held["encoder", path] = cls(path)
         return held["encoder", path]
 
-    def _words(self, words: list[str]) -> None:
+    def _words(self, words: list[str], tokenizer) -> None:
         """Words of letters only: one piece each, whose last token is marked as a word's end."""
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(part):
                 self._others(part)
                 continue
-            data, at = ids.tobytes(), 0
-            for word, stop in zip(part, stops, strict=True):
-                self.known[word] = data[4 * at : 4 * stop]
-                at = stop
+            data = ids.tobytes()
+            self.known.update(zip(part, [data[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
 
     def _others(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 2000):
@@ -91,9 +92,15 @@ class Encoder:
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[chunk] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, unseen: list[str]) -> None:
-        words, others, made = set(), set(), []
+    def _learn(self, unseen: set[str]) -> None:
+        words, others, made, cased = set(), set(), [], []
         for chunk in unseen:
+            if chunk.isalpha() and chunk.isascii():  # most chunks
+                if chunk.islower():
+                    words.add(chunk)
+                else:
+                    cased.append(chunk)
+                continue
             front = chunk.rstrip(_SIGNS)
             word = front.lstrip(_SIGNS)
             if not _is_word(word):
@@ -108,23 +115,31 @@ class Encoder:
             if word != chunk:
                 others.update((head, tail))
                 made.append((chunk, head, word, tail))
-        self._words([w for w in words if w not in self.known])
+        lowered = [c.lower() for c in cased]
+        words.update(lowered)
+        fresh = words.difference(self.known)
+        plain = [w for w in fresh if w.isascii()]
+        self._words(plain, self.plain)
+        if len(plain) < len(fresh):
+            self._words([w for w in fresh if not w.isascii()], self.tokenizer)
         self._others([c for c in others if c not in self.known])
         get = self.known.__getitem__
+        self.known.update(zip(cased, map(get, lowered), strict=True))
         self.known.update([(chunk, get(head) + get(word) + get(tail)) for chunk, head, word, tail in made])
 
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[bytes]:
         end = struct.pack("<I", end_id)
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        needed = {c for chunks in cut for c in chunks}
         if len(self.known) > CACHE_CHUNKS:  # emptied between slices only, so all that a slice needs is there
             self.known.clear()
-        known = self.known
-        if unseen := [c for c in needed if c not in known]:
+        found = [list(map(self.known.get, chunks)) for chunks in cut]
+        gaps = [[i for i, data in enumerate(parts) if data is None] for parts in found]
+        if unseen := {chunks[i] for chunks, gap in zip(cut, gaps, strict=True) for i in gap}:
             self._learn(unseen)
-        get = self.known.__getitem__
-        for chunks in cut:
-            yield b"".join(map(get, chunks)) + end
+        for chunks, parts, gap in zip(cut, found, gaps, strict=True):
+            for i in gap:
+                parts[i] = self.known[chunks[i]]
+            yield b"".join(parts) + end
 
 
 class Writer:
