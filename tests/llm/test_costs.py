@@ -1,8 +1,12 @@
 """What keeps the operators within their limits, and that it leaves the results as they are."""
 
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from fathomline.llm import tokenfile
+from fathomline.llm.runtime import Workspace
 
 
 def test_plain_words_skip_normalisation():
@@ -21,3 +25,24 @@ def test_plain_words_skip_normalisation():
     for _ in range(2):  # the second time from memory
         found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts, 1)]
         assert found == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    """A written table takes its own place on disk, not that of the shuffles behind it as well."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before = shuffles()
+    df.write.format("noop").mode("overwrite").save()
+    held = shuffles()
+    assert held - before
+    out = Workspace(spark, "x").keep(df, "counts")
+    for _ in range(50):  # files go in the background
+        if not (left := shuffles() - held):
+            break
+        time.sleep(0.1)
+    assert not left and sorted(r["count"] for r in out.collect()) == [100] * 10
