@@ -80,6 +80,12 @@ def bigrams(words: Column) -> Column:
     return pairs
 
 
+def _once(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with an array ``column`` worked out once: filters on what a generator gives stay behind it, where the
+    optimiser would put the column's whole expression into a filter for every mention."""
+    return rows.select(*(F.col(c) for c in rows.columns if c != column), F.explode(F.array(column)).alias(column))
+
+
 def _templates(notices: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
     out = []
     for name, texts in notices.items():
@@ -110,10 +116,17 @@ def scan(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, notices:
     # Numbered before the pieces are unfolded, so that all pieces of a row carry its number.
     rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), pieces.alias("pieces"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select("doc_id", "row", F.posexplode("pieces").alias("nth", "piece"))
-    most = max((n for n, _, _ in fits), default=0) + 1
-    rows = rows.select("doc_id", "row", "nth", F.split(normal(F.col("piece")), " ").alias("words")).where((F.col("words")[0] != "") & ((F.size("words") <= most) | (F.size(F.array_distinct("words")) <= most)))
-    rows = rows.select("doc_id", "row", "nth", bigrams(F.col("words")).alias("all"))
-    rows = rows.select("doc_id", "row", "nth", F.array_distinct(F.filter("all", lambda b: b.isin(known))).alias("shared"), F.size(F.array_distinct("all")).alias("n")).where(F.size("shared") > 0)
+    most = max((n for n, _, _ in fits), default=0)
+    rows = _once(rows.select("doc_id", "row", "nth", F.split(normal(F.col("piece")), " ").alias("words")), "words").where(F.col("words")[0] != "")
+    # All but one of the distinct words outside the templates begin a distinct bigram outside them, and of n bigrams
+    # at most this share may be.
+    vocabulary = sorted({w for b in known for w in b.split(" ")})
+    rows = _once(rows.select("doc_id", "row", "nth", "words", F.array_distinct("words").alias("distinct")), "distinct").where(F.size("distinct") <= most + 1)
+    strange = F.size(F.filter("distinct", lambda w: ~w.isin(vocabulary)))
+    n_most = F.least(F.greatest(F.size("words") - 1, F.lit(1)), F.lit(most))
+    rows = rows.where(strange - 1 <= (2 - 2 * threshold) / (2 - threshold) * n_most + slack)
+    rows = _once(rows.select("doc_id", "row", "nth", F.array_distinct(bigrams(F.col("words"))).alias("all")), "all")
+    rows = _once(rows.select("doc_id", "row", "nth", F.filter("all", lambda b: b.isin(known)).alias("shared"), F.size("all").alias("n")), "shared").where(F.size("shared") > 0)
     hits = rows.join(F.broadcast(table), "n")
     dice = 2.0 * F.size(F.array_intersect("shared", "template")) / (F.col("n") + F.size("template"))
     hits = hits.select("doc_id", "row", "nth", "license", dice.alias("dice")).where(F.col("dice") >= threshold - slack)

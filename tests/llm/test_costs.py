@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from fathomline.llm import tokenfile
+from fathomline.llm import licenses, tokenfile
 from fathomline.llm.runtime import Workspace
 
 
@@ -46,3 +46,28 @@ def test_kept_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and sorted(r["count"] for r in out.collect()) == [100] * 10
+
+
+def test_pieces_are_normalised_once(spark):
+    """The plan works out a piece's words in one place."""
+    plan = licenses.scan(spark, spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
+def test_strange_words_up_to_the_bound_are_found(spark):
+    """Notices with so many words put in, taken out and repeated as the threshold allows, against the plain coefficient."""
+    rows = []
+    for text in (licenses._MIT_WARRANTY, licenses._BSD_NAMES, "Licensed under the Apache License, Version 2.0.", licenses._ISC_GRANT):
+        words = text.split()
+        for k in range(0, len(words), 2):
+            rows += [(len(rows), " ".join([*(f"strange{i}" for i in range(k // 2)), *words])), (len(rows) + 1, " ".join([*words[k // 3 :], *(f"odd{i}" for i in range(k // 3))])), (len(rows) + 2, " ".join(words * 2 + words[:k] + ["odd"] * k))]
+    templates = licenses._templates(licenses.NOTICES)
+    want = set()
+    for i, t in rows:
+        w = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        piece = {" ".join(x) for x in zip(w, w[1:], strict=False)}
+        best = max((2 * len(piece & set(bs)) / (len(piece) + len(bs)), name) for name, bs in templates)
+        if best[0] >= 0.8 - 1e-9:
+            want.add((i, best[1], round(best[0], 9)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 40 < len(want) < len(rows) and {(r.doc_id, r.license, r.dice) for r in licenses.scan(spark, df).collect()} == want
