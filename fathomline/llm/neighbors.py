@@ -181,47 +181,62 @@ def unpack(data: bytes, code: bool = False, probes: bool = False) -> tuple:
 FOUND = "query_id long, ids array<long>, scores array<double>"
 
 
+#: Pairs of a query and a row that are scored at once.
+PAIRS = 65_536
+
+
 class Best:
-    """The k best of each query seen by a task."""
+    """The k best of each query seen by a task, a line of the tables for each query."""
 
     def __init__(self, k: int):
-        self.k, self.held = k, {}
-
-    def floor(self, query: int) -> float:
+        self.k, self.lines = k, {}
+        self.queries = np.empty(0, np.int64)
+        self.ids, self.scores = np.empty((0, k), np.int64), np.empty((0, k))
+
+    def of(self, queries: np.ndarray) -> np.ndarray:
+        """Lines of the queries; unseen ones get a new line, free places score minus infinity."""
+        fresh = [q for q in queries.tolist() if q not in self.lines]
+        if fresh:
+            fresh = list(dict.fromkeys(fresh))
+            self.lines.update((q, len(self.queries) + i) for i, q in enumerate(fresh))
+            self.queries = np.concatenate([self.queries, np.array(fresh, np.int64)])
+            self.ids = np.concatenate([self.ids, np.zeros((len(fresh), self.k), np.int64)])
+            self.scores = np.concatenate([self.scores, np.full((len(fresh), self.k), -np.inf)])
+        return np.array([self.lines[q] for q in queries.tolist()], np.int64)
+
+    def floors(self, lines: np.ndarray) -> np.ndarray:
         """What a row must score to be among the best."""
-        scores = self.held[query][1] if query in self.held else ()
-        return float(scores[-1]) if len(scores) == self.k else -np.inf
-
-    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if query in self.held:
-            a, b = self.held[query]
-            if len(b) == self.k:
-                rows = np.flatnonzero(scores >= b[-1])
-                if not len(rows):
-                    return
-                ids, scores = ids[rows], scores[rows]
-            ids, scores = np.concatenate([a, ids]), np.concatenate([b, scores])
-        elif len(scores) > 8 * self.k:
-            rows = np.flatnonzero(scores >= np.partition(scores, len(scores) - 2 * self.k)[len(scores) - 2 * self.k])
-            if len(np.unique(ids[rows])) >= self.k:
-                ids, scores = ids[rows], scores[rows]
-        order = np.lexsort((ids, -scores))
-        ids, scores = ids[order], scores[order]
-        fresh = np.r_[True, (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])]
-        self.held[query] = ids[fresh][: self.k], scores[fresh][: self.k]
+        return self.scores[lines, -1]
+
+    def add(self, lines: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows found, each for the query of its line; a line's equal pairs of id and score count once."""
+        some = np.unique(lines)
+        held = self.scores[some] > -np.inf
+        lines = np.concatenate([lines, np.repeat(some, held.sum(1))])
+        ids, scores = np.concatenate([ids, self.ids[some][held]]), np.concatenate([scores, self.scores[some][held]])
+        order = np.lexsort((ids, -scores, lines))
+        lines, ids, scores = lines[order], ids[order], scores[order]
+        fresh = np.r_[True, (lines[1:] != lines[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])]
+        lines, ids, scores = lines[fresh], ids[fresh], scores[fresh]
+        firsts = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
+        place = np.arange(len(lines)) - np.repeat(firsts, np.diff(np.r_[firsts, len(lines)]))
+        top = place < self.k
+        self.ids[lines[top], place[top]], self.scores[lines[top], place[top]] = ids[top], scores[top]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        items = list(self.held.items())
-        for i in range(0, len(items), 4096):
-            part = items[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in part], pa.int64()), pa.array([x[0] for _, x in part], pa.list_(pa.int64())), pa.array([x[1] for _, x in part], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+        for i in range(0, len(self.queries), 4096):
+            ids, scores = self.ids[i : i + 4096], self.scores[i : i + 4096]
+            held = scores > -np.inf
+            ends = pa.array(np.r_[0, np.cumsum(held.sum(1))].astype(np.int32))
+            found = pa.RecordBatch.from_arrays([pa.array(self.queries[i : i + 4096]), pa.ListArray.from_arrays(ends, pa.array(ids[held])), pa.ListArray.from_arrays(ends, pa.array(scores[held]))], names=["query_id", "ids", "scores"])
+            yield found.filter(pa.array(held.any(1)))
 
 
 def _visit(k: int, hashed: bool):
     """Pages joined to blocks of queries: the best of what the probes (or, unhashed, all rows) bring.
 
     One product of block and page tells which rows can still be among a query's best; of these, rows in
-    the buckets it probes get their exact score.
+    the buckets it probes get their exact score. A block's queries are worked on together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,27 +247,37 @@ def _visit(k: int, hashed: bool):
                 data = batch.column("page")[row].as_buffer()
                 if known is None or data != known:
                     ids, vectors, codes, _ = unpack(data, code=hashed)
-                    known, length = data, float(np.sqrt((vectors * vectors).sum(1).max()))
+                    known, length, once = data, float(np.sqrt((vectors * vectors).sum(1).max())), len(np.unique(ids)) == len(ids)
                     if hashed:
                         firsts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-                        buckets, sizes = codes[firsts], np.diff(np.r_[firsts, len(codes)])
+                        buckets, bucket = codes[firsts], np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, len(codes)]))
+                        order = np.argsort(buckets, kind="stable")
                 asked, points, _, probes = unpack(batch.column("block")[row].as_buffer(), probes=hashed)
+                lines = top.of(asked)
                 rough = points @ vectors.T
                 slack = 1e-9 * length * np.sqrt((points * points).sum(1))
-                for i, query in enumerate(asked.tolist()):
-                    fine = rough[i] >= top.floor(query) - slack[i]
-                    rows = np.flatnonzero(fine)
-                    if hashed and len(rows) > len(buckets) // 4:  # by bucket, else row by row
-                        rows = np.flatnonzero(fine & np.repeat(np.isin(buckets, probes[i]), sizes))
-                    elif hashed and len(rows):
-                        rows = rows[np.isin(codes[rows], probes[i])]
-                    rows = rows[ids[rows] != query]
-                    if len(rows) > 2 * k:  # more than can count, unless an id and its score repeat
-                        near = rough[i][rows]
-                        some = rows[near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * slack[i]]
-                        rows = some if len(np.unique(ids[some])) >= k else rows
-                    if len(rows):
-                        top.add(query, ids[rows], exact_scores(vectors[rows], points[i]))
+                fine = rough >= (top.floors(lines) - slack)[:, None]
+                if hashed:
+                    # Which bucket of the page each query probes; a bucket that stands twice has its rows in both places.
+                    who, probe = np.repeat(np.arange(len(asked)), [len(p) for p in probes]), np.concatenate(probes)
+                    low, high = np.searchsorted(buckets, probe, "left", order), np.searchsorted(buckets, probe, "right", order)
+                    hit = np.zeros((len(asked), len(buckets)), bool)
+                    while len(who):
+                        there = low < high
+                        who, low, high = who[there], low[there], high[there]
+                        hit[who, order[low]] = True
+                        low = low + 1
+                    fine &= hit[:, bucket]
+                q, r = np.nonzero(fine)
+                if len(q) > 2 * k * len(asked) and once and len(ids) > k + 1:  # more than can count, as no id repeats (a query's own row may be one of them)
+                    near = np.where(fine, rough, -np.inf)
+                    least = np.partition(near, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+                    q, r = np.nonzero(fine & (near >= (least - 2 * slack)[:, None]))
+                other = ids[r] != asked[q]
+                q, r = q[other], r[other]
+                for i in range(0, len(q), PAIRS):
+                    a, b = q[i : i + PAIRS], r[i : i + PAIRS]
+                    top.add(lines[a], ids[b], exact_scores(vectors[b], points[a]))
         yield from top.rows()
 
     return run

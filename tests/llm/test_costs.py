@@ -3,9 +3,10 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fathomline.llm import licenses, tokenfile
+from fathomline.llm import licenses, neighbors, tokenfile
 from fathomline.llm.runtime import Workspace
 
 
@@ -71,3 +72,33 @@ def test_strange_words_up_to_the_bound_are_found(spark):
             want.add((i, best[1], round(best[0], 9)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert 40 < len(want) < len(rows) and {(r.doc_id, r.license, r.dice) for r in licenses.scan(spark, df).collect()} == want
+
+
+def test_queries_of_a_block_are_scored_together(monkeypatch):
+    """Blocks against pages as a plain search of the probed rows gives them, with repeated ids, in one scoring a page."""
+    rng = np.random.default_rng(3)
+    ids = np.r_[np.arange(0, 300), 7, 7, 8]
+    vectors = np.round(rng.normal(size=(303, 4)), 1)
+    vectors[300] = vectors[7]
+    codes = rng.integers(0, 9, 303)
+    asked = np.arange(0, 300, 10)
+    probes = [rng.choice(12, rng.integers(0, 6), replace=False) for _ in asked]
+
+    def pack(kind, n, table, most):
+        return [b.column(kind)[0] for b in neighbors.packed(kind, ["g"], most)(iter([pa.RecordBatch.from_pydict({"g": np.zeros(n, int), **table})]))]
+
+    calls = []
+    score = neighbors.exact_scores
+    monkeypatch.setattr(neighbors, "exact_scores", lambda *a: calls.append(1) or score(*a))
+    for hashed, k in ((True, 5), (False, 5), (True, 400)):
+        page = pack("page", 303, {"id": ids, "v": pa.array(vectors.tolist()), **({"code": codes} if hashed else {})}, 100)
+        block = pack("block", 30, {"id": asked, "v": pa.array(vectors[asked].tolist()), **({"probes": pa.array([p.tolist() for p in probes], pa.list_(pa.int64()))} if hashed else {})}, 100)
+        calls.clear()
+        out = neighbors._visit(k, hashed)(iter([pa.RecordBatch.from_arrays([pa.array([p.as_py() for p in page], pa.binary()), pa.array([block[0].as_py()] * len(page), pa.binary())], names=["page", "block"])]))
+        found = {x["query_id"]: list(zip(x["ids"], x["scores"], strict=True)) for b in out for x in b.to_pylist()}
+        want = {}
+        for q, p in zip(asked.tolist(), probes, strict=True):
+            rows = {(i, s) for i, s, c in zip(ids.tolist(), score(vectors, vectors[q]).tolist(), codes, strict=True) if i != q and (not hashed or c in p)}
+            if rows:
+                want[q] = sorted(rows, key=lambda x: (-x[1], x[0]))[:k]
+        assert found == want and len(calls) <= len(page)
