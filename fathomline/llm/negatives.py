@@ -3,16 +3,17 @@
 One more coordinate brings all vectors to the same length; an anchor gets zero there. A larger inner
 product is then a smaller distance, and a window of scores an annulus around the anchor. A bounded tree of
 vantage points, fitted on a sample, routes every row to a leaf; leaves are cut into pages, which keep the
-range of their distances to the vantage points on their way. Anchors go only to pages that an annulus can
-meet. Within a page a second tree is walked nearest-first: nodes and rows wait in one queue ordered by
-distance, and rows come out one by one until every window has its rows.
+range of their distances to the vantage points on their way. Anchors go only to subtrees that an annulus can
+meet. Within a page a second tree is walked by a block of anchors at a time: each goes down to the leaves
+that its annuli meet, whose rows are scored by one matrix product, and of the rows within a window the
+nearest ones come out. Products are exact: of floats where all sums fit into their whole numbers.
 """
 
 from __future__ import annotations
 
 import gc
-import heapq
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,20 @@ from fathomline.llm.neighbors import matrix
 from fathomline.llm.runtime import Workspace
 from fathomline.llm.topk import integer_vectors
 
-#: Rows of a page, anchors of a block, rows of a leaf of a page's tree.
-PAGE_ROWS, BLOCK_ANCHORS, LEAF_ROWS = 4096, 256, 64
+#: Rows of a page, anchors of a block, anchors that walk a page together, rows of a leaf of a page's tree.
+PAGE_ROWS, BLOCK_ANCHORS, WALK_ANCHORS, LEAF_ROWS = 4096, 4096, 128, 256
 #: Rows sampled for the routing tree, and its leaves at most; further rows make further pages of a leaf.
 SAMPLE_ROWS, MOST_LEAVES = 20_000, 1024
-#: Slack of bounds computed in floating point, in units of distance.
+#: Subtrees of the routing tree that blocks are sent to, at most, and pages of one that meet a block in one task.
+MOST_SHARES, SHARE_PAGES = 64, 64
+#: Slack of bounds computed in floating point, in units of the common length.
 SLACK = 1e-6
+#: Share of the leaves of a page from which all its rows are scored at once.
+MOST_MET = 0.5
+#: Labels of a page from which rows of the anchor's label are picked after scoring, and times as many anchors that walk together up to that.
+MOST_LABELS, MORE_ANCHORS = 64, 8
+#: Share of the pairs at or above the lowest bound from which those beyond the highest bound go before they are picked.
+MANY_HITS = 0.02
 
 
 def _augmented(vectors: np.ndarray, length: int) -> np.ndarray:
@@ -37,8 +46,63 @@ def _augmented(vectors: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(length - (vectors * vectors).sum(1), 0).astype(np.float64))[:, None]], 1)
 
 
-def _asked(vector: np.ndarray) -> np.ndarray:
-    return np.append(vector.astype(np.float64), 0.0)
+def _asked(vectors: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors.astype(np.float64), np.zeros((len(vectors), 1))], 1)
+
+
+def _away(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Distances of all points to all centers; what rounding adds is within the slack."""
+    squares = (points * points).sum(1)[:, None] + (centers * centers).sum(1) - 2.0 * (points @ centers.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def _slack(length: int) -> float:
+    return SLACK * (1.0 + float(np.sqrt(max(length, 0))))
+
+
+def _meets(near: np.ndarray, far: np.ndarray, base: np.ndarray, lows: np.ndarray, highs: np.ndarray, length: int) -> np.ndarray:
+    """Whether rows between the distances ``near`` and ``far`` (anchor, place) can hold a score of some window of the anchor."""
+    slack = _slack(length)
+    most = (base[:, None] - np.maximum(near - slack, 0.0) ** 2) / 2 + SLACK * slack
+    least = (base[:, None] - (far + slack) ** 2) / 2 - SLACK * slack
+    met = np.zeros(near.shape, bool)
+    for w in range(lows.shape[1]):
+        met |= (lows[:, w, None] <= most) & (highs[:, w, None] >= least)
+    return met
+
+
+def _whole(largest: float) -> type:
+    """The kind of number whose sums of products are exact up to the largest squared norm."""
+    return np.float32 if largest < 2.0**24 else np.float64 if largest < 2.0**53 else np.int64
+
+
+def _stored(largest: float) -> type:
+    """The smallest kind of number that holds components of vectors up to the largest squared norm."""
+    return np.int16 if largest < 2.0**30 else np.int32 if largest < 2.0**62 else np.int64
+
+
+def _bytes(vectors: np.ndarray, kind: type) -> pa.Array:
+    """Vectors as a binary column."""
+    data = np.ascontiguousarray(vectors.astype(kind))
+    width = data.itemsize * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(width), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _vectors(column: pa.Array, dim: int, kind: type) -> np.ndarray:
+    """The vectors of a binary column."""
+    column = column.cast(pa.binary(dim * np.dtype(kind).itemsize))
+    data = np.frombuffer(column.buffers()[1], kind).reshape(-1, dim)
+    return data[column.offset : column.offset + len(column)]
+
+
+def _hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is set in a mask with few hits: eight places at a time."""
+    flat = mask.reshape(-1)
+    even = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:even].view(np.uint64))
+    at, place = np.nonzero(flat[:even].reshape(-1, 8)[words])
+    found = np.concatenate([words[at] * 8 + place, even + np.flatnonzero(flat[even:])])
+    return found // mask.shape[1], found % mask.shape[1]
 
 
 class Router:
@@ -68,9 +132,9 @@ class Router:
             at = 2 * at + 1 + (away[:, d] > self.radii[at])
         return at - ((1 << self.depth) - 1), away
 
-    def distances(self, point: np.ndarray) -> np.ndarray:
-        """Distance of a point to every vantage point."""
-        return np.sqrt(((self.points - point) ** 2).sum(1))
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        """Distances of points to every vantage point."""
+        return _away(points, self.points)
 
     def way(self, leaf: int) -> list[int]:
         """Vantage points from the root to a leaf."""
@@ -84,100 +148,103 @@ class Router:
 class VPTree:
     """A page: rows in the order of a balanced vantage-point tree, whose nodes keep the range of distances to their vantage point."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, length: int):
-        self.length, points = length, _augmented(vectors, length)
-        order: list[np.ndarray] = []
-        self.nodes: list[tuple] = []  # (vantage point, nearest, farthest, first row, end, children)
-        self._build(points, np.arange(len(ids)), order, 0)
-        rows = np.concatenate(order)
-        self.ids, self.labels, self.vectors = ids[rows], labels[rows], vectors[rows]
-
-    def _build(self, points: np.ndarray, rows: np.ndarray, order: list, first: int) -> int:
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, length: int, largest: float):
+        self.length, points = length, _augmented(vectors.astype(np.int64), length)
+        self.nodes: list[tuple] = []  # (vantage point, nearest, farthest)
+        self.leaves: list[tuple] = []  # (rows, nodes on the way)
+        self._build(points, np.arange(len(ids)), [])
+        self.centers, self.near, self.far = (np.array(x) for x in zip(*self.nodes, strict=True))
+        depth = max(len(way) for _, way in self.leaves)
+        self.ways = np.array([way + way[-1:] * (depth - len(way)) for _, way in self.leaves])
+        self.ends = np.cumsum([0, *(len(rows) for rows, _ in self.leaves)])
+        rows = np.concatenate([rows for rows, _ in self.leaves])
+        self.ids, self.labels, self.vectors = ids[rows], labels[rows], vectors[rows].astype(_whole(largest))
+        kinds = np.unique(self.labels)
+        self.of_label = {int(x): np.flatnonzero(self.labels == x) for x in kinds} if len(kinds) <= MOST_LABELS else None
+
+    def _build(self, points: np.ndarray, rows: np.ndarray, way: list[int]) -> None:
         at = points[rows]
-        center = at[((at - at.mean(0)) ** 2).sum(1).argmax()] if len(rows) > LEAF_ROWS else at.mean(0)
-        away = np.sqrt(((at - center) ** 2).sum(1))
-        node = len(self.nodes)
-        self.nodes.append(())
+        # All points are equally far from the origin, so one product gives the distances from a vantage point, or the farthest from the middle.
+        center = at[(at @ at.mean(0)).argmin()] if len(rows) > LEAF_ROWS else at.mean(0)
+        away = _away(at, center[None, :])[:, 0]
+        way = [*way, len(self.nodes)]
+        self.nodes.append((center, float(away.min()), float(away.max())))
         if len(rows) <= LEAF_ROWS:
-            order.append(rows)
-            children: tuple = ()
+            self.leaves.append((rows, way))
         else:
-            near = np.argsort(away, kind="stable")
-            half = len(rows) // 2
-            children = (self._build(points, rows[near[:half]], order, first), self._build(points, rows[near[half:]], order, first + half))
-        self.nodes[node] = (center, float(away.min()), float(away.max()), first, first + len(rows), children)
-        return node
+            near, half = np.argsort(away, kind="stable"), len(rows) // 2
+            self._build(points, rows[near[:half]], way)
+            self._build(points, rows[near[half:]], way)
+
+    def met(self, vectors: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """(anchor, leaf): whether every node on the way to the leaf can hold a row of some window."""
+        d = _away(_asked(vectors), self.centers)
+        base = (vectors.astype(np.float64) ** 2).sum(1) + self.length  # distance^2 = base - 2 * score
+        node = _meets(np.maximum(d - self.far, self.near - d), d + self.far, base, lows, highs, self.length)
+        leaf = node[:, self.ways[:, 0]]
+        for k in range(1, self.ways.shape[1]):
+            leaf &= node[:, self.ways[:, k]]
+        return leaf
+
+    def _products(self, vectors: np.ndarray, labels: np.ndarray, same: bool, met: np.ndarray) -> Iterator[tuple]:
+        """(anchors, rows, their scores): every pair of the wanted labels on leaves that are met, and some besides."""
+        if met.mean() < MOST_MET:
+            for leaf in np.flatnonzero(met.any(0)).tolist():
+                who, rows = np.flatnonzero(met[:, leaf]), np.arange(self.ends[leaf], self.ends[leaf + 1])
+                yield who, rows, vectors[who] @ self.vectors[rows].T
+        elif same and self.of_label is not None:
+            for label in np.unique(labels).tolist():
+                if (rows := self.of_label.get(label)) is not None:
+                    who = np.flatnonzero(labels == label)
+                    yield who, rows, vectors[who] @ self.vectors[rows].T
+        else:
+            yield np.arange(len(vectors)), np.arange(len(self.ids)), vectors @ self.vectors.T
 
-    def walk(self, anchor: int, vector: np.ndarray, windows: list[tuple[int, int]], label: int, same: bool, k: int) -> list[list[tuple[int, int]]]:
-        """For each window (lowest, highest score) the first k rows (score, id) of the wanted labels, nearest first.
+    def walk(self, anchors: np.ndarray, vectors: np.ndarray, lows: np.ndarray, highs: np.ndarray, labels: np.ndarray, same: bool, k: int) -> tuple[np.ndarray, ...]:
+        """(place of the anchor, window, score, id) of the first k rows of each window (lowest, highest score) of each anchor, nearest first.
 
         Rows of the anchor's own id never count. ``same`` wants the anchor's label, else all others.
         """
-        q = _asked(vector)
-        base = int(vector @ vector) + self.length  # distance^2 = base - 2 * score
-        found: list[list[tuple[int, int]]] = [[] for _ in windows]
-        open_ = list(range(len(windows)))
-
-        def meets(low: float, high: float) -> bool:
-            """Whether an open window holds a score that these distances allow."""
-            most, least = (base - max(low - SLACK, 0.0) ** 2) / 2, (base - (high + SLACK) ** 2) / 2
-            return any(windows[w][0] <= most and windows[w][1] >= least for w in open_)
-
-        def node_entry(n: int) -> tuple | None:
-            center, near, far = self.nodes[n][:3]
-            d = float(np.sqrt(((q - center) ** 2).sum()))
-            low, high = max(0.0, d - far, near - d), d + far
-            return (max(0.0, low - SLACK) ** 2, 0, n, high) if meets(low, high) else None
-
-        heap = [e for e in (node_entry(0),) if e]
-        while heap and open_:
-            key, kind, what, more = heapq.heappop(heap)
-            if kind:  # a row: all nearer ones have come out
-                score = more
-                for w in list(open_):
-                    if windows[w][0] <= score <= windows[w][1]:
-                        found[w].append((score, what))
-                        if len(found[w]) == k:
-                            open_.remove(w)
-                continue
-            if not meets(np.sqrt(key) + SLACK, more):
-                continue
-            first, end, children = self.nodes[what][3:]
-            if children:
-                for c in children:
-                    if e := node_entry(c):
-                        heapq.heappush(heap, e)
-                continue
-            scores = self.vectors[first:end] @ vector
-            fine = (self.labels[first:end] == label) if same else (self.labels[first:end] != label)
-            fine &= self.ids[first:end] != anchor
-            inside = np.zeros(end - first, bool)
-            for w in open_:
-                inside |= (scores >= windows[w][0]) & (scores <= windows[w][1])
-            for row in np.flatnonzero(fine & inside).tolist():
-                score = int(scores[row])
-                heapq.heappush(heap, (float(base - 2 * score), 1, int(self.ids[first + row]), score))
-        return found
+        parts = []
+        asked, low, high = vectors.astype(self.vectors.dtype), lows.min(1), highs.max(1)
+        for who, rows, scores in self._products(asked, labels, same, self.met(vectors, lows, highs)):
+            inside = scores >= low[who, None].astype(scores.dtype)
+            if np.count_nonzero(inside) > MANY_HITS * inside.size:
+                inside &= scores <= high[who, None].astype(scores.dtype)
+            i, j = _hits(inside)
+            found, a, r = scores[i, j].astype(np.int64), who[i], rows[j]
+            fine = ((self.labels[r] == labels[a]) == same) & (self.ids[r] != anchors[a])
+            parts.append((a[fine], found[fine], self.ids[r[fine]]))
+        a, s, i = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((i, -s, a))
+        a, s, i = a[order], s[order], i[order]
+        out = []
+        for w in range(lows.shape[1]):
+            at = np.flatnonzero((s >= lows[a, w]) & (s <= highs[a, w]))
+            at = at[np.arange(len(at)) - np.searchsorted(a[at], a[at]) < k]
+            out.append((a[at], np.full(len(at), w, np.int32), s[at], i[at]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _pack(kind: str, most: int):
     """Runs of sorted rows with equal ``leaf`` as one row with the Arrow bytes of at most ``most`` rows.
 
-    Pages also get the range of their distances to each vantage point on the way.
+    Pages also get their number within the task and the range of their distances to each vantage point on the way.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key, size = None, 0
+        key, size, made = None, 0, count()
 
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             arrays, names = [pa.array([key], pa.int64())], ["leaf", kind]
             more = []
             if kind == "page":
-                away = np.array(table.column("away").to_pylist())
-                more = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (away.min(0), away.max(0))]
-                names += ["low", "high"]
+                away = table.column("away").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                away = away.reshape(table.num_rows, len(away) // table.num_rows)
+                more = [pa.array([next(made)], pa.int64()), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (away.min(0), away.max(0)))]
+                names += ["nth", "low", "high"]
                 table = table.drop_columns(["away"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -211,18 +278,26 @@ def _unpack(data: pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
-def _routed(router: Router, length: int, dim: int):
+def _routed(router: Router, length: int, dim: int, largest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf, away = router.route(_augmented(matrix(batch.column("v"), dim), length))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(list(away), pa.list_(pa.float64()))], names=[*batch.schema.names, "leaf", "away"])
+                v = matrix(batch.column("v"), dim)
+                leaf, away = router.route(_augmented(v, length))
+                away = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * router.depth), pa.array(away.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), _bytes(v, _stored(largest)), pa.array(leaf), away], names=["id", "label", "v", "leaf", "away"])
 
     return run
 
 
-def _directed(router: Router, length: int, dim: int, pages: dict[int, tuple[np.ndarray, np.ndarray]], only_home: bool):
-    """Anchors with windows, once for each leaf whose distances an annulus can meet (or for their own leaf alone)."""
+def _directed(router: Router, length: int, dim: int, pages: dict[int, tuple[np.ndarray, np.ndarray]], only_home: bool, shift: int = 0, largest: float = 2.0**63):
+    """Anchors with windows, once for each subtree with a leaf whose distances an annulus can meet (or for their own subtree alone).
+
+    A subtree holds ``1 << shift`` leaves. A row of the result names it as ``leaf``; vectors become bytes.
+    """
+    subtrees: dict[int, list[int]] = {}
+    for leaf in pages:
+        subtrees.setdefault(leaf >> shift, []).append(leaf)
     ways = {leaf: np.array(router.way(leaf), np.int64) for leaf in pages}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,55 +305,71 @@ def _directed(router: Router, length: int, dim: int, pages: dict[int, tuple[np.n
             if not batch.num_rows:
                 continue
             v = matrix(batch.column("v"), dim)
-            lows, highs = batch.column("lows").to_pylist(), batch.column("highs").to_pylist()
-            who, leaves = [], []
-            for i in range(len(v)):
-                q = _asked(v[i])
-                d = router.distances(q)
-                base = int(v[i] @ v[i]) + length
-                if only_home:
-                    home = int(router.route(q[None, :])[0][0])
-                    hit = [home] if home in pages else list(pages)[:1]
-                else:
-                    least = np.sqrt(np.maximum(base - 2.0 * np.array(highs[i], float), 0.0)) - SLACK
-                    most = np.sqrt(np.maximum(base - 2.0 * np.array(lows[i], float), 0.0)) + SLACK
-                    hit = []
-                    for leaf, (low, high) in pages.items():
-                        way = d[ways[leaf]]
-                        near = max(0.0, float(np.maximum(way - high, low - way).max(initial=0.0)))
-                        far = float((way + high).min(initial=np.inf))
-                        if ((least <= far) & (most >= near)).any():
-                            hit.append(leaf)
-                who += [i] * len(hit)
-                leaves += hit
-            if who:
-                part = batch.take(pa.array(who, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.int64())], names=[*batch.schema.names, "leaf"])
+            q = _asked(v)
+            if only_home:
+                home = router.route(q)[0] >> shift
+                home[~np.isin(home, list(subtrees))] = next(iter(subtrees))
+                sent = [(np.arange(len(v)), home)]
+            else:
+                d, base = router.distances(q), (v.astype(np.float64) ** 2).sum(1) + length
+                lows, highs = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("lows", "highs"))
+                # Windows in lines of equal length; a window that holds no score fills them up.
+                sizes = batch.column("lows").value_lengths().to_numpy(zero_copy_only=False)
+                line, place = np.repeat(np.arange(len(v)), sizes), np.concatenate([np.arange(n) for n in sizes.tolist()])
+                low, high = np.full((len(v), sizes.max()), 1 << 62), np.full((len(v), sizes.max()), -(1 << 62))
+                low[line, place], high[line, place] = lows, highs
+                sent = []
+                for subtree, leaves in subtrees.items():
+                    hit = np.zeros(len(v), bool)
+                    for leaf in leaves:
+                        way, (least, most) = d[:, ways[leaf]], pages[leaf]
+                        near = np.maximum(way - most, least - way).max(1, initial=0.0)
+                        far = (way + most).min(1, initial=np.inf)
+                        hit |= _meets(near[:, None], far[:, None], base, low, high, length)[:, 0]
+                        if hit.all():
+                            break
+                    who = np.flatnonzero(hit)
+                    sent.append((who, np.full(len(who), subtree)))
+            who, where = (np.concatenate(x) for x in zip(*sent, strict=True))
+            if len(who):
+                part = batch.set_column(batch.schema.get_field_index("v"), "v", _bytes(v, _stored(largest))).take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(where, pa.int64())], names=[*part.schema.names, "leaf"])
 
     return run
 
 
-def _search(length: int, dim: int, same: bool, k: int):
+def _windows(block: pa.Table, name: str, none: int) -> np.ndarray:
+    """Bounds of windows in lines of equal length, filled up with ``none``."""
+    lists = block.column(name).combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), sizes.max()), none)
+    out[np.arange(sizes.max()) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _search(length: int, dim: int, same: bool, k: int, largest: float):
     """Walks pages for anchors: a row (anchor number, window, score, id) for each of the first k of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         known, tree = None, None
         for batch in batches:
-            out = []
             for row in range(batch.num_rows):
                 data = batch.column("page")[row].as_buffer()
                 if known is None or data != known:
                     page = _unpack(data)
-                    known, tree = data, VPTree(page.column("id").to_numpy(), page.column("label").to_numpy(), matrix(page.column("v").combine_chunks(), dim), length)
-                asked = _unpack(batch.column("block")[row].as_buffer())
-                vectors = matrix(asked.column("v").combine_chunks(), dim)
-                for i, (anchor, number, label, lows, highs) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("id", "number", "label", "lows", "highs")), strict=True)):
-                    for w, found in enumerate(tree.walk(anchor, vectors[i], list(zip(lows, highs, strict=True)), label, same, k)):
-                        out += [(number, w, score, other) for score, other in found]
-            if out:
-                n, w, s, i = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(w, pa.int32()), pa.array(s, pa.int64()), pa.array(i, pa.int64())], names=["number", "win", "score", "other"])
+                    known = data
+                    tree = VPTree(page.column("id").to_numpy(), page.column("label").to_numpy(), _vectors(page.column("v").combine_chunks(), dim, _stored(largest)), length, largest)
+                block = _unpack(batch.column("block")[row].as_buffer())
+                ids, numbers, labels = (block.column(c).to_numpy() for c in ("id", "number", "label"))
+                vectors = _vectors(block.column("v").combine_chunks(), dim, _stored(largest))
+                lows, highs = _windows(block, "lows", 1 << 62), _windows(block, "highs", -(1 << 62))
+                together = WALK_ANCHORS * (MORE_ANCHORS if same and tree.of_label is not None else 1)
+                for a in range(0, len(ids), together):
+                    at = slice(a, a + together)
+                    who, w, s, i = tree.walk(ids[at], vectors[at], lows[at], highs[at], labels[at], same, k)
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[at][who]), pa.array(w), pa.array(s), pa.array(i)], names=["number", "win", "score", "other"])
 
     return run
 
@@ -304,7 +395,7 @@ def hard_negatives(spark: SparkSession, rows: DataFrame, positives: int = 5, k:
     given = integer_vectors(rows.where(F.col(label_col).isNotNull()), id_col, vector_col, scale, F.col(label_col).cast("long").alias("label"))
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
     given = space.keep(given.withColumn("dim", F.size("v")).withColumn("number", F.monotonically_increasing_id()), "vectors")
-    sizes = given.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % anchor_every == 0).alias("q"), F.max(norm).alias("m")).collect()  # a row for each vector length
+    sizes = given.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % anchor_every == 0).alias("q"), F.max(norm).alias("m"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("largest")).collect()  # a row for each vector length
     out = None
     for size in sorted(sizes, key=lambda r: r["dim"]):
         if size["q"]:
@@ -314,24 +405,34 @@ def hard_negatives(spark: SparkSession, rows: DataFrame, positives: int = 5, k:
 
 
 def _mine(space: Workspace, rows: DataFrame, size, positives: int, k: int, anchor_every: int, low: int, high: int) -> DataFrame:
-    spark, dim, n, length = space.spark, size["dim"], size["n"], int(size["m"])
+    spark, dim, n, length, largest = space.spark, size["dim"], size["n"], int(size["m"]), size["largest"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sample = rows.orderBy(F.xxhash64("id", F.lit(12)), "id").limit(SAMPLE_ROWS).select("v").toPandas()  # a bounded sample
     router = Router(_augmented(np.stack(sample["v"].to_numpy()).astype(np.int64), length), -(-n // PAGE_ROWS))
-    routed = rows.select("id", "label", "v").mapInArrow(_routed(router, length, dim), "id long, label long, v array<long>, leaf long, away array<double>")
+    routed = rows.select("id", "label", "v").mapInArrow(_routed(router, length, dim, largest), "id long, label long, v binary, leaf long, away array<double>")
     routed = routed.repartitionByRange(parts, "leaf", "id").sortWithinPartitions("leaf", "id")
-    page = space.keep(routed.mapInArrow(_pack("page", PAGE_ROWS), "leaf long, page binary, low array<double>, high array<double>"), f"pages{dim}")
+    page = space.keep(routed.mapInArrow(_pack("page", PAGE_ROWS), "leaf long, page binary, nth long, low array<double>, high array<double>"), f"pages{dim}")
     # What the leaves' pages span: a row for each leaf, of which there are MOST_LEAVES at most.
-    spans = page.groupBy("leaf").agg(*(F.array(*(fn(F.col(c)[d]) for d in range(router.depth))).alias(c) for c, fn in (("low", F.min), ("high", F.max)))).collect()
-    pages = {r["leaf"]: (np.array(r["low"], float), np.array(r["high"], float)) for r in sorted(spans, key=lambda r: r["leaf"])}
+    spans = page.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *(F.array(*(fn(F.col(c)[d]) for d in range(router.depth))).alias(c) for c, fn in (("low", F.min), ("high", F.max)))).collect()
+    spans = sorted(spans, key=lambda r: r["leaf"])
+    pages = {r["leaf"]: (np.array(r["low"], float), np.array(r["high"], float)) for r in spans}
+    # Blocks go to subtrees rather than to leaves, so that few copies travel; the pages of a large subtree are dealt out.
+    shift = max(0, router.depth - int(np.log2(MOST_SHARES)))
+    held: dict[int, int] = {}
+    for r in spans:
+        held[r["leaf"] >> shift] = held.get(r["leaf"] >> shift, 0) + r["n"]
+    deals = spark.createDataFrame([(s, -(-c // SHARE_PAGES)) for s, c in held.items()], "leaf long, deals int")  # MOST_SHARES at most
+    page = page.select(F.shiftright("leaf", shift).alias("leaf"), "nth", "page").join(F.broadcast(deals), "leaf").select("leaf", F.expr("pmod(nth, deals)").cast("int").alias("deal"), "page")
+    page = page.repartition(parts, "leaf", "deal")
     big = 1 << 60
 
     def visit(anchors: DataFrame, same: bool, most: int, only_home: bool = False) -> DataFrame:
-        columns = "number long, id long, label long, v array<long>, lows array<long>, highs array<long>"
-        sent = anchors.select(*(c.split()[0] for c in columns.split(", "))).mapInArrow(_directed(router, length, dim, pages, only_home), columns + ", leaf long")
-        block = sent.repartitionByRange(parts, "leaf", "number").sortWithinPartitions("leaf", "number").mapInArrow(_pack("block", BLOCK_ANCHORS), "leaf long, block binary")
-        met = page.select("leaf", "page").hint("merge").join(block, "leaf").select("page", "block")
-        return met.mapInArrow(_search(length, dim, same, most), "number long, win int, score long, other long")
+        columns = "number long, id long, label long, v {}, lows array<long>, highs array<long>"
+        sent = anchors.select(*(c.split()[0] for c in columns.split(", "))).mapInArrow(_directed(router, length, dim, pages, only_home, shift, largest), columns.format("binary") + ", leaf long")
+        block = sent.repartition(parts, "leaf").sortWithinPartitions("leaf", "number").mapInArrow(_pack("block", BLOCK_ANCHORS), "leaf long, block binary")
+        block = block.join(F.broadcast(deals), "leaf").select("leaf", F.explode(F.expr("sequence(0, deals - 1)")).alias("deal"), "block").repartition(parts, "leaf", "deal")
+        met = page.hint("merge").join(block, ["leaf", "deal"]).select("page", "block")
+        return met.mapInArrow(_search(length, dim, same, most, largest), "number long, win int, score long, other long")
 
     anchors = rows.where(F.col("id") % anchor_every == 0).select("number", "id", "label", "v")
     # Their own leaf first: its last positive bounds the search of the others.

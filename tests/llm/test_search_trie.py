@@ -232,3 +232,47 @@ def test_probes_come_in_the_order_of_their_estimated_success():
 
 def test_workspace_is_shared(spark):
     assert Workspace(spark, "x").root.startswith("file:")
+
+
+@pytest.mark.parametrize(("scale", "kind"), [(256, np.float32), (1 << 17, np.float64), (1 << 27, np.int64)])
+@pytest.mark.parametrize("clusters", [1, 6])
+def test_blocks_walk_pages_together(scale, kind, clusters, monkeypatch):
+    """Anchors of a block against a page as a plain search gives them, with repeated ids, in one product a label or leaf."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 8)) if clusters == 1 else rng.normal(size=(clusters, 8))[rng.integers(0, clusters, 700)] + rng.normal(size=(700, 8)) * 0.05
+    v = np.floor(scale * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    v[300:350] = v[300]
+    ids, labels, at = rng.integers(0, 600, 700), rng.integers(0, 4, 700), np.arange(0, 700, 7)
+    largest = float((v.astype(float) ** 2).sum(1).max())
+    assert negatives._whole(largest) is kind
+    small = v.astype(negatives._stored(largest))
+    assert (small == v).all() and (negatives._vectors(negatives._bytes(v, small.dtype), 8, small.dtype) == v).all()
+    page = negatives.VPTree(ids, labels, small, int((v * v).sum(1).max()), largest)
+    scores = v[at] @ v.T
+    ranked = np.sort(scores, axis=1)
+    lows, highs = ranked[:, [-60, -30]], ranked[:, [-20, -1]]
+    calls, products = [], page._products
+    monkeypatch.setattr(page, "_products", lambda *a: (calls.append(1) or p for p in products(*a)))
+    for same in (True, False):
+        want = []
+        for n, s in enumerate(scores):
+            order = [r for r in np.lexsort((ids, -s)) if (labels[r] == labels[at[n]]) == same and ids[r] != ids[at[n]]]
+            want += [(n, w, s[r], ids[r]) for w in range(2) for r in [r for r in order if lows[n, w] <= s[r] <= highs[n, w]][:5]]
+        calls.clear()
+        got = zip(*(c.tolist() for c in page.walk(ids[at], small[at], lows, highs, labels[at], same, 5)), strict=True)
+        assert sorted(got) == sorted(want) and len(calls) <= 8
+    assert (page.met(small[at], lows, highs).mean() < 0.5) == (clusters > 1)
+
+
+def test_anchors_are_sent_once_a_subtree():
+    """An anchor whose annulus meets all leaves goes to each subtree once, not to each leaf."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(3).integers(-99, 99, (2000, 8))
+    length = int((x * x).sum(1).max())
+    router = negatives.Router(negatives._augmented(x, length), 16)
+    leaf, away = router.route(negatives._augmented(x, length))
+    pages = {int(n): (away[leaf == n].min(0), away[leaf == n].max(0)) for n in np.unique(leaf)}
+    batch = pa.RecordBatch.from_pydict({"number": [0, 1], "id": [0, 1], "label": [0, 0], "v": x[:2].tolist(), "lows": [[-(1 << 60)], []], "highs": [[1 << 60], []]})
+    (out,) = negatives._directed(router, length, 8, pages, False, 2)(iter([batch]))
+    assert sorted(out.column("leaf").to_pylist()) == sorted({n >> 2 for n in pages}) and set(out.column("number").to_pylist()) == {0}
