@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import gc
 import math
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.llm.runtime import Workspace
 
@@ -68,40 +68,54 @@ class Family:
             mixed = cells.astype(np.int64) * self.mix[table]
             return mixed.sum(1), mixed[:, : self.group].sum(1)
 
-    def probes(self, points: np.ndarray, table: int, count: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, groups) of the ``count`` likeliest buckets of each query, likeliest first.
+    def paths(self, points: np.ndarray, table: int, count: int, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(paths, their scores, cells) of the ``count`` likeliest buckets of each query, in no order.
 
-        The best sums over all cells extend best sums over fewer cells, so a beam of ``count`` finds them.
+        A path holds a digit for each cell, the first cell's first: 0, 1 or 2 where the cell is one lower, the
+        query's own or one higher. The best sums over all cells extend best sums over fewer cells, so a beam
+        of ``count`` finds them.
         """
         at = self.places(points, table)
         cell = np.floor(at)
-        bucket, group = self.codes(cell, table)
-        bucket, group = bucket[:, None], group[:, None]
-        score = np.zeros((len(points), 1))
-        shift = np.array([-1, 0, 1])
-        low = (cell - at)[:, :, None] + shift  # distance to the lower end of each of three cells
+        low = (cell - at)[:, :, None] + np.array([-1, 0, 1])  # distance to the lower end of each of three cells
         scale = self.width / sigma
         chance = np.interp((low + 1) * scale, _GRID, _NORMAL) - np.interp(low * scale, _GRID, _NORMAL)
         chance = np.log(np.maximum(chance, 1e-12))
+        path, cost = np.zeros((1, 1), np.int64), np.zeros((len(points), 1))  # the same paths for all queries until a beam is full
+        for j in range(self.k):
+            cost = (cost[:, :, None] - chance[:, j, None, :]).reshape(len(points), -1)
+            if cost.shape[1] <= count:
+                path = (path[:, :, None] * 3 + np.arange(3)).reshape(1, -1)
+            else:
+                best = np.argpartition(cost, count - 1, axis=1)[:, :count]
+                path = np.take_along_axis(np.broadcast_to(path, (len(points), path.shape[1])), best // 3, 1) * 3 + best % 3
+                cost = np.take_along_axis(cost, best, 1)
+        return np.broadcast_to(path, cost.shape), -cost, cell
+
+    def steps(self, paths: np.ndarray, table: int, first: int, last: int) -> np.ndarray:
+        """How far paths over the cells from ``first`` up to ``last`` lead from a query's own bucket."""
+        out = np.zeros(paths.shape, np.int64)
         with np.errstate(over="ignore"):
-            for j in range(self.k):
-                score = (score[:, :, None] + chance[:, j, None, :]).reshape(len(points), -1)
-                step = shift * self.mix[table, j]
-                bucket = (bucket[:, :, None] + step).reshape(len(points), -1)
-                group = (group[:, :, None] + (step if j < self.group else 0 * step)).reshape(len(points), -1)
-                if score.shape[1] > count:
-                    best = np.argpartition(-score, count - 1, axis=1)[:, :count]
-                    score, bucket, group = (np.take_along_axis(x, best, 1) for x in (score, bucket, group))
-        order = np.argsort(-score, axis=1, kind="stable")
-        return np.take_along_axis(bucket, order, 1), np.take_along_axis(group, order, 1)
+            for j in range(last - 1, first - 1, -1):
+                paths, digit = np.divmod(paths, 3)
+                out += (digit - 1) * self.mix[table, j]
+        return out
+
+    def probes(self, points: np.ndarray, table: int, count: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, groups) of the ``count`` likeliest buckets of each query, likeliest first."""
+        paths, score, cell = self.paths(points, table, count, sigma)
+        bucket, group = self.codes(cell, table)
+        paths = np.take_along_axis(paths, np.argsort(-score, axis=1, kind="stable"), 1)
+        return bucket[:, None] + self.steps(paths, table, 0, self.k), group[:, None] + self.steps(paths // 3 ** (self.k - self.group), table, 0, self.group)
 
 
 def vectors_of(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v, dim``: vectors as doubles, without null, zero or non-finite ones."""
+    """``id, v, dim``: vectors as floats if they are, else as doubles, without null, zero or non-finite ones."""
     x = F.col(vector_col)
+    floats = rows.select(x).schema[0].dataType == T.ArrayType(T.FloatType(), rows.select(x).schema[0].dataType.containsNull)
     fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(c.cast("double")))
     out = rows.where(fine & F.exists(x, lambda c: c != 0))
-    return out.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: c.cast("double")).alias("v"), F.size(x).alias("dim"))
+    return out.select(F.col(id_col).cast("long").alias("id"), (x if floats else F.transform(x, lambda c: c.cast("double"))).alias("v"), F.size(x).alias("dim"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -117,21 +131,14 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 def packed(kind: str, keys: list[str], most: int):
     """Runs of sorted rows with equal ``keys`` as rows of bytes, at most ``most`` rows each.
 
-    A row of bytes holds the number of rows and their length, ids, then the columns ``code`` (int64, if
-    any), ``v`` (doubles) and ``probes`` (lists of int64, if any).
+    A row of bytes holds the other columns as an Arrow stream.
     """
 
     def pack(table: pa.Table) -> bytes:
-        n = table.num_rows
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        out = [struct.pack("<qq", n, len(v) // n), table.column("id").to_numpy().astype("<i8").tobytes()]
-        if "code" in table.column_names:
-            out.append(table.column("code").to_numpy().astype("<i8").tobytes())
-        out.append(v.astype("<f8").tobytes())
-        if "probes" in table.column_names:
-            lists = table.column("probes").combine_chunks()
-            out += [np.diff(lists.offsets.to_numpy()).astype("<i8").tobytes(), lists.flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()]
-        return b"".join(out)
+        table, sink = table.drop_columns(keys).combine_chunks(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -165,17 +172,11 @@ def packed(kind: str, keys: list[str], most: int):
     return run
 
 
-def unpack(data: bytes, code: bool = False, probes: bool = False) -> tuple:
-    """(ids, vectors, codes or None, lists of probes or None)."""
-    n, dim = struct.unpack_from("<qq", data)
-    ids, at, codes = np.frombuffer(data, "<i8", n, 16), 16 + 8 * n, None
-    if code:
-        codes, at = np.frombuffer(data, "<i8", n, at), at + 8 * n
-    v, at = np.frombuffer(data, "<f8", n * dim, at).reshape(n, dim), at + 8 * n * dim
-    if not probes:
-        return ids, v, codes, None
-    sizes, at = np.frombuffer(data, "<i8", n, at), at + 8 * n
-    return ids, v, codes, np.split(np.frombuffer(data, "<i8", int(sizes.sum()), at), np.cumsum(sizes)[:-1])
+def unpack(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """(ids, vectors as doubles, all columns) of a row of bytes."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table.column("id").to_numpy(), v.reshape(table.num_rows, -1).astype(np.float64), table
 
 
 FOUND = "query_id long, ids array<long>, scores array<double>"
@@ -232,34 +233,43 @@ class Best:
             yield found.filter(pa.array(held.any(1)))
 
 
-def _visit(k: int, hashed: bool):
+def _visit(k: int, hashed: bool, family: Family | None = None):
     """Pages joined to blocks of queries: the best of what the probes (or, unhashed, all rows) bring.
 
+    Probes are buckets, or, with the ``family`` given, paths over a group's further cells from the bucket ``code``.
+
     One product of block and page tells which rows can still be among a query's best; of these, rows in
     the buckets it probes get their exact score. A block's queries are worked on together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        top, known = Best(k), None
+        top, known, ends = Best(k), None, {}
         for batch in batches:
             for row in range(batch.num_rows):
                 data = batch.column("page")[row].as_buffer()
                 if known is None or data != known:
-                    ids, vectors, codes, _ = unpack(data, code=hashed)
+                    ids, vectors, page = unpack(data)
                     known, length, once = data, float(np.sqrt((vectors * vectors).sum(1).max())), len(np.unique(ids)) == len(ids)
                     if hashed:
+                        codes = page.column("code").to_numpy()
                         firsts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
                         buckets, bucket = codes[firsts], np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, len(codes)]))
                         order = np.argsort(buckets, kind="stable")
-                asked, points, _, probes = unpack(batch.column("block")[row].as_buffer(), probes=hashed)
+                asked, points, block = unpack(batch.column("block")[row].as_buffer())
                 lines = top.of(asked)
                 rough = points @ vectors.T
                 slack = 1e-9 * length * np.sqrt((points * points).sum(1))
                 fine = rough >= (top.floors(lines) - slack)[:, None]
                 if hashed:
                     # Which bucket of the page each query probes; a bucket that stands twice has its rows in both places.
-                    who, probe = np.repeat(np.arange(len(asked)), [len(p) for p in probes]), np.concatenate(probes)
+                    probes = block.column("probes").combine_chunks()
+                    who, probe = np.repeat(np.arange(len(asked)), np.diff(probes.offsets.to_numpy())), probes.flatten().to_numpy(zero_copy_only=False)
+                    if family is not None:
+                        tab = batch.column("tab")[row].as_py()
+                        if tab not in ends:
+                            ends[tab] = family.steps(np.arange(3 ** (family.k - family.group)), tab, family.group, family.k)
+                        probe = block.column("code").to_numpy()[who] + ends[tab][probe]
                     low, high = np.searchsorted(buckets, probe, "left", order), np.searchsorted(buckets, probe, "right", order)
                     hit = np.zeros((len(asked), len(buckets)), bool)
                     while len(who):
@@ -312,7 +322,7 @@ def _hashed(family: Family):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column("v"), family.dim)
+            v = matrix(batch.column("v"), family.dim).astype(np.float64)
             points = family.points(v)
             for t in range(family.tables):
                 code, group = family.codes(np.floor(family.places(points, t)), t)
@@ -322,26 +332,25 @@ def _hashed(family: Family):
 
 
 def _asking(family: Family, probes: int, sigma: float):
-    """A row for each (query, table, group of buckets) to visit, with the buckets in it."""
+    """A row for each (query, table, group of buckets) to visit: a bucket of the group and paths from there to those to visit."""
+    rest = 3 ** (family.k - family.group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                v, ids = matrix(part.column("v"), family.dim), part.column("id")
+                v, ids = matrix(part.column("v"), family.dim).astype(np.float64), part.column("id")
                 points = family.points(v, query=True)
                 for t in range(family.tables):
-                    buckets, groups = family.probes(points, t, probes, sigma)
-                    who, grp, lists = [], [], []
-                    for i in range(len(v)):
-                        order = np.argsort(groups[i], kind="stable")
-                        g = groups[i][order]
-                        cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
-                        who += [i] * (len(cuts) + 1)
-                        grp += g[np.r_[0, cuts]].tolist()
-                        lists += np.split(buckets[i][order], cuts)
-                    who = pa.array(who, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), pa.array(grp, pa.int64()), ids.take(who), part.column("v").take(who), pa.array(lists, pa.list_(pa.int64()))], names=["tab", "grp", "id", "v", "probes"])
+                    paths, _, cell = family.paths(points, t, probes, sigma)
+                    bucket, group = family.codes(cell, t)
+                    # Sorted, the paths of a query that lead to one group stand together.
+                    head, tail = np.divmod(np.sort(paths, axis=1), rest)
+                    firsts = np.flatnonzero(np.concatenate([np.ones((len(v), 1), bool), head[:, 1:] != head[:, :-1]], 1))
+                    who, step = firsts // head.shape[1], family.steps(head.reshape(-1)[firsts], t, 0, family.group)
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[firsts, head.size].astype(np.int32)), pa.array(tail.reshape(-1).astype(np.int16)))
+                    columns = {"tab": pa.array(np.full(len(who), t, np.int32)), "grp": pa.array(group[who] + step), "id": ids.take(pa.array(who)), "v": part.column("v").take(pa.array(who)), "code": pa.array(bucket[who] + step), "probes": lists}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -387,7 +396,7 @@ def nearest(spark: SparkSession, rows: DataFrame, k: int = 20, query_every: int
     space = Workspace(spark, "nearest")
     vectors = space.keep(vectors_of(rows, id_col, vector_col), "vectors")
     asks = F.col("id") % query_every == 0
-    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("q"), F.max(norm).alias("m"), F.count_distinct("id").alias("ids")).collect()  # a row for each vector length
     out = None
     for r in sorted(sizes, key=lambda r: r["dim"]):
@@ -399,8 +408,7 @@ def nearest(spark: SparkSession, rows: DataFrame, k: int = 20, query_every: int
 
 
 def _nearest(space: Workspace, rows: DataFrame, asks, size, k: int, tables: int, target: float, sample_queries: int, seed: int) -> DataFrame:
-    spark, dim, n = space.spark, size["dim"], size["n"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dim, n = size["dim"], size["n"]
     queries = rows.where(asks)
     # The sample: a bounded number of queries, their exact neighbours, and those rows' vectors.
     sample = queries.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("id", "v").limit(sample_queries)
@@ -420,13 +428,15 @@ def _nearest(space: Workspace, rows: DataFrame, asks, size, k: int, tables: int,
             break
         bits = max(0, bits - 1)  # coarser buckets reach everything in the end
     probes, sigma = fitted
-    index = rows.select("id", "v").mapInArrow(_hashed(family), "tab int, grp long, code long, id long, v array<double>")
-    index = index.repartitionByRange(parts, "tab", "grp", "code", "id").sortWithinPartitions("tab", "grp", "code", "id")
+    # Groups are dealt without a first pass that would work out all rows twice; large ones are split once their size is known.
+    vector = rows.schema["v"].dataType.simpleString()
+    index = rows.select("id", "v").mapInArrow(_hashed(family), f"tab int, grp long, code long, id long, v {vector}")
+    index = index.hint("rebalance", "tab", "grp").sortWithinPartitions("tab", "grp", "code", "id")
     page = index.mapInArrow(packed("page", ["tab", "grp"], PAGE_ROWS), "tab int, grp long, page binary")
-    ask = queries.select("id", "v").mapInArrow(_asking(family, probes, sigma), "tab int, grp long, id long, v array<double>, probes array<long>")
-    ask = ask.repartitionByRange(parts, "tab", "grp", "id").sortWithinPartitions("tab", "grp", "id")
+    ask = queries.select("id", "v").mapInArrow(_asking(family, probes, sigma), f"tab int, grp long, id long, v {vector}, code long, probes array<short>")
+    ask = ask.hint("rebalance", "tab", "grp").sortWithinPartitions("tab", "grp", "id")
     block = ask.mapInArrow(packed("block", ["tab", "grp"], BLOCK_QUERIES), "tab int, grp long, block binary")
-    found = page.hint("merge").join(block, ["tab", "grp"]).select("page", "block").mapInArrow(_visit(k, True), FOUND)
+    found = page.hint("merge").join(block, ["tab", "grp"]).select("tab", "page", "block").mapInArrow(_visit(k, True, family), FOUND)
     found = space.keep(_merged(found, k), f"found{dim}")
     # Queries that found fewer rows than there are: compared with all of them.
     ids = queries.select(F.col("id").alias("query_id")).distinct()

@@ -102,3 +102,26 @@ def test_queries_of_a_block_are_scored_together(monkeypatch):
             if rows:
                 want[q] = sorted(rows, key=lambda x: (-x[1], x[0]))[:k]
         assert found == want and len(calls) <= len(page)
+
+
+def test_probes_travel_as_paths_and_are_worked_out_once(spark, monkeypatch):
+    """Asks hold short paths that lead to the buckets of the probes, floats stay floats, and no pass over all rows only sets ranges."""
+    family = neighbors.Family(1.0, 7, 2, 2, 3, 8)
+    x = np.random.default_rng(4).normal(size=(30, 8)).astype(np.float32)
+    (first, second) = neighbors._asking(family, 90, 0.7)(iter([pa.RecordBatch.from_pydict({"id": np.arange(30), "v": pa.array(x.tolist(), pa.list_(pa.float32()))})]))
+    for t, out in enumerate((first, second)):
+        buckets, groups = family.probes(family.points(x.astype(float), query=True), t, 90, 0.7)
+        ends = family.steps(np.arange(3**5), t, 2, 7)
+        got = sorted((r["id"], r["grp"], int(b)) for r in out.to_pylist() for b in r["code"] + ends[r["probes"]])
+        assert got == sorted(zip(np.repeat(np.arange(30), 90).tolist(), groups.reshape(-1).tolist(), buckets.reshape(-1).tolist(), strict=True))
+        assert len({(r["id"], r["grp"]) for r in out.to_pylist()}) == out.num_rows and set(out.column("tab").to_pylist()) == {t}
+        assert out.schema.field("probes").type == pa.list_(pa.int16()) and out.schema.field("v").type == pa.list_(pa.float32())
+
+    plans, merged = [], neighbors._merged
+    monkeypatch.setattr(neighbors, "_merged", lambda found, k: plans.append(found._jdf.queryExecution().toString()) or merged(found, k))
+    x = np.random.default_rng(5).normal(size=(200, 8)).astype(np.float32)
+    x[50:150] = x[50]
+    single = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    double = single.selectExpr("vec_id", "cast(embedding as array<double>) as embedding")
+    a, b = (sorted(tuple(r) for r in neighbors.nearest(spark, d).collect()) for d in (single, double))
+    assert a == b and len(a) == 200 and plans and not any("rangepartitioning(" in p for p in plans)
