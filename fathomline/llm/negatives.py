@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from fathomline.llm.neighbors import matrix
 from fathomline.llm.runtime import Workspace
 from fathomline.llm.topk import integer_vectors
+from fathomline.llm.topk import whole as _whole
 
 #: Rows of a page, anchors of a block, anchors that walk a page together, rows of a leaf of a page's tree.
 PAGE_ROWS, BLOCK_ANCHORS, WALK_ANCHORS, LEAF_ROWS = 4096, 4096, 128, 256
@@ -71,11 +72,6 @@ def _meets(near: np.ndarray, far: np.ndarray, base: np.ndarray, lows: np.ndarray
     return met
 
 
-def _whole(largest: float) -> type:
-    """The kind of number whose sums of products are exact up to the largest squared norm."""
-    return np.float32 if largest < 2.0**24 else np.float64 if largest < 2.0**53 else np.int64
-
-
 def _stored(largest: float) -> type:
     """The smallest kind of number that holds components of vectors up to the largest squared norm."""
     return np.int16 if largest < 2.0**30 else np.int32 if largest < 2.0**62 else np.int64

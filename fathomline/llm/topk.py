@@ -3,14 +3,15 @@
 Integer vectors become points of a metric space in which a larger inner product is a smaller distance:
 each gets one more coordinate that brings all to the same length, queries get zero there. Points are
 dealt into pages of bounded size; every page is an M-tree: nodes with a pivot, a covering radius and
-the distances of their children to the pivot. A query walks a page best-first by lower bound, and skips
-whatever the stored distances rule out by the triangle inequality before computing a distance.
+the distances of their children to the pivot. Queries walk a page best-first by lower bound, and skip
+whatever the stored distances rule out by the triangle inequality before computing a distance. The queries
+of a block walk together: each goes on to its next leaves, and all that meet in a leaf are scored there by
+one matrix product, which is exact: of floats where all sums fit into their whole numbers.
 """
 
 from __future__ import annotations
 
 import gc
-import heapq
 import struct
 from collections.abc import Iterator
 
@@ -23,15 +24,30 @@ from fathomline.llm.runtime import Workspace
 
 #: Vectors of a page, queries searched together in it, and entries of a tree node.
 PAGE_ROWS, BLOCK_QUERIES, NODE_ENTRIES = 4096, 512, 32
-#: Slack of bounds computed in floating point, in units of distance.
+#: Slack of bounds computed in floating point, in units of distance, and of the common length.
 SLACK = 1e-6
+#: Leaves a query goes to in its first round, and how many times as many in each further round.
+FIRST_LEAVES, MORE_LEAVES = 1, 3
+#: The score below all others.
+LEAST = np.iinfo(np.int64).min
+
+
+def whole(largest: float) -> type:
+    """The kind of number whose sums of products are exact up to the largest squared norm."""
+    return np.float32 if largest < 2.0**24 else np.float64 if largest < 2.0**53 else np.int64
+
+
+def place_in_run(starts: np.ndarray) -> np.ndarray:
+    """The place of each row within its run of rows; ``starts`` marks the first row of each."""
+    firsts = np.flatnonzero(starts)
+    return np.arange(len(starts)) - np.repeat(firsts, np.diff(np.r_[firsts, len(starts)]))
 
 
 class MTree:
     """A page as arrays: nodes in levels, children contiguous, each child with its distance to the node's pivot."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, extra: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.whole = ids, vectors, None
         self.points = np.concatenate([vectors.astype(np.float64), extra[:, None]], 1)
         # Bulk load: order by distance to a first pivot, then to a second within runs, so that nodes are close-knit.
         order = self._order(np.arange(len(ids)))
@@ -64,48 +80,71 @@ class MTree:
         return np.concatenate([self._order(order[:half]), self._order(order[half:])])
 
     def search(self, query: np.ndarray, length: float, k: int, skip: int) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id), ties to smaller ids, and how many distances were computed."""
-        q = np.append(query.astype(np.float64), 0.0)
-        base = float(query.astype(np.int64) @ query) + length  # distance^2 = base - 2 * score
-        top: list[tuple[int, int]] = []  # min-heap of (score, -id)
-
-        def limit() -> float:
-            return np.sqrt(max(base - 2.0 * top[0][0], 0.0)) + SLACK if len(top) == k else np.inf
-
-        depth = len(self.levels) - 1
-        away = float(np.sqrt(((q - self.levels[depth][0][0]) ** 2).sum()))
-        heap, computed = [(max(0.0, away - self.levels[depth][1][0]), depth, 0, away)], 1
-        while heap:
-            bound, level, node, to_pivot = heapq.heappop(heap)
-            if bound > limit():
-                break
-            _, _, first, end = self.levels[level]
-            a, b = int(first[node]), int(end[node])
-            stored = self.parent[level][a:b]
-            if level == 0:
-                rows = a + np.flatnonzero(np.abs(to_pivot - stored) <= limit())
-                computed += len(rows)
-                scores = self.vectors[rows] @ query
-                if len(top) == k:
-                    keep = scores >= top[0][0]
-                    rows, scores = rows[keep], scores[keep]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                    if i == skip:
-                        continue
-                    if len(top) < k:
-                        heapq.heappush(top, (s, -i))
-                    elif (s, -i) > top[0]:
-                        heapq.heapreplace(top, (s, -i))
-                continue
-            pivots, radius = self.levels[level - 1][:2]
-            near = a + np.flatnonzero(np.abs(to_pivot - stored) - radius[a:b] <= limit())
-            computed += len(near)
-            distance = np.sqrt(((pivots[near] - q) ** 2).sum(1))
-            for d, child in zip(distance.tolist(), near.tolist(), strict=True):
-                low = max(0.0, d - float(radius[child]))
-                if low <= limit():
-                    heapq.heappush(heap, (low, level - 1, child, d))
-        return sorted(((s, -i) for s, i in top), key=lambda x: (-x[0], x[1])), computed
+        """The k best (score, id) of one query, ties to smaller ids, and how many distances were computed."""
+        _, scores, ids, computed = self.search_block(query[None, :], length, k, np.array([skip]))
+        return list(zip(scores.tolist(), ids.tolist(), strict=True)), computed
+
+    def _bounds(self, queries: np.ndarray, length: float, slack: float) -> tuple[np.ndarray, int]:
+        """Lower bounds of the distance of each query to what each leaf holds, and how many distances they took."""
+        asked = np.concatenate([queries.astype(np.float64), np.zeros((len(queries), 1))], 1)
+        bound, computed = np.zeros((len(queries), 1)), 0
+        for level in range(len(self.levels) - 1, -1, -1):
+            pivots, radius, first, end = self.levels[level]
+            squares = (asked * asked).sum(1)[:, None] + (pivots * pivots).sum(1) - 2.0 * (asked @ pivots.T)
+            away = np.sqrt(np.maximum(squares, 0.0))
+            # A node holds nothing nearer than its covering radius allows, and a leaf nothing within its innermost row.
+            here = away - radius if level else np.maximum(away - radius, np.minimum.reduceat(self.parent[0], first) - away)
+            bound = np.maximum(bound, here - slack)
+            computed += away.size
+            if level:
+                bound = np.repeat(bound, end - first, axis=1)
+        return bound, computed
+
+    def search_block(self, queries: np.ndarray, length: float, k: int, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(place of the query, score, id) of the k best of each query, best first, ties to smaller ids, and how many distances were computed.
+
+        In every round a query goes on to the next of its leaves in the order of their bounds, as long as these
+        lie within its k-th best distance; rows of the id in ``skips`` do not count.
+        """
+        slack = SLACK * (1.0 + float(np.sqrt(length * queries.shape[1])))
+        base = (queries.astype(np.float64) ** 2).sum(1) + length  # distance^2 = base - 2 * score
+        bound, computed = self._bounds(queries, length, slack)
+        order = np.argsort(bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, 1)
+        if self.whole is None or self.whole.dtype != whole(length):
+            self.whole = self.vectors.astype(whole(length))
+        asked = queries.astype(self.whole.dtype)
+        _, _, first, end = self.levels[0]
+        q, s, i = (np.empty(0, np.int64) for _ in range(3))  # the best so far, in order
+        floor, limit = np.full(len(queries), LEAST), np.full(len(queries), np.inf)
+        at, take = 0, FIRST_LEAVES
+        while at < order.shape[1]:
+            who, leaf = np.nonzero(bound[:, at : at + take] <= limit[:, None])
+            if not len(who):
+                break  # all further leaves lie farther
+            leaf = order[who, at + leaf]
+            near = np.argsort(leaf, kind="stable")
+            who, leaf = who[near], leaf[near]
+            cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+            found = [(q, s, i)]
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(leaf)], strict=True):
+                rows, some = slice(first[leaf[a]], end[leaf[a]]), who[a:b]
+                scores = asked[some] @ self.whole[rows].T
+                computed += scores.size
+                x, y = np.nonzero(scores >= floor[some, None].astype(scores.dtype))
+                other = self.ids[rows][y] != skips[some[x]]
+                x, y = x[other], y[other]
+                found.append((some[x], scores[x, y].astype(np.int64), self.ids[rows][y]))
+            q, s, i = (np.concatenate(c) for c in zip(*found, strict=True))
+            ranked = np.lexsort((i, -s, q))
+            q, s, i = q[ranked], s[ranked], i[ranked]
+            place = place_in_run(np.r_[True, q[1:] != q[:-1]][: len(q)])
+            floor[q[place == k - 1]] = s[place == k - 1]
+            q, s, i = (c[place < k] for c in (q, s, i))
+            full = floor > LEAST
+            limit[full] = np.sqrt(np.maximum(base[full] - 2.0 * floor[full], 0.0)) + slack
+            at, take = at + take, take * MORE_LEAVES
+        return q, s, i, computed
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int, *more: Column) -> DataFrame:
@@ -202,10 +241,9 @@ def _search(k: int, length: float):
                     ids, vectors = _unpack(batch.column("page")[row].as_py())
                     norms = (vectors * vectors).sum(1)
                     known, tree = part, MTree(ids, vectors, np.sqrt(np.maximum(length - norms, 0.0)))
-                out = []
-                for q, v in zip(*_unpack(batch.column("block")[row].as_py()), strict=True):
-                    out += [(int(q), i, s) for s, i in tree.search(v, length, k, int(q))[0]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                asked, queries = _unpack(batch.column("block")[row].as_py())
+                who, scores, found, _ = tree.search_block(queries, length, k, asked)
+                if len(who):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[who]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return run

@@ -4,9 +4,10 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import licenses, neighbors, tokenfile
+from fathomline.llm import licenses, neighbors, tokenfile, topk
 from fathomline.llm.runtime import Workspace
 
 
@@ -125,3 +126,33 @@ def test_probes_travel_as_paths_and_are_worked_out_once(spark, monkeypatch):
     double = single.selectExpr("vec_id", "cast(embedding as array<double>) as embedding")
     a, b = (sorted(tuple(r) for r in neighbors.nearest(spark, d).collect()) for d in (single, double))
     assert a == b and len(a) == 200 and plans and not any("rangepartitioning(" in p for p in plans)
+
+
+@pytest.mark.parametrize("clusters", [1, 12])
+@pytest.mark.parametrize(("scale", "kind"), [(1024, np.float32), (1 << 17, np.float64), (1 << 27, np.int64)])
+def test_queries_of_a_block_walk_a_tree_together(clusters, scale, kind, monkeypatch):
+    """Blocks against a page as a plain search gives them, with ties and repeated ids, in one product a leaf and round at most."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 8)) if clusters == 1 else rng.normal(size=(clusters, 8))[rng.integers(0, clusters, 900)] + rng.normal(size=(900, 8)) * 0.02
+    v = np.floor(scale * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    v[300:400] = v[300]
+    ids, at = rng.integers(0, 700, 900), np.r_[0:900:4, 310]
+    norms = (v * v).sum(1)
+    assert topk.whole(float(norms.max())) is kind
+    tree = topk.MTree(ids, v, np.sqrt(norms.max() - norms))
+    for k in (5, 40, 2000):
+        q, s, i, computed = tree.search_block(v[at], float(norms.max()), k, ids[at])
+        want = []
+        for n, scores in enumerate(v[at] @ v.T):
+            order = [r for r in np.lexsort((ids, -scores)) if ids[r] != ids[at[n]]][:k]
+            want += [(n, scores[r], ids[r]) for r in order]
+        assert list(zip(q.tolist(), s.tolist(), i.tolist(), strict=True)) == want
+        one, alone = tree.search(v[at[7]], float(norms.max()), k, int(ids[at[7]]))
+        assert one == [(b, c) for a, b, c in want if a == 7] and alone <= computed
+        assert clusters == 1 or k > 5 or computed < 0.4 * len(at) * len(v)
+
+    walks, together = [], topk.MTree.search_block
+    monkeypatch.setattr(topk.MTree, "search_block", lambda *a: walks.append(1) or together(*a))
+    page, block = (next(topk._pack(kind)(iter([pa.RecordBatch.from_pydict({"part": np.zeros(len(r), np.int32), "id": ids[r], "v": pa.array(v[r].tolist())})]))).column(kind) for kind, r in (("page", np.arange(900)), ("block", at)))
+    (out,) = topk._search(5, float(norms.max()))(iter([pa.RecordBatch.from_arrays([pa.array([0]), page, block], names=["part", "page", "block"])]))
+    assert len(walks) == 1 and out.num_rows == 5 * len(at)
