@@ -110,12 +110,11 @@ class Family:
 
 
 def vectors_of(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v, dim``: vectors as floats if they are, else as doubles, without null, zero or non-finite ones."""
+    """``id, v, dim``: vectors as doubles, without null, zero or non-finite ones."""
     x = F.col(vector_col)
-    floats = rows.select(x).schema[0].dataType == T.ArrayType(T.FloatType(), rows.select(x).schema[0].dataType.containsNull)
     fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(c.cast("double")))
     out = rows.where(fine & F.exists(x, lambda c: c != 0))
-    return out.select(F.col(id_col).cast("long").alias("id"), (x if floats else F.transform(x, lambda c: c.cast("double"))).alias("v"), F.size(x).alias("dim"))
+    return out.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: c.cast("double")).alias("v"), F.size(x).alias("dim"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -394,7 +393,10 @@ def nearest(spark: SparkSession, rows: DataFrame, k: int = 20, query_every: int
     with blocks of queries, so no task or group holds a large bucket.
     """
     space = Workspace(spark, "nearest")
-    vectors = space.keep(vectors_of(rows, id_col, vector_col), "vectors")
+    vectors = vectors_of(rows, id_col, vector_col)
+    if isinstance(rows.select(vector_col).schema[0].dataType.elementType, T.FloatType):
+        vectors = vectors.withColumn("v", F.col("v").cast("array<float>"))  # what were floats travel as floats
+    vectors = space.keep(vectors, "vectors")
     asks = F.col("id") % query_every == 0
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("q"), F.max(norm).alias("m"), F.count_distinct("id").alias("ids")).collect()  # a row for each vector length
