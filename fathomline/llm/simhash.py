@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.components import connected
@@ -133,18 +133,24 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
 
 
 def cells(space: Workspace, rows: DataFrame, name: str, most: int = CELL_ROWS) -> DataFrame:
-    """Rows ``key, node, ...`` whose key occurs more than once, with ``cell``: rows of a cell may pair.
+    """Rows ``cell, node, ...`` of the keys of ``key, node, ...`` that occur more than once: rows of a cell may pair.
 
-    A key with up to ``most`` rows is one cell. A larger one is cut by a hash of the node into pieces of
-    about half of that, and every two pieces make a cell, so all its pairs still meet.
+    A cell's rows stand together in one task, by node. Rows travel once, to where those of their key are
+    counted, and a key with up to ``most`` rows is a cell that stays there. Only the rows of a larger one
+    travel again: it is cut by a hash of the node into pieces of about half of that, and every two pieces
+    make a cell, so all its pairs still meet.
     """
+    parts = max(1, int(space.spark.conf.get("spark.sql.shuffle.partitions")))
+    others = [c for c in rows.columns if c != "key"]
     rows = space.keep(rows, f"{name}-rows")
-    often = space.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-often")
-    rows = lookup(rows, often, ["key"])
-    rows = rows.withColumn("pieces", F.when(F.col("n") > most, F.ceil(F.col("n") * 2 / most)).otherwise(1).cast("int"))
-    rows = rows.withColumn("piece", F.expr("cast(pmod(xxhash64(node), pieces) as int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return rows.withColumn("cell", F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other"))).drop("n", "pieces", "piece", "other")
+    alike = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    often = rows.withColumn("n", F.count(F.lit(1)).over(alike)).where("n > 1")
+    small = often.where(F.col("n") <= most).sortWithinPartitions("key", "node")
+    large = often.where(F.col("n") > most).withColumn("pieces", F.ceil(F.col("n") * 2 / most).cast("int"))
+    large = large.withColumn("piece", F.expr("cast(pmod(xxhash64(node), pieces) as int)"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    large = large.select(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("cell"), *others)
+    return small.select(F.col("key").alias("cell"), *others).unionByName(large.repartition(parts, "cell").sortWithinPartitions("cell", "node"))
 
 
 def _by_cell(link: Callable[[pa.Table], list[tuple[int, int]]], limit: int = 64_000_000):
@@ -284,8 +290,7 @@ def _cell_rows(rows: DataFrame, distance: int) -> DataFrame:
 
 def fingerprint_links(space: Workspace, rows: DataFrame, distance: int, name: str) -> DataFrame:
     """Edges ``a, b`` that connect the rows ``node, fp`` (fingerprints distinct) as links within ``distance`` do."""
-    parts = max(1, int(space.spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cells(space, _cell_rows(rows, distance), name).repartition(parts, "cell").sortWithinPartitions("cell", "node")
+    dealt = cells(space, _cell_rows(rows, distance), name)
     return dealt.select("cell", "node", "fp").mapInArrow(_by_cell(_link_fingerprints(distance)), "a long, b long")
 
 
@@ -308,7 +313,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3, shingle:
     of_fp = space.keep(lookup(distinct, reached, ["fp"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "of_fp")
     many = space.keep(of_fp.join(reached.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
     groups = space.keep(lookup(of_fp, many, ["component"], "left").select("fp", F.coalesce("smallest", "least").alias("component_id")), "groups")
-    space.drop("whole-rows", "whole-often", "distinct", "again", "reached", "of_fp", "smallest")
+    space.drop("whole-rows", "distinct", "again", "reached", "of_fp", "smallest")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return lookup(prints, groups, ["fp"]).select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
@@ -365,7 +370,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = 0.
     nodes = classes.select("x.id", "x.fp", "x.views").withColumnRenamed("id", "node")
     whole = _cell_rows(nodes, distance).withColumn("viewed", F.lit(False))
     viewed = nodes.select("node", "fp", F.posexplode("views").alias("v", "x")).select(F.xxhash64(F.lit("view"), "v", "x").alias("key"), "node", "fp", F.lit(True).alias("viewed"))
-    dealt = cells(space, whole.unionByName(viewed), "seek").repartition(parts, "cell").sortWithinPartitions("cell", "node")
+    dealt = cells(space, whole.unionByName(viewed), "seek")
     sought = dealt.select("cell", "node", "fp", "viewed").mapInArrow(_by_cell(_link_candidates(distance)), "a long, b long")
     clusters = space.keep(connected(space, sought), "clusters")
     sizes = space.keep(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")

@@ -1,5 +1,6 @@
 """What keeps the operators within their limits, and that it leaves the results as they are."""
 
+import itertools
 import time
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import licenses, neighbors, tokenfile, topk
+from fathomline.llm import licenses, neighbors, simhash, tokenfile, topk
 from fathomline.llm.runtime import Workspace
 
 
@@ -156,3 +157,26 @@ def test_queries_of_a_block_walk_a_tree_together(clusters, scale, kind, monkeypa
     page, block = (next(topk._pack(kind)(iter([pa.RecordBatch.from_pydict({"part": np.zeros(len(r), np.int32), "id": ids[r], "v": pa.array(v[r].tolist())})]))).column(kind) for kind, r in (("page", np.arange(900)), ("block", at)))
     (out,) = topk._search(5, float(norms.max()))(iter([pa.RecordBatch.from_arrays([pa.array([0]), page, block], names=["part", "page", "block"])]))
     assert len(walks) == 1 and out.num_rows == 5 * len(at)
+
+
+def test_rows_of_cells_travel_once(spark):
+    """All rows of a key meet, in cells of bounded size; only rows of large keys are dealt a second time, and nothing is joined."""
+    keys = [1] * 60 + [2] * 8 + [3] * 2 + [4] + [5] * 9
+    rows = [(k, n, 7 * n) for n, k in enumerate(keys)]
+    dealt = simhash.cells(Workspace(spark, "t"), spark.createDataFrame(rows, "key long, node long, fp long"), "whole", 8)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(key") == 2 and plan.count("Exchange hashpartitioning(cell") == 1
+    assert plan.count("Sort [key") == 2  # each branch sorts once for the window, and the cells keep that order
+
+    tasks = [list(t) for t in dealt.select("cell", "node", "fp").rdd.glom().collect()]
+    assert dealt.columns == ["cell", "node", "fp"] and all(r.fp == 7 * r.node for t in tasks for r in t)
+    cells, met = [], set()
+    for t in tasks:
+        assert [(r.cell, r.node) for r in t] == sorted((r.cell, r.node) for r in t)
+        for cell in {r.cell for r in t}:
+            cells.append(cell)
+            nodes = [r.node for r in t if r.cell == cell]
+            assert len(nodes) <= 30 and len({keys[n] for n in nodes}) == 1
+            met |= set(itertools.combinations(nodes, 2))
+    assert len(cells) == len(set(cells))  # no cell is in two tasks
+    assert met == {(a, b) for a, b in itertools.combinations(range(len(keys)), 2) if keys[a] == keys[b]}
